@@ -193,10 +193,10 @@ def choose_method(postings: DataFrame, structured: str, rendered: str, enough: i
 def workday_anchor_rows(anchors: DataFrame) -> DataFrame:
     """Job links of rendered Workday pages: the first selector that found any, each url once.
 
-    Returns rows for `rendered_rows`: (company_id, page_ordinal, page_url, pos, url, title,
-    location, posted_on).
+    Returns rows for `rendered_rows`: (company_id, cycle_ts, page_ordinal, page_url, pos, url,
+    title, location, posted_on).
     """
-    page = ["company_id", "page_ordinal", "page_url"]
+    page = ["company_id", "cycle_ts", "page_ordinal", "page_url"]
     found = anchors.filter(F.col("href").contains("/job/")).select(
         *page,
         "anchor_ordinal",

@@ -137,7 +137,7 @@ def page_setting(*keys: str) -> Column:
     return strip_right(F.coalesce(setting(F.col("source_config"), *keys), F.col("careers_url")), "/")
 
 
-def workday(captures: DataFrame) -> DataFrame:
+def workday(captures: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     careers = page_setting("careers_url", "page_url")
     root = F.concat(origin(careers), F.lit("/"))
 
@@ -166,6 +166,7 @@ def workday(captures: DataFrame) -> DataFrame:
     return shape_postings(
         _items(captures, lambda doc: V.first_truthy(V.field(doc, "jobPostings"), V.field(doc, "jobs"))),
         "workday",
+        keep=keep,
         external_job_id=F.when(
             F.size(ident_list) > 0, F.coalesce(V.to_text(F.get(ident_list, F.lit(0))), F.lit("None"))
         ).otherwise(V.to_text(ident)),
@@ -185,7 +186,7 @@ def smartrecruiters_company(config: Column, careers_url: Column) -> Column:
     )
 
 
-def smartrecruiters(captures: DataFrame) -> DataFrame:
+def smartrecruiters(captures: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     slug = smartrecruiters_company(F.col("source_config"), F.col("careers_url"))
     board = F.concat(F.lit("https://jobs.smartrecruiters.com/"), slug)
     careers = F.coalesce(F.nullif(page_setting("careers_url"), F.lit("")), board)
@@ -198,6 +199,7 @@ def smartrecruiters(captures: DataFrame) -> DataFrame:
     return shape_postings(
         _items(captures, lambda doc: V.field(doc, "content")),
         "smartrecruiters",
+        keep=keep,
         external_job_id=V.to_text(ident),
         title=V.text_or(V.first_truthy(_f("name"), _f("title")), "Untitled"),
         location=F.when(
@@ -224,7 +226,9 @@ def smartrecruiters(captures: DataFrame) -> DataFrame:
     )
 
 
-def rendered_rows(rows: DataFrame, source_type: str = "workday") -> DataFrame:
+def rendered_rows(
+    rows: DataFrame, source_type: str = "workday", keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Rows scraped from a rendered list (url, title, location, posted_on) as postings.
 
     Rows without a url are dropped, relative urls are seen from `page_url`.
@@ -237,6 +241,7 @@ def rendered_rows(rows: DataFrame, source_type: str = "workday") -> DataFrame:
     return shape_postings(
         kept,
         source_type,
+        keep=keep,
         title=F.when(F.col("title") != "", F.col("title")).otherwise(F.lit("Untitled")),
         location=F.col("location"),
         url=F.col("url"),

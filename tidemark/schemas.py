@@ -34,7 +34,7 @@ POSTINGS = f"company_id bigint, cycle_ts timestamp, ordinal bigint, {_POSTING_FI
 SNAPSHOTS = "company_id bigint, cycle_ts timestamp, outcome string, error string"
 PROBES = "company_id bigint, probed_at timestamp, status_code int, body string, error string"
 ANCHORS = (
-    "company_id bigint, page_ordinal int, page_url string, anchor_ordinal int, href string, "
+    "company_id bigint, cycle_ts timestamp, page_ordinal int, page_url string, anchor_ordinal int, href string, "
     "text string, location string, selector_rank int"
 )
 TARGETS_CSV = (
