@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 _POSTING_FIELDS = (
     "company_name string, source_type string, external_job_id string, title string, team string, "
     "location string, employment_type string, level string, url string, description_text string, "
@@ -32,7 +30,11 @@ CAPTURES = (
 )
 POSTINGS = f"company_id bigint, cycle_ts timestamp, ordinal bigint, {_POSTING_FIELDS}"
 SNAPSHOTS = "company_id bigint, cycle_ts timestamp, outcome string, error string"
-PROBES = "company_id bigint, probed_at timestamp, status_code int, body string, error string"
+# rendered_*: what opening the page in a browser gave, for generic sources only.
+PROBES = (
+    "company_id bigint, probed_at timestamp, status_code int, body string, error string, "
+    "rendered_status int, rendered_error string"
+)
 ANCHORS = (
     "company_id bigint, cycle_ts timestamp, page_ordinal int, page_url string, anchor_ordinal int, href string, "
     "text string, location string, selector_rank int"
@@ -43,7 +45,7 @@ TARGETS_CSV = (
 )
 
 POSTING_COLUMNS = [f.split()[0] for f in _POSTING_FIELDS.split(", ")]
-JOB_COLUMNS = StructType.fromDDL(JOBS).fieldNames()
-COMPANY_COLUMNS = StructType.fromDDL(COMPANIES).fieldNames()
+JOB_COLUMNS = [f.split()[0] for f in JOBS.split(", ")]
+COMPANY_COLUMNS = [f.split()[0] for f in COMPANIES.split(", ")]
 # Columns a list returns: everything but the payload.
 JOB_LIST_COLUMNS = [c for c in JOB_COLUMNS if c != "raw_payload"]
