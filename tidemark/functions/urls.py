@@ -52,8 +52,13 @@ def host(url: Column) -> Column:
     return F.lower(split_url(url)["netloc"])
 
 
+def bare_path(parts: Column) -> Column:
+    """Path without the `;parameters` of its last segment."""
+    return F.regexp_replace(parts["path"], ";[^/]*$", "")
+
+
 def path(url: Column) -> Column:
-    return split_url(url)["path"]
+    return bare_path(split_url(url))
 
 
 def path_parts(url: Column) -> Column:
@@ -125,12 +130,13 @@ def resolve_url(base: Column, ref: Column) -> Column:
 def without_query(url: Column) -> Column:
     """Page identity: no query, no fragment, at least a root path."""
     p = split_url(strip(url))
-    return unsplit_url(p["scheme"], p["netloc"], F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]))
+    page = bare_path(p)
+    return unsplit_url(p["scheme"], p["netloc"], F.when(page == "", F.lit("/")).otherwise(page))
 
 
 def without_fragment(url: Column) -> Column:
     p = split_url(strip(url))
-    return unsplit_url(p["scheme"], p["netloc"], p["path"], p["query"])
+    return unsplit_url(p["scheme"], p["netloc"], bare_path(p), p["query"])
 
 
 def registrable_domain(host_column: Column) -> Column:
@@ -200,7 +206,7 @@ def gem_board_url(url: Column) -> Column:
 def workday_board_url(url: Column) -> Column:
     """No query or fragment, no trailing slash, no closing /login."""
     p = split_url(strip(url))
-    trimmed = F.regexp_replace(strip_right(p["path"], "/"), r"(?i)/login$", "")
+    trimmed = F.regexp_replace(strip_right(bare_path(p), "/"), r"(?i)/login$", "")
     return unsplit_url(p["scheme"], p["netloc"], F.when(trimmed == "", F.lit("/")).otherwise(trimmed))
 
 

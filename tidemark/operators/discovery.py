@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark import rules
 from tidemark.functions.text import blank_to_null, fold_case, strip, strip_right, title_from_link_text
 from tidemark.functions.urls import (
+    bare_path,
     host,
+    path,
     icims_board_url,
     registrable_domain,
     resolve_url,
@@ -121,7 +123,7 @@ def _signatures(text: Column, folded: Column, page_url: Column) -> list[Column]:
         "oraclecloud.com", rf"(https?://[a-z0-9.-]*\.oraclecloud\.com/hcmUI/CandidateExperience{word_url}*)"
     )
     page = split_url(page_url)
-    path_token = F.get(F.split(F.trim(page["path"], F.lit("/")), "/", -1), F.lit(0))
+    path_token = F.get(F.split(F.trim(bare_path(page), F.lit("/")), "/", -1), F.lit(0))
     gh_host = F.when(
         page["netloc"].endswith("greenhouse.io") & (path_token != "") & ~path_token.isin("embed", "jobs"), path_token
     )
@@ -236,7 +238,7 @@ def is_rejected_url(url: Column, text: Column) -> Column:
 
 def is_job_link(url: Column, text: Column) -> Column:
     parts = split_url(url)
-    where = F.concat_ws(" ", parts["path"], parts["query"], text)
+    where = F.concat_ws(" ", bare_path(parts), parts["query"], text)
     hinted = where.rlike(f"(?iU){rules.ACCEPT_TEXT}") | where.rlike(f"(?iU){rules.JOB_PATH_HINT}")
     return _is_web_reference(url) & ~url.startswith("#") & ~is_rejected_url(url, text) & hinted
 
@@ -255,13 +257,13 @@ def job_link_score(url: Column, text: Column) -> Column:
     return F.when(is_job_link(url, text), score).otherwise(F.lit(-1))
 
 
-def anchor_links(anchors: DataFrame) -> DataFrame:
+def anchor_links(anchors: DataFrame, page: list[str] = PAGE) -> DataFrame:
     """Anchors that are job links, resolved and titled: (page, pos, url, title, location)."""
     text = strip(F.coalesce("text", F.lit("")))
     href = strip(F.coalesce("href", F.lit("")))
     resolved = anchors.withColumn("text", text).withColumn("url", resolve_url(F.col("page_url"), href))
     return resolved.filter((href != "") & is_job_link(F.col("url"), F.col("text"))).select(
-        *PAGE, F.col("anchor_ordinal").alias("pos"), "url", title_from_link_text(F.col("text")).alias("title"), "location"
+        *page, F.col("anchor_ordinal").alias("pos"), "url", title_from_link_text(F.col("text")).alias("title"), "location"
     )
 
 
@@ -290,15 +292,18 @@ def merge_links(links: DataFrame, group: list[str], order: list[str], max_links:
     )
 
 
-def job_links(anchors: DataFrame, max_links: int = rules.MAX_LINKS) -> DataFrame:
-    """Job links per company: merged within each page, then over the pages in order."""
-    per_page = merge_links(anchor_links(anchors), PAGE, ["pos"], max_links)
-    return merge_links(per_page.withColumnRenamed("rank", "pos"), ["company_id"], ["page_ordinal", "pos"], max_links)
+def job_links(
+    anchors: DataFrame, max_links: int = rules.MAX_LINKS, by: tuple[str, ...] = ("company_id",)
+) -> DataFrame:
+    """Job links per company (or other key): merged within each page, then over the pages in order."""
+    page = [*by, "page_ordinal", "page_url"]
+    per_page = merge_links(anchor_links(anchors, page), page, ["pos"], max_links)
+    return merge_links(per_page.withColumnRenamed("rank", "pos"), list(by), ["page_ordinal", "pos"], max_links)
 
 
 # ---- crawl frontier -----------------------------------------------------------------------
 def follow_score(url: Column) -> Column:
-    low = F.lower(split_url(url)["path"])
+    low = F.lower(path(url))
     hinted = F.exists(F.array(*map(F.lit, rules.FOLLOW_PATH_HINTS)), lambda h: low.contains(h))
     p = rules.FOLLOW_SCORES
     return (
