@@ -5,20 +5,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import rules
+from tidemark.functions.bind import with_computed
 from tidemark.functions.text import fold_case
 from tidemark.rules import Rule
 
+_SCRATCH = ("_full", "_full_folded", "_title", "_title_folded", "_pos", "_neg", "_non", "_exp", "_role", "_labels")
 
-def match_labels(rule_list: Sequence[Rule], text: Column, folded: Column | None = None) -> Column:
+
+def match_labels(rule_list: Sequence[Rule], text: Column, folded: Column) -> Column:
     """Labels of the rules found in `text`, in rule order.
 
-    The words a rule needs are looked for first with a plain substring test on `folded`, so the
-    regular expression runs only on texts that can match.
+    The words a rule needs are looked for first with a plain substring test on `folded` (the text
+    through `fold_case`), so the regular expression runs only on texts that can match.
     """
-    folded = fold_case(text) if folded is None else folded
 
     def label_if_found(rule: Rule) -> Column:
         tests = [folded.contains(w) for w in rule.required_words()]
@@ -34,123 +36,132 @@ def combined_text(title: Column, level: Column, description: Column) -> Column:
     return F.concat_ws("\n", F.coalesce(title, F.lit("")), *optional)
 
 
-def score_entry_level(
-    title: Column,
-    description: Column,
-    level: Column,
+def _with_texts(df: DataFrame, title: str, description: str, level: str) -> DataFrame:
+    texts = with_computed(
+        df,
+        _full=combined_text(F.col(title), F.col(level), F.col(description)),
+        _title=F.coalesce(F.col(title), F.lit("")),
+    )
+    return with_computed(
+        texts, _full_folded=fold_case(F.col("_full")), _title_folded=fold_case(F.col("_title"))
+    )
+
+
+def _entry_labels(positive: Sequence[Rule], negative: Sequence[Rule]) -> dict[str, Column]:
+    full, folded = F.col("_full"), F.col("_full_folded")
+    return {"_pos": match_labels(positive, full, folded), "_neg": match_labels(negative, full, folded)}
+
+
+def _with_role(
+    df: DataFrame, software: Sequence[Rule], explicit: Sequence[Rule], non_software: Sequence[Rule], **also: Column
+) -> DataFrame:
+    """Adds `_non` and `_labels`: the title decides, the full text is read only where it is silent."""
+    title, folded = F.col("_title"), F.col("_title_folded")
+    titled = with_computed(
+        df,
+        _non=match_labels(non_software, title, folded),
+        _exp=match_labels(explicit, title, folded),
+        _role=match_labels(software, title, folded),
+        **also,
+    )
+    return with_computed(
+        titled,
+        _labels=F.when(_vetoed(), F.array().cast("array<string>"))
+        .when(F.size("_role") > 0, F.col("_role"))
+        .otherwise(match_labels(software, F.col("_full"), F.col("_full_folded"))),
+    )
+
+
+def _vetoed() -> Column:
+    return (F.size("_non") > 0) & (F.size("_exp") == 0)
+
+
+def with_entry_score(
+    df: DataFrame,
+    into: str = "entry",
+    title: str = "title",
+    description: str = "description_text",
+    level: str = "level",
     positive: Sequence[Rule] = rules.ENTRY_POSITIVE,
     negative: Sequence[Rule] = rules.ENTRY_NEGATIVE,
     positive_weight: float = rules.POSITIVE_WEIGHT,
     negative_weight: float = rules.NEGATIVE_WEIGHT,
     threshold: float = rules.ENTRY_THRESHOLD,
-) -> Column:
-    """Struct(score, is_entry_level, matched_positive, matched_negative)."""
-    text = combined_text(title, level, description)
-    labels = F.struct(
-        match_labels(positive, text).alias("matched_positive"),
-        match_labels(negative, text).alias("matched_negative"),
+) -> DataFrame:
+    """Adds a struct(score, is_entry_level, matched_positive, matched_negative)."""
+    labelled = with_computed(_with_texts(df, title, description, level), **_entry_labels(positive, negative))
+    score = F.size("_pos") * positive_weight - F.size("_neg") * negative_weight
+    entry = F.struct(
+        score.alias("score"),
+        (score > threshold).alias("is_entry_level"),
+        F.col("_pos").alias("matched_positive"),
+        F.col("_neg").alias("matched_negative"),
     )
-    return _with(
-        labels,
-        lambda m: F.struct(
-            _score(m, positive_weight, negative_weight).alias("score"),
-            (_score(m, positive_weight, negative_weight) > threshold).alias("is_entry_level"),
-            m["matched_positive"].alias("matched_positive"),
-            m["matched_negative"].alias("matched_negative"),
-        ),
+    return labelled.withColumn(into, entry).drop(*_SCRATCH)
+
+
+def with_software_role(
+    df: DataFrame,
+    into: str = "role",
+    title: str = "title",
+    description: str = "description_text",
+    level: str = "level",
+    software: Sequence[Rule] = rules.SOFTWARE,
+    explicit: Sequence[Rule] = rules.EXPLICIT_SOFTWARE_TITLE,
+    non_software: Sequence[Rule] = rules.NON_SOFTWARE,
+) -> DataFrame:
+    """Adds a struct(is_software, software_matched, non_software_matched, reason)."""
+    labelled = _with_role(_with_texts(df, title, description, level), software, explicit, non_software)
+    role = F.struct(
+        (F.size("_labels") > 0).alias("is_software"),
+        F.col("_labels").alias("software_matched"),
+        F.col("_non").alias("non_software_matched"),
+        F.when(_vetoed(), F.lit(rules.NON_SOFTWARE_TITLE))
+        .when(F.size("_labels") == 0, F.lit(rules.NO_SOFTWARE))
+        .alias("reason"),
     )
+    return labelled.withColumn(into, role).drop(*_SCRATCH)
 
 
-def classify_job(
-    title: Column,
-    description: Column,
-    level: Column,
+def with_job_class(
+    df: DataFrame,
+    into: str = "verdict",
+    title: str = "title",
+    description: str = "description_text",
+    level: str = "level",
     positive: Sequence[Rule] = rules.ENTRY_POSITIVE,
     negative: Sequence[Rule] = rules.ENTRY_NEGATIVE,
     software: Sequence[Rule] = rules.SOFTWARE,
     explicit: Sequence[Rule] = rules.EXPLICIT_SOFTWARE_TITLE,
     non_software: Sequence[Rule] = rules.NON_SOFTWARE,
-) -> Column:
-    """Struct of role flags, matched labels, score, rejection reason and digest eligibility.
+) -> DataFrame:
+    """Adds a struct of role and level flags, matched labels, score, reason and digest eligibility.
 
     A non-software title is vetoed unless it names a software role outright; otherwise the title
     decides, and the full text is searched only when the title says nothing.
     """
-    full = combined_text(title, level, description)
-    found = F.struct(
-        match_labels(positive, full).alias("pos"),
-        match_labels(negative, full).alias("neg"),
-        _role_labels(F.coalesce(title, F.lit("")), full, software, explicit, non_software).alias("role"),
+    labelled = _with_role(
+        _with_texts(df, title, description, level),
+        software,
+        explicit,
+        non_software,
+        **_entry_labels(positive, negative),
     )
-
-    def verdict(m: Column) -> Column:
-        vetoed = m["role"]["vetoed"]
-        is_software = ~vetoed & (F.size(m["role"]["software"]) > 0)
-        score = F.size(m["pos"]) * rules.POSITIVE_WEIGHT - F.size(m["neg"]) * rules.NEGATIVE_WEIGHT
-        is_entry = score > rules.ENTRY_THRESHOLD
-        return F.struct(
-            is_software.alias("is_software_engineering_related"),
-            is_entry.alias("is_entry_level"),
-            m["role"]["software"].alias("software_matched"),
-            m["role"]["non_software"].alias("non_software_matched"),
-            m["pos"].alias("entry_level_matched"),
-            m["neg"].alias("entry_level_negative_matched"),
-            score.alias("entry_level_score"),
-            F.when(vetoed, F.lit(rules.NON_SOFTWARE_TITLE))
-            .when(~is_software, F.lit(rules.NO_SOFTWARE))
-            .when(~is_entry, F.lit(rules.NOT_ENTRY_LEVEL))
-            .alias("rejection_reason"),
-            (is_software & is_entry).alias("is_digest_eligible"),
-        )
-
-    return _with(found, verdict)
-
-
-def classify_software(title: Column, description: Column, level: Column) -> Column:
-    """Struct(is_software, software_matched, non_software_matched, reason) without the entry score."""
-    full = combined_text(title, level, description)
-    role = _role_labels(
-        F.coalesce(title, F.lit("")), full, rules.SOFTWARE, rules.EXPLICIT_SOFTWARE_TITLE, rules.NON_SOFTWARE
-    )
-    return _with(
-        role,
-        lambda r: F.struct(
-            (~r["vetoed"] & (F.size(r["software"]) > 0)).alias("is_software"),
-            r["software"].alias("software_matched"),
-            r["non_software"].alias("non_software_matched"),
-            F.when(r["vetoed"], F.lit(rules.NON_SOFTWARE_TITLE))
-            .when(F.size(r["software"]) == 0, F.lit(rules.NO_SOFTWARE))
-            .alias("reason"),
-        ),
-    )
-
-
-def _role_labels(title, full, software, explicit, non_software) -> Column:
-    title_folded = fold_case(title)
-    seen = F.struct(
-        match_labels(non_software, title, title_folded).alias("non_software"),
-        match_labels(software, title, title_folded).alias("software"),
-        match_labels(explicit, title, title_folded).alias("explicit"),
+    is_software = F.size("_labels") > 0
+    score = F.size("_pos") * rules.POSITIVE_WEIGHT - F.size("_neg") * rules.NEGATIVE_WEIGHT
+    is_entry = score > rules.ENTRY_THRESHOLD
+    verdict = F.struct(
+        is_software.alias("is_software_engineering_related"),
+        is_entry.alias("is_entry_level"),
+        F.col("_labels").alias("software_matched"),
+        F.col("_non").alias("non_software_matched"),
+        F.col("_pos").alias("entry_level_matched"),
+        F.col("_neg").alias("entry_level_negative_matched"),
+        score.alias("entry_level_score"),
+        F.when(_vetoed(), F.lit(rules.NON_SOFTWARE_TITLE))
+        .when(~is_software, F.lit(rules.NO_SOFTWARE))
+        .when(~is_entry, F.lit(rules.NOT_ENTRY_LEVEL))
+        .alias("rejection_reason"),
+        (is_software & is_entry).alias("is_digest_eligible"),
     )
-
-    def decide(s: Column) -> Column:
-        vetoed = (F.size(s["non_software"]) > 0) & (F.size(s["explicit"]) == 0)
-        labels = (
-            F.when(vetoed, F.array().cast("array<string>"))
-            .when(F.size(s["software"]) > 0, s["software"])
-            .otherwise(match_labels(software, full))
-        )
-        return F.struct(
-            vetoed.alias("vetoed"), labels.alias("software"), s["non_software"].alias("non_software")
-        )
-
-    return _with(seen, decide)
-
-
-def _score(m: Column, positive_weight: float, negative_weight: float) -> Column:
-    return F.size(m["matched_positive"]) * positive_weight - F.size(m["matched_negative"]) * negative_weight
-
-
-def _with(value: Column, body) -> Column:
-    """`body(value)` with `value` computed once, however often the body mentions it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return labelled.withColumn(into, verdict).drop(*_SCRATCH)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tidemark import rules
+from tidemark.functions.bind import let
 from tidemark.functions.text import normalize_whitespace, strip
 
 US, REMOTE_US, INTERNATIONAL, UNKNOWN = "US", "REMOTE_US", "INTERNATIONAL", "UNKNOWN"
@@ -19,7 +20,7 @@ def location_segments(normalized: Column) -> Column:
     """Alternatives listed in one location text; the text itself when nothing is left of them."""
     pieces = F.transform(F.split(normalized, f"(?iU){rules.LOCATION_SPLIT}", -1), strip)
     kept = F.filter(pieces, lambda p: p != "")
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(normalized))
+    return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(normalized)))
 
 
 def mentions_state(segment: Column) -> Column:
@@ -28,11 +29,14 @@ def mentions_state(segment: Column) -> Column:
     after_comma = segment.rlike(rf"(?iU),\s*({codes})\b")
     words = F.split(F.trim(F.regexp_replace(segment, r"(?U)[\s,\x1c-\x1f]+", " ")), " ")
 
-    def is_state(word: Column, i: Column) -> Column:
-        code = F.regexp_replace(word, "[^a-z]", "").isin(*rules.HOME_STATES)
-        return code & ((i == 0) | ~F.get(words, i - 1).isin("in", "of"))
+    def any_state(tokens: Column) -> Column:
+        def is_state(word: Column, i: Column) -> Column:
+            code = F.regexp_replace(word, "[^a-z]", "").isin(*rules.HOME_STATES)
+            return code & ((i == 0) | ~F.get(tokens, i - 1).isin("in", "of"))
 
-    return after_comma | F.exists(F.transform(words, is_state), lambda hit: hit)
+        return F.exists(F.transform(tokens, is_state), lambda hit: hit)
+
+    return after_comma | let(words, any_state)
 
 
 def classify_segment(segment: Column) -> Column:
@@ -61,8 +65,10 @@ def classify_location(location: Column) -> Column:
             .otherwise(F.lit(REMOTE_US))
         )
 
-    kinds = F.transform(location_segments(normalize_location(location)), classify_segment)
-    return F.element_at(F.transform(F.array(kinds), verdict), 1)
+    def kinds(normalized: Column) -> Column:
+        return let(location_segments(normalized), lambda segments: F.transform(segments, classify_segment))
+
+    return let(let(normalize_location(location), kinds), verdict)
 
 
 def is_us_or_remote(location: Column) -> Column:

@@ -6,16 +6,16 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 from tidemark import rules
 
 # What counts as white space for str.strip / str.split / "\s": Unicode spaces plus U+001C..U+001F.
 SPACE = r"[\s\x1c-\x1f]"
-# Characters known to be left alone by NFKC and to take part in no composition: ASCII, the
-# precomposed Latin letters, and the common dashes, quotes and bullets.
+# Characters known to be left alone by NFKC and to take part in no composition: ASCII but U+0001,
+# the precomposed Latin letters, and the common dashes, quotes and bullets.
 NFKC_STABLE = (
-    "\\x00-\\x7fÀ-ıĴ-ľŁ-ňŊ-ž‐‒-―‘-‟†-•"
+    "\\x00\\x02-\\x7fÀ-ıĴ-ľŁ-ňŊ-ž‐‒-―‘-‟†-•"
 )
 
 
@@ -45,36 +45,42 @@ def fold_case(value: Column) -> Column:
     return F.lower(F.translate(value, "İıſK", "iisk"))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _nfkc_parts(parts: pd.Series) -> pd.Series:
-    def convert(row):
-        return None if row is None else [unicodedata.normalize("NFKC", p) for p in row]
+@F.pandas_udf(StringType())
+def _exact_key(parts: pd.Series) -> pd.Series:
+    """Normalised parts joined by pipes; null rows stay null."""
 
-    return parts.map(convert)
+    def join(row):
+        if row is None:
+            return None
+        return "|".join(" ".join(unicodedata.normalize("NFKC", p).lower().split()) for p in row)
 
+    return parts.map(join)
 
-def _normal_forms(parts: Column) -> Column:
-    """NFKC of every array element; rows made of stable characters skip the conversion."""
-    unstable = F.exists(parts, lambda p: p.rlike(f"[^{NFKC_STABLE}]"))
-    return F.coalesce(_nfkc_parts(F.when(unstable, parts)), parts)
 
+def _key(parts: list[Column]) -> Column:
+    """The parts normalised (null as empty, NFKC, lower case, trimmed, collapsed), joined by pipes.
 
-def _key_form(value: Column) -> Column:
-    return normalize_whitespace(F.lower(value))
+    Rows whose characters NFKC leaves alone are done here on one string, with U+0001 between the
+    parts until the blanks around it are gone. Only other rows reach the Python function.
+    """
+    present = [F.coalesce(p, F.lit("")) for p in parts]
+    joined = F.concat_ws("\x01", *present)
+    blanks = F.regexp_replace(F.lower(joined), f"(?U){SPACE}+", " ")
+    native = F.regexp_replace(F.trim(blanks), " ?\x01 ?", "|")
+    shape = "\\x01".join([f"[{NFKC_STABLE}]*"] * len(parts))
+    return F.coalesce(_exact_key(F.when(~joined.rlike(f"^{shape}$"), F.array(*present))), native)
 
 
 def normalize_for_fingerprint(value: Column) -> Column:
     """Null becomes the empty string; then NFKC, lower case, trimmed and collapsed."""
-    return _key_form(F.element_at(_normal_forms(F.array(F.coalesce(value, F.lit("")))), 1))
+    return _key([value])
 
 
 def fingerprint(
     company_name: Column, title: Column, location: Column, url: Column, external_job_id: Column
 ) -> Column:
     """SHA-256 hex of the five normalised parts joined by a pipe (not escaped)."""
-    given = (company_name, title, location, url, external_job_id)
-    parts = _normal_forms(F.array(*[F.coalesce(p, F.lit("")) for p in given]))
-    return F.sha2(F.array_join(F.transform(parts, _key_form), "|"), 256)
+    return F.sha2(_key([company_name, title, location, url, external_job_id]), 256)
 
 
 def title_from_link_text(text: Column) -> Column:

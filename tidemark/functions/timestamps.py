@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tidemark.functions.bind import let
+
 _DATE = r"(\d{4})-?(\d{2})-?(\d{2})"
 _WEEK = r"(\d{4})-?W(\d{2})(?:-?(\d))?"
 _CLOCK = r"(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
@@ -15,9 +17,21 @@ _SHAPE = (
     r"(?:Z|[+-]\d{2}|[+-]\d{2}:\d{2}|[+-]\d{2}:\d{2}:\d{2}(?:\.\d+)?|[+-]\d{4}|[+-]\d{6}(?:\.\d+)?)?)?$"
 )
 
+# The extended form with T or a blank, which a cast reads (naive texts in the session zone, UTC).
+_USUAL = (
+    r"^(?!0000)\d{4}-\d{2}-\d{2}(?:[T ](?:[01]\d|2[0-3]):\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-](?:0\d|1[0-7]):[0-5]\d)?)?$"
+)
+
 
 def parse_iso(text: Column) -> Column:
     """ISO-8601 date or date-time, else null. A text without an offset is read as UTC."""
+    usual = text.rlike(_USUAL)
+    return F.when(usual, text.try_cast("timestamp")).when(
+        text.rlike(_SHAPE), let(F.when(~usual, text), _parse_shaped)
+    )
+
+
+def _parse_shaped(text: Column) -> Column:
     week = text.rlike(r"^\d{4}-?W")
     date_part = F.when(week, F.regexp_extract(text, f"^{_WEEK}", 0)).otherwise(
         F.regexp_extract(text, f"^{_DATE}", 0)
@@ -54,7 +68,7 @@ def parse_iso(text: Column) -> Column:
     )
     seconds = F.unix_date(day).cast("bigint") * 86400 + hh * 3600 + mm * 60 + ss - offset
     valid = (
-        text.rlike(_SHAPE) & day.isNotNull() & (hh < 24) & (mm < 60) & (ss < 60) & (F.abs(offset) < 86400)
+        text.isNotNull() & day.isNotNull() & (hh < 24) & (mm < 60) & (ss < 60) & (F.abs(offset) < 86400)
     )
     return F.when(valid, F.timestamp_micros(seconds * 1_000_000 + micros))
 
@@ -67,6 +81,10 @@ def from_epoch(number: Column, unit: str = "auto") -> Column:
         "ms": value / 1000.0,
         "auto": F.when(value > 1e12, value / 1000.0).otherwise(value),
     }[unit]
+    return let(seconds, _from_seconds)
+
+
+def _from_seconds(seconds: Column) -> Column:
     in_range = seconds.between(-62135596800.0, 253402300799.0)
     return F.when(in_range, F.timestamp_micros(F.bround(seconds * 1_000_000).cast("bigint")))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tidemark.functions.bind import let
 from tidemark.functions.text import strip, strip_right
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -117,7 +118,7 @@ def resolve_url(base: Column, ref: Column) -> Column:
         )
 
     both = F.struct(split_url(base).alias("b"), split_url(ref).alias("r"))
-    resolved = F.element_at(F.transform(F.array(both), general), 1)
+    resolved = let(both, general)
     plain = ref.rlike(_PLAIN_ROOTED) & ~ref.rlike(_DOT_SEGMENT) & base.rlike(r"^https?://[^/?#]+")
     return (
         F.when(base == "", ref)

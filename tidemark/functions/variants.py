@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tidemark.functions.bind import let
 from tidemark.functions.timestamps import from_epoch, parse_iso
 
 _FALSY = r'^(?:null|""|false|\[\]|\{\}|-?0+(?:\.0*)?(?:[eE][+-]?\d+)?)$'
@@ -59,7 +60,7 @@ def text_or(value: Column, default) -> Column:
 
 def elements(value: Column) -> Column:
     """Array elements; null unless the value is a list."""
-    return F.when(is_kind(value, "ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def objects(value: Column) -> Column:
@@ -74,6 +75,10 @@ def not_text(value: Column) -> Column:
 
 def timestamp(value: Column, unit: str | None = "auto") -> Column:
     """ISO text, or an epoch number when `unit` is given (see from_epoch); else null."""
+    return let(value, lambda v: _timestamp(v, unit))
+
+
+def _timestamp(value: Column, unit: str | None) -> Column:
     iso = F.when(is_kind(value, "STRING"), parse_iso(F.try_variant_get(value, "$", "string")))
     if unit is None:
         return iso

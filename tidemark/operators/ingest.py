@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.classify import classify_job
+from tidemark.functions.classify import with_job_class
 from tidemark.functions.location import KEPT, classify_location
 from tidemark.functions.text import fingerprint
 from tidemark.operators.providers import PAGE_SPAN
@@ -89,11 +89,9 @@ def keep_us(postings: DataFrame, us_only: bool = True) -> DataFrame:
 
 def prepare_batch(postings: DataFrame, scanned: DataFrame, us_only: bool = True) -> DataFrame:
     """Kept postings of scanned companies with fingerprint and classification flags."""
-    verdict = classify_job(F.col("title"), F.col("description_text"), F.col("level"))
+    kept = keep_us(postings.drop("company_name"), us_only).join(scanned, ["company_id", "cycle_ts"])
     return (
-        keep_us(postings.drop("company_name"), us_only)
-        .join(scanned, ["company_id", "cycle_ts"])
-        .withColumn("verdict", verdict)
+        with_job_class(kept)
         .withColumn(
             "fingerprint_hash",
             fingerprint(*[F.col(c) for c in ("company_name", "title", "location", "url", "external_job_id")]),
@@ -284,13 +282,12 @@ def drop_orphans(jobs: DataFrame, companies: DataFrame) -> DataFrame:
 
 def reclassify(jobs: DataFrame) -> DataFrame:
     """All stored jobs with the current rules applied."""
-    verdict = classify_job(F.col("title"), F.col("description_text"), F.col("level"))
     changed = {
         "entry_level_score": F.col("verdict.entry_level_score"),
         "is_entry_level": F.col("verdict.is_entry_level"),
         "is_software_engineering_related": F.col("verdict.is_software_engineering_related"),
     }
-    return jobs.withColumn("verdict", verdict).withColumns(changed).drop("verdict")
+    return with_job_class(jobs).withColumns(changed).drop("verdict")
 
 
 def reclassify_tally(reclassified: DataFrame) -> DataFrame:
