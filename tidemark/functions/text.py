@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 from tidemark import rules
 
-# What counts as white space for str.strip / str.split / "\s": Unicode spaces plus U+001C..U+001F.
-SPACE = r"[\s\x1c-\x1f]"
+# What counts as white space for str.strip, str.split and "\s": the controls, the Unicode spaces
+# and U+001C..U+001F. Spelled out, as a plain character class is much faster than a property.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # Characters known to be left alone by NFKC and to take part in no composition: ASCII but U+0001,
 # the precomposed Latin letters, and the common dashes, quotes and bullets.
 NFKC_STABLE = (
@@ -24,7 +26,7 @@ def lit_or_col(value) -> Column:
 
 
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(value, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def strip_right(value: Column, char: str) -> Column:
@@ -33,7 +35,7 @@ def strip_right(value: Column, char: str) -> Column:
 
 def normalize_whitespace(value: Column) -> Column:
     """Trimmed, with every run of white space as one blank."""
-    return F.trim(F.regexp_replace(value, f"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(value, f"{SPACE}+", " "))
 
 
 def blank_to_null(value: Column) -> Column:
@@ -45,16 +47,18 @@ def fold_case(value: Column) -> Column:
     return F.lower(F.translate(value, "İıſK", "iisk"))
 
 
-@F.pandas_udf(StringType())
-def _exact_key(parts: pd.Series) -> pd.Series:
-    """Normalised parts joined by pipes; null rows stay null."""
+@F.arrow_udf(StringType())
+def _exact_key(parts: pa.Array) -> pa.Array:
+    """JSON lists of parts to normalised parts joined by pipes; most rows are null and stay so."""
+    if parts.null_count == len(parts):
+        return parts
 
-    def join(row):
+    def join(row: str | None) -> str | None:
         if row is None:
             return None
-        return "|".join(" ".join(unicodedata.normalize("NFKC", p).lower().split()) for p in row)
+        return "|".join(" ".join(unicodedata.normalize("NFKC", p).lower().split()) for p in json.loads(row))
 
-    return parts.map(join)
+    return pa.array([join(row) for row in parts.to_pylist()], pa.string())
 
 
 def _key(parts: list[Column]) -> Column:
@@ -65,10 +69,10 @@ def _key(parts: list[Column]) -> Column:
     """
     present = [F.coalesce(p, F.lit("")) for p in parts]
     joined = F.concat_ws("\x01", *present)
-    blanks = F.regexp_replace(F.lower(joined), f"(?U){SPACE}+", " ")
+    blanks = F.regexp_replace(F.lower(joined), f"{SPACE}+", " ")
     native = F.regexp_replace(F.trim(blanks), " ?\x01 ?", "|")
-    shape = "\\x01".join([f"[{NFKC_STABLE}]*"] * len(parts))
-    return F.coalesce(_exact_key(F.when(~joined.rlike(f"^{shape}$"), F.array(*present))), native)
+    shape = "\\x01".join([f"[{NFKC_STABLE}]*+"] * len(parts))
+    return F.coalesce(_exact_key(F.when(~joined.rlike(f"^{shape}$"), F.to_json(F.array(*present)))), native)
 
 
 def normalize_for_fingerprint(value: Column) -> Column:

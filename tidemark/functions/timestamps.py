@@ -32,45 +32,53 @@ def parse_iso(text: Column) -> Column:
 
 
 def _parse_shaped(text: Column) -> Column:
-    week = text.rlike(r"^\d{4}-?W")
-    date_part = F.when(week, F.regexp_extract(text, f"^{_WEEK}", 0)).otherwise(
-        F.regexp_extract(text, f"^{_DATE}", 0)
-    )
-    rest = F.substring(text, F.length(date_part) + 2, F.length(text))
     tail = f"^{_CLOCK}{_ZONE}$"
 
     def number(column: Column, pattern: str, group: int) -> Column:
         return F.coalesce(F.regexp_extract(column, pattern, group).try_cast("int"), F.lit(0))
 
-    y, m, d = (number(text, f"^{_DATE}", i) for i in (1, 2, 3))
-    wy, wn, wd = (number(text, f"^{_WEEK}", i) for i in (1, 2, 3))
-    week_day = F.when(F.regexp_extract(text, f"^{_WEEK}", 3) == "", F.lit(1)).otherwise(wd)
-    first_monday = F.trunc(F.try_to_date(F.concat(F.lpad(wy.cast("string"), 4, "0"), F.lit("-01-04"))), "week")
-    last_week = F.weekofyear(F.try_to_date(F.concat(F.lpad(wy.cast("string"), 4, "0"), F.lit("-12-28"))))
-    by_week = F.when(
-        wn.between(1, last_week) & week_day.between(1, 7),
-        F.date_add(first_monday, (wn - 1) * 7 + week_day - 1),
-    )
-    by_day = F.try_to_date(
-        F.concat_ws("-", *[F.lpad(c.cast("string"), n, "0") for c, n in ((y, 4), (m, 2), (d, 2))])
+    def clock(rest: Column) -> Column:
+        return F.struct(
+            *[number(rest, tail, i).alias(n) for i, n in ((1, "hh"), (2, "mm"), (3, "ss"))],
+            F.rpad(F.substring(F.regexp_extract(rest, tail, 4), 1, 6), 6, "0").cast("int").alias("micros"),
+            let(F.regexp_extract(rest, tail, 5), _zone_offset).alias("offset"),
+        )
+
+    def assembled(x: Column) -> Column:
+        day, c = x["day"], x["clock"]
+        seconds = F.unix_date(day).cast("bigint") * 86400 + c["hh"] * 3600 + c["mm"] * 60 + c["ss"] - c["offset"]
+        valid = (c["hh"] < 24) & (c["mm"] < 60) & (c["ss"] < 60) & (F.abs(c["offset"]) < 86400)
+        return F.when(valid & day.isNotNull(), F.timestamp_micros(seconds * 1_000_000 + c["micros"]))
+
+    date_part = F.regexp_extract(text, f"^(?:{_WEEK}|{_DATE})", 0)
+    day = F.when(text.rlike(r"^\d{4}-?W"), _week_day(text)).otherwise(
+        F.try_to_date(F.nullif(F.regexp_replace(date_part, f"^{_DATE}$", "$1-$2-$3"), F.lit("0000-00-00")))
     )
-    day = F.when(week, by_week).when(y > 0, by_day)
-    hh, mm, ss = (number(rest, tail, i) for i in (1, 2, 3))
-    micros = F.rpad(F.substring(F.regexp_extract(rest, tail, 4), 1, 6), 6, "0").cast("int")
-    zone = F.regexp_extract(rest, tail, 5)
-    zone_digits = F.regexp_replace(F.substring(zone, 2, 20), r":|\..*$", "")
+    rest = let(F.length(date_part) + 2, lambda start: F.substring(text, start, F.length(text)))
+    parts = F.struct(F.when(~text.startswith("0000"), day).alias("day"), let(rest, clock).alias("clock"))
+    return let(parts, assembled)
 
-    def zone_field(start: int) -> Column:
-        return F.coalesce(F.substring(zone_digits, start, 2).try_cast("int"), F.lit(0))
 
-    offset = F.when(zone.startswith("-"), -1).otherwise(1) * (
-        zone_field(1) * 3600 + zone_field(3) * 60 + zone_field(5)
-    )
-    seconds = F.unix_date(day).cast("bigint") * 86400 + hh * 3600 + mm * 60 + ss - offset
-    valid = (
-        text.isNotNull() & day.isNotNull() & (hh < 24) & (mm < 60) & (ss < 60) & (F.abs(offset) < 86400)
-    )
-    return F.when(valid, F.timestamp_micros(seconds * 1_000_000 + micros))
+def _week_day(text: Column) -> Column:
+    """Date of an ISO week text: year, week, and day of the week (Monday where it is left out)."""
+    year = F.substring(text, 1, 4)
+    week = F.regexp_extract(text, f"^{_WEEK}", 2).try_cast("int")
+    weekday = F.coalesce(F.regexp_extract(text, f"^{_WEEK}", 3).try_cast("int"), F.lit(1))
+    monday = F.trunc(F.try_to_date(F.concat(year, F.lit("-01-04"))), "week")
+    weeks = F.weekofyear(F.try_to_date(F.concat(year, F.lit("-12-28"))))
+    return F.when(week.between(1, weeks) & weekday.between(1, 7), F.date_add(monday, (week - 1) * 7 + weekday - 1))
+
+
+def _zone_offset(zone: Column) -> Column:
+    digits = F.regexp_replace(F.substring(zone, 2, 20), r":|\..*$", "")
+
+    def seconds(d: Column) -> Column:
+        def pair(start: int) -> Column:
+            return F.coalesce(F.substring(d, start, 2).try_cast("int"), F.lit(0))
+
+        return pair(1) * 3600 + pair(3) * 60 + pair(5)
+
+    return F.when(zone.startswith("-"), -1).otherwise(1) * let(digits, seconds)
 
 
 def from_epoch(number: Column, unit: str = "auto") -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import rules
+from tidemark.functions.bind import let, with_computed
 from tidemark.functions.text import strip, strip_right
 from tidemark.functions.urls import gem_board_url, gem_slug, path, resolve_url
 from tidemark.operators.providers import page_setting, shape_postings
@@ -34,41 +35,46 @@ def extract_hrefs(html: Column, base: Column) -> Column:
 
 
 def page_links(pages: DataFrame, html: str = "body", base: str = "page_url") -> DataFrame:
-    """One row per link of a page: (..., pos, url). The page text is dropped before exploding."""
-    found = pages.withColumn("links", extract_hrefs(F.col(html), F.col(base))).drop(html)
-    return found.select("*", F.posexplode("links").alias("pos", "url")).drop("links")
+    """One row per link of a page: (..., pos, url). The page text is not carried along."""
+    links = extract_hrefs(F.col(html), F.col(base))
+    return pages.select(*[c for c in pages.columns if c != html], F.posexplode(links).alias("pos", "url"))
 
 
 def gem_links(html: Column, base: Column) -> Column:
     """Job links of a board page; filtered hrefs when there are none."""
-    company = gem_slug(base)
-    hits = F.array_distinct(
-        F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(f"(?iU){rules.GEM_JOB_URL}"), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(f"(?iU){rules.GEM_JOB_URL}"), F.lit(0))
+    known = F.struct(
+        F.array_distinct(found).alias("hits"),
+        gem_slug(base).alias("company"),
+        strip_right(gem_board_url(base), "/").alias("prefix"),
     )
-    own = F.filter(
-        hits,
-        lambda u: company.isNull()
-        | (F.lower(F.regexp_extract(u, f"(?iU){rules.GEM_JOB_URL}", 1)) == F.lower(company)),
-    )
-    prefix = strip_right(gem_board_url(base), "/")
 
-    def listed(u: Column) -> Column:
-        on_board = company.isNull() | F.lower(u).contains(F.concat(F.lit("jobs.gem.com/"), company, F.lit("/")))
-        return (
-            F.lower(u).contains("jobs.gem.com")
-            & (strip_right(u, "/") != prefix)
-            & ~F.array_contains(hits, u)
-            & on_board
-        )
+    def links(x: Column) -> Column:
+        hits, company = x["hits"], x["company"]
+
+        def own(u: Column) -> Column:
+            slug = F.regexp_extract(u, f"(?iU){rules.GEM_JOB_URL}", 1)
+            return company.isNull() | (F.lower(slug) == F.lower(company))
+
+        def listed(u: Column) -> Column:
+            low = F.lower(u)
+            on_board = company.isNull() | low.contains(F.concat(F.lit("jobs.gem.com/"), company, F.lit("/")))
+            fresh = (strip_right(u, "/") != x["prefix"]) & ~F.array_contains(hits, u)
+            return low.contains("jobs.gem.com") & fresh & on_board
 
-    return F.when(F.size(own) > 0, own).otherwise(F.filter(extract_hrefs(html, base), listed))
+        fallback = F.filter(extract_hrefs(html, base), listed)
+        return let(F.filter(hits, own), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(fallback))
+
+    return let(known, links)
 
 
 def gem_title(url: Column) -> Column:
-    parts = F.split(F.trim(path(url), F.lit("/")), "/", -1)
-    tail = F.element_at(parts, -1)
-    numbered = (F.size(parts) >= 2) & (tail.rlike(r"^\p{Nd}+$") | tail.startswith("am9icG9zd"))
-    return F.when(numbered, F.concat(F.lit("Role at "), F.get(parts, F.lit(0)))).otherwise(F.lit("Open role"))
+
+    def title(parts: Column) -> Column:
+        numbered = (F.size(parts) >= 2) & F.element_at(parts, -1).rlike(r"^(?:\p{Nd}+$|am9icG9zd)")
+        return F.when(numbered, F.concat(F.lit("Role at "), F.get(parts, F.lit(0)))).otherwise(F.lit("Open role"))
+
+    return let(F.split(F.trim(path(url), F.lit("/")), "/", -1), title)
 
 
 def gem_external_id(url: Column) -> Column:
@@ -83,31 +89,39 @@ def icims_items(html: Column, base: Column) -> Column:
     hrefs = F.array_distinct(
         F.transform(F.regexp_extract_all(text, F.lit(f"(?iU){rules.ICIMS_JOB_HREF}"), F.lit(1)), strip)
     )
-    urls = F.transform(hrefs, lambda h: resolve_url(base, h))
-    first_only = F.filter(
-        F.arrays_zip(urls.alias("url"), hrefs.alias("href")),
-        lambda x, i: F.array_position(urls, x["url"]) == i + 1,
-    )
 
     def titled(x: Column) -> Column:
         return F.struct(x["url"].alias("url"), _title_near(text, x["href"]).alias("title"))
 
-    fallback = F.filter(
-        extract_hrefs(html, base),
-        lambda u: F.lower(u).contains("icims.com")
-        & path(u).rlike(f"(?iU){rules.ICIMS_JOB_PATH}")
-        & ~F.lower(u).contains("/login"),
-    )
-    untitled = F.transform(fallback, lambda u: F.struct(u.alias("url"), F.lit("Open position").alias("title")))
-    return F.when(F.size(hrefs) > 0, F.transform(first_only, titled)).otherwise(untitled)
+    def listed(u: Column) -> Column:
+        low = F.lower(u)
+        on_job_page = path(u).rlike(f"(?iU){rules.ICIMS_JOB_PATH}")
+        return low.contains("icims.com") & on_job_page & ~low.contains("/login")
+
+    def untitled(u: Column) -> Column:
+        return F.struct(u.alias("url"), F.lit("Open position").alias("title"))
+
+    def choose(found: Column) -> Column:
+        urls = F.transform(found, lambda x: x["url"])
+        firsts = let(urls, lambda seen: F.filter(found, lambda x, i: F.array_position(seen, x["url"]) == i + 1))
+        fallback = F.transform(F.filter(extract_hrefs(html, base), listed), untitled)
+        return F.when(F.size(found) > 0, F.transform(firsts, titled)).otherwise(fallback)
+
+    def resolved(href: Column) -> Column:
+        return F.struct(resolve_url(base, href).alias("url"), href.alias("href"))
+
+    return let(F.transform(hrefs, resolved), choose)
 
 
 def _title_near(html: Column, href: Column) -> Column:
-    at = F.position(href, html)
-    start = F.greatest(at - rules.ICIMS_TITLE_RADIUS, F.lit(1))
-    window = F.substring(html, start, at + rules.ICIMS_TITLE_RADIUS - start)
-    title = strip(F.regexp_extract(window, rules.ICIMS_TITLE, 1))
-    return F.when(title == "", F.lit("Open position")).otherwise(title)
+    """Text of the first tag around the first mention of a link; the window starts before it."""
+
+    def window(at: Column) -> Column:
+        start = F.greatest(at - rules.ICIMS_TITLE_RADIUS, F.lit(1))
+        return F.substring(html, start, at + rules.ICIMS_TITLE_RADIUS - start)
+
+    title = strip(F.regexp_extract(let(F.position(href, html), window), rules.ICIMS_TITLE, 1))
+    return F.coalesce(F.nullif(title, F.lit("")), F.lit("Open position"))
 
 
 def icims_external_id(url: Column) -> Column:
@@ -125,36 +139,37 @@ def smartrecruiters_links(html: Column, base: Column) -> Column:
 
 
 def _link_postings(captures, source_type, links: Column, title, external_id=None) -> DataFrame:
-    rows = captures.withColumn("links", links).drop("body")
-    rows = rows.select("*", F.posexplode("links").alias("pos", "url")).drop("links")
-    columns = {"title": title(F.col("url")), "url": F.col("url")}
+    rows = captures.select(*captures.columns, F.posexplode(links).alias("pos", "url")).drop("body")
+    rows = with_computed(rows, title=title(F.col("url")))
+    columns = {"title": F.col("title"), "url": F.col("url")}
     if external_id:
         columns["external_job_id"] = external_id(F.col("url"))
     return shape_postings(
         rows,
         source_type,
         keep=("method",),
-        raw_payload=F.to_json(F.struct(columns["title"].alias("title"), F.col("url"))),
+        raw_payload=F.to_json(F.struct("title", "url")),
         **columns,
     )
 
 
 def gem(captures: DataFrame) -> DataFrame:
-    board = gem_board_url(page_setting("careers_url"))
-    return _link_postings(captures, "gem", gem_links(F.col("body"), board), gem_title, gem_external_id).drop("method")
+    captures = with_computed(captures, board=gem_board_url(page_setting("careers_url")))
+    return _link_postings(captures, "gem", gem_links(F.col("body"), F.col("board")), gem_title, gem_external_id).drop("method")
 
 
 def smartrecruiters_html(captures: DataFrame) -> DataFrame:
-    careers = page_setting("careers_url")
-    links = smartrecruiters_links(F.col("body"), careers)
+    captures = with_computed(captures, careers=page_setting("careers_url"))
+    links = smartrecruiters_links(F.col("body"), F.col("careers"))
     return _link_postings(captures, "smartrecruiters", links, lambda _: F.lit("Open position"))
 
 
 def icims(captures: DataFrame) -> DataFrame:
     """Keeps `method`, so that `choose_method` can pick between the plain and the rendered page."""
-    careers = page_setting("careers_url")
-    rows = captures.withColumn("found", icims_items(F.col("body"), careers)).drop("body")
-    rows = rows.select("*", F.posexplode("found").alias("pos", "item")).drop("found")
+    captures = with_computed(captures, careers=page_setting("careers_url"))
+    careers = F.col("careers")
+    items = F.posexplode(icims_items(F.col("body"), careers)).alias("pos", "item")
+    rows = captures.select(*captures.columns, items).drop("body")
     url = F.col("item.url")
     return shape_postings(
         rows,

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import rules
 from tidemark.functions import variants as V
+from tidemark.functions.bind import with_computed
 from tidemark.functions.source_urls import setting
 from tidemark.functions.text import strip, strip_right
 from tidemark.functions.timestamps import parse_iso
@@ -52,55 +53,80 @@ def shape_postings(items: DataFrame, source_type: str, keep: tuple[str, ...] = (
     )
 
 
-def _items(captures: DataFrame, find_items) -> DataFrame:
-    """One row per object in the list that `find_items` picks from the parsed body."""
-    parsed = captures.withColumn("doc", V.parse(F.col("body"))).drop("body")
-    return parsed.select("*", F.posexplode(V.objects(find_items(F.col("doc")))).alias("pos", "item")).drop("doc")
+def _items(captures: DataFrame, find_items, *fields: str, **picks) -> DataFrame:
+    """One row per object in the list that `find_items` picks from the parsed body.
 
+    The named fields of the item are read once, as `f_<name>`, and each pick, an expression over
+    them that is used more than once, is computed once as `p_<name>`.
+    """
+    parsed = with_computed(captures, doc=V.parse(F.col("body"))).drop("body")
+    rows = parsed.select("*", F.posexplode(V.objects(find_items(F.col("doc")))).alias("pos", "item")).drop("doc")
+    read = with_computed(rows, **{f"f_{name.replace('.', '_')}": V.field(F.col("item"), name) for name in fields})
+    return with_computed(read, **{f"p_{name}": value for name, value in picks.items()}) if picks else read
+
+
+def _f(name: str) -> Column:
+    return F.col(f"f_{name.replace('.', '_')}")
 
-def _f(path: str) -> Column:
-    return V.field(F.col("item"), path)
+
+def _p(name: str) -> Column:
+    return F.col(f"p_{name}")
 
 
 def _capped(text: Column) -> Column:
     return F.substring(text, 1, rules.DESCRIPTION_CAP)
 
 
-def _type_error(name: str, *values: Column) -> Column:
-    wrong = V.not_text(values[0])
-    for v in values[1:]:
-        wrong = wrong | V.not_text(v)
-    return F.when(wrong, F.lit(name))
+def _type_error(name: str, value: Column) -> Column:
+    return F.when(V.not_text(value), F.lit(name))
 
 
 def greenhouse(captures: DataFrame) -> DataFrame:
-    place = _f("location")
-    named = V.field(place, "name")
+    items = _items(
+        captures,
+        lambda doc: V.field(doc, "jobs"),
+        "id", "title", "location", "location.name", "absolute_url", "url", "content", "updated_at", "first_published",
+        url=V.first_truthy(_f("absolute_url"), _f("url")),
+        posted=V.first_truthy(_f("updated_at"), _f("first_published")),
+    )
     return shape_postings(
-        _items(captures, lambda doc: V.field(doc, "jobs")),
+        items,
         "greenhouse",
         external_job_id=V.to_text(_f("id")),
         title=V.text_or(_f("title"), "Untitled"),
-        location=F.when(V.is_kind(place, "OBJECT"), V.string(named)).otherwise(F.nullif(V.string(place), F.lit(""))),
-        url=V.text_or(V.first_truthy(_f("absolute_url"), _f("url")), F.col("careers_url")),
+        location=F.when(V.is_kind(_f("location"), "OBJECT"), V.string(_f("location.name"))).otherwise(
+            F.nullif(V.string(_f("location")), F.lit(""))
+        ),
+        url=V.text_or(_p("url"), F.col("careers_url")),
         description_text=_capped(V.to_text(_f("content"))),
-        posted_at=V.timestamp(V.first_truthy(_f("updated_at"), _f("first_published")), "s"),
+        posted_at=V.timestamp(_p("posted"), "s"),
         raw_payload=F.to_json("item"),
-        type_errors=F.array(_type_error("location", named)),
+        type_errors=F.array(_type_error("location", _f("location.name"))),
     )
 
 
 def lever(captures: DataFrame) -> DataFrame:
-    place = _f("categories.location")
-    listed = F.transform(F.slice(V.elements(place), 1, 5), lambda x: F.coalesce(V.to_text(x), F.lit("None")))
+    items = _items(
+        captures,
+        lambda doc: doc,
+        "id", "text", "title", "categories.location", "categories.team", "hostedUrl", "applyUrl",
+        "descriptionPlain", "description", "createdAt", "updatedAt",
+        title=V.first_truthy(_f("text"), _f("title")),
+        url=V.first_truthy(_f("hostedUrl"), _f("applyUrl")),
+        places=F.transform(
+            F.slice(V.elements(_f("categories.location")), 1, 5), lambda x: F.coalesce(V.to_text(x), F.lit("None"))
+        ),
+    )
     return shape_postings(
-        _items(captures, lambda doc: doc),
+        items,
         "lever",
         external_job_id=V.to_text(_f("id")),
-        title=V.text_or(V.first_truthy(_f("text"), _f("title")), "Untitled"),
+        title=V.text_or(_p("title"), "Untitled"),
         team=V.to_text(_f("categories.team")),
-        location=F.coalesce(V.string(place), F.when(F.size(listed) > 0, F.array_join(listed, ", "))),
-        url=V.text_or(V.first_truthy(_f("hostedUrl"), _f("applyUrl")), F.col("careers_url")),
+        location=F.coalesce(
+            V.string(_f("categories.location")), F.when(F.size(_p("places")) > 0, F.array_join(_p("places"), ", "))
+        ),
+        url=V.text_or(_p("url"), F.col("careers_url")),
         description_text=_capped(V.to_text(V.first_truthy(_f("descriptionPlain"), _f("description")))),
         posted_at=V.timestamp(V.first_truthy(_f("createdAt"), _f("updatedAt")), "ms"),
         raw_payload=F.to_json("item"),
@@ -109,26 +135,34 @@ def lever(captures: DataFrame) -> DataFrame:
 
 def ashby(captures: DataFrame) -> DataFrame:
     place = V.first_truthy(_f("location"), _f("locationName"))
-    inner = V.first_truthy(V.field(place, "name"), V.field(place, "primaryLocation"))
-    inner_text = F.when(V.is_kind(inner, "OBJECT"), V.string(V.field(inner, "name"))).otherwise(V.string(inner))
-    wrong_inner = F.when(V.is_kind(inner, "OBJECT"), V.not_text(V.field(inner, "name"))).otherwise(V.not_text(inner))
+    items = _items(
+        captures,
+        lambda doc: F.coalesce(V.field(doc, "jobs"), doc),
+        "id", "title", "location", "locationName", "jobUrl", "url", "descriptionPlain", "descriptionHtml",
+        "description", "team", "employmentType", "publishedDate", "updatedAt",
+        place=place,
+        inner=V.first_truthy(V.field(place, "name"), V.field(place, "primaryLocation")),
+        url=V.first_truthy(_f("jobUrl"), _f("url")),
+    )
+    nested = V.is_kind(_p("inner"), "OBJECT")
+    inner_name = F.when(nested, V.field(_p("inner"), "name")).otherwise(_p("inner"))
     return shape_postings(
-        _items(
-            captures, lambda doc: F.when(V.is_kind(doc, "OBJECT"), V.field(doc, "jobs")).otherwise(doc)
-        ),
+        items,
         "ashby",
         external_job_id=V.to_text(_f("id")),
         title=V.text_or(_f("title"), "Untitled"),
         team=V.to_text(_f("team")),
-        location=F.when(V.is_kind(place, "OBJECT"), inner_text).otherwise(V.to_text(place)),
+        location=F.when(V.is_kind(_p("place"), "OBJECT"), V.string(inner_name)).otherwise(V.to_text(_p("place"))),
         employment_type=V.to_text(_f("employmentType")),
-        url=V.text_or(V.first_truthy(_f("jobUrl"), _f("url")), F.col("careers_url")),
+        url=V.text_or(_p("url"), F.col("careers_url")),
         description_text=_capped(
             V.to_text(V.first_truthy(_f("descriptionPlain"), _f("descriptionHtml"), _f("description")))
         ),
         posted_at=V.timestamp(V.first_truthy(_f("publishedDate"), _f("updatedAt")), None),
         raw_payload=F.to_json("item"),
-        type_errors=F.array(F.when(V.is_kind(place, "OBJECT") & wrong_inner, F.lit("location"))),
+        type_errors=F.array(
+            F.when(V.is_kind(_p("place"), "OBJECT") & V.not_text(inner_name), F.lit("location"))
+        ),
     )
 
 
@@ -138,40 +172,45 @@ def page_setting(*keys: str) -> Column:
 
 
 def workday(captures: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    careers = page_setting("careers_url", "page_url")
-    root = F.concat(origin(careers), F.lit("/"))
-
-    def on_root(path: Column) -> Column:
-        return resolve_url(root, F.ltrim(path, F.lit("/")))
-
-    own_path = V.first_truthy(_f("externalPath"), _f("externalUrl"))
-    other_path = V.first_truthy(_f("externalPath"), _f("jobPostingUrl"))
-    own, other = V.to_text(own_path), V.to_text(other_path)
-    url = (
-        F.when(V.truthy(own_path) & ~own.startswith("http"), on_root(own))
-        .when(V.truthy(_f("url")), V.to_text(_f("url")))
-        .when(V.truthy(other_path) & other.startswith("http"), other)
-        .when(V.truthy(other_path), on_root(other))
-        .otherwise(careers)
-    )
-    place = V.first_truthy(_f("locationsText"), _f("location"))
+    captures = with_computed(captures, careers=page_setting("careers_url", "page_url"))
+    careers = F.col("careers")
 
     def place_name(x: Column) -> Column:
         named = V.first_truthy(V.field(x, "descriptor"), V.field(x, "name"))
         return F.when(V.is_kind(x, "OBJECT"), F.when(V.truthy(named), V.to_text(named))).otherwise(V.string(x))
 
-    names = F.array_compact(F.transform(V.elements(place), place_name))
-    ident = V.first_truthy(_f("bulletFields"), _f("jobPostingId"), _f("id"))
-    ident_list = V.elements(ident)
+    place = V.first_truthy(_f("locationsText"), _f("location"))
+    items = _items(
+        captures,
+        lambda doc: V.first_truthy(V.field(doc, "jobPostings"), V.field(doc, "jobs")),
+        "title", "name", "jobPostingTitle", "bulletFields", "jobPostingId", "id", "locationsText", "location",
+        "externalPath", "externalUrl", "jobPostingUrl", "url", "postedOn", "startDate", "jobDescription", "description",
+        title=V.first_truthy(_f("title"), _f("name"), _f("jobPostingTitle")),
+        ident=V.first_truthy(_f("bulletFields"), _f("jobPostingId"), _f("id")),
+        place=V.string(place),
+        places=F.array_compact(F.transform(V.elements(place), place_name)),
+        own=V.text_or(V.first_truthy(_f("externalPath"), _f("externalUrl")), ""),
+        other=V.text_or(V.first_truthy(_f("externalPath"), _f("jobPostingUrl")), ""),
+        given=V.text_or(_f("url"), ""),
+    )
+    own, other, given = _p("own"), _p("other"), _p("given")
+    own_path = (own != "") & ~own.startswith("http")
+    other_path = F.when(~own_path & (given == "") & ~other.startswith("http"), other).otherwise(F.lit(""))
+    path = F.when(own_path, own).otherwise(other_path)
+    on_site = resolve_url(F.concat(origin(careers), F.lit("/")), F.ltrim(path, F.lit("/")))
+    url = (
+        F.when(path != "", on_site).when(given != "", given).when(other != "", other).otherwise(careers)
+    )
+    ident_list = V.elements(_p("ident"))
     return shape_postings(
-        _items(captures, lambda doc: V.first_truthy(V.field(doc, "jobPostings"), V.field(doc, "jobs"))),
+        items,
         "workday",
         keep=keep,
         external_job_id=F.when(
             F.size(ident_list) > 0, F.coalesce(V.to_text(F.get(ident_list, F.lit(0))), F.lit("None"))
-        ).otherwise(V.to_text(ident)),
-        title=V.text_or(V.first_truthy(_f("title"), _f("name"), _f("jobPostingTitle")), "Untitled"),
-        location=F.coalesce(V.string(place), F.when(F.size(names) > 0, F.array_join(names, ", "))),
+        ).otherwise(V.to_text(_p("ident"))),
+        title=V.text_or(_p("title"), "Untitled"),
+        location=F.coalesce(_p("place"), F.when(F.size(_p("places")) > 0, F.array_join(_p("places"), ", "))),
         url=url,
         description_text=_capped(V.to_text(V.first_truthy(_f("jobDescription"), _f("description")))),
         posted_at=V.timestamp(V.first_truthy(_f("postedOn"), _f("startDate"))),
@@ -188,40 +227,42 @@ def smartrecruiters_company(config: Column, careers_url: Column) -> Column:
 
 def smartrecruiters(captures: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     slug = smartrecruiters_company(F.col("source_config"), F.col("careers_url"))
-    board = F.concat(F.lit("https://jobs.smartrecruiters.com/"), slug)
+    captures = with_computed(captures, board=F.concat(F.lit("https://jobs.smartrecruiters.com/"), slug))
+    board = F.col("board")
     careers = F.coalesce(F.nullif(page_setting("careers_url"), F.lit("")), board)
-    place, kind = _f("location"), _f("typeOfEmployment")
-    parts = [V.field(place, k) for k in ("city", "region", "country")]
-    filled = F.array_compact(F.array(*[F.when(V.truthy(p), V.string(p)) for p in parts]))
-    full = V.field(place, "fullLocation")
-    ident = V.first_truthy(_f("id"), _f("uuid"))
-    ref = V.first_truthy(_f("ref"), _f("refNumber"))
+    parts = [_f(f"location.{k}") for k in ("city", "region", "country")]
+    items = _items(
+        captures,
+        lambda doc: V.field(doc, "content"),
+        "id", "uuid", "name", "title", "location", "location.city", "location.region", "location.country",
+        "location.fullLocation", "ref", "refNumber", "typeOfEmployment.label", "releasedDate", "createdOn", "postedDate",
+        ident=V.first_truthy(_f("id"), _f("uuid")),
+        ref=V.first_truthy(_f("ref"), _f("refNumber")),
+        title=V.first_truthy(_f("name"), _f("title")),
+        filled=F.array_compact(F.array(*[F.when(V.truthy(p), V.string(p)) for p in parts])),
+    )
+    in_parts = V.is_kind(_f("location"), "OBJECT")
+    full, label = _f("location.fullLocation"), _f("typeOfEmployment.label")
+    wrong_part = F.exists(F.array(*parts), lambda p: V.truthy(p) & V.not_text(p))
     return shape_postings(
-        _items(captures, lambda doc: V.field(doc, "content")),
+        items,
         "smartrecruiters",
         keep=keep,
-        external_job_id=V.to_text(ident),
-        title=V.text_or(V.first_truthy(_f("name"), _f("title")), "Untitled"),
+        external_job_id=V.to_text(_p("ident")),
+        title=V.text_or(_p("title"), "Untitled"),
         location=F.when(
-            V.is_kind(place, "OBJECT"),
-            F.when(F.size(filled) > 0, F.array_join(filled, ", ")).otherwise(V.string(full)),
-        ).otherwise(V.string(place)),
-        employment_type=V.string(V.field(kind, "label")),
-        url=F.when(V.truthy(ref), F.concat(board, F.lit("/"), V.to_text(ref)))
-        .when(V.truthy(ident), F.concat(board, F.lit("/posting/"), V.to_text(ident)))
+            in_parts,
+            F.when(F.size(_p("filled")) > 0, F.array_join(_p("filled"), ", ")).otherwise(V.string(full)),
+        ).otherwise(V.string(_f("location"))),
+        employment_type=V.string(label),
+        url=F.when(V.truthy(_p("ref")), F.concat(board, F.lit("/"), V.to_text(_p("ref"))))
+        .when(V.truthy(_p("ident")), F.concat(board, F.lit("/posting/"), V.to_text(_p("ident"))))
         .otherwise(careers),
         posted_at=V.timestamp(V.first_truthy(_f("releasedDate"), _f("createdOn"), _f("postedDate"))),
         raw_payload=F.to_json("item"),
         type_errors=F.array(
-            F.when(
-                V.is_kind(place, "OBJECT")
-                & (
-                    F.exists(F.array(*parts), lambda p: V.truthy(p) & V.not_text(p))
-                    | ((F.size(filled) == 0) & V.not_text(full))
-                ),
-                F.lit("location"),
-            ),
-            _type_error("employment_type", V.field(kind, "label")),
+            F.when(in_parts & (wrong_part | ((F.size(_p("filled")) == 0) & V.not_text(full))), F.lit("location")),
+            _type_error("employment_type", label),
         ),
     )
 
