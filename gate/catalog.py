@@ -194,7 +194,7 @@ SQL_PROBES = f"""{SQL_CUSTOMER_COMPANIES},
 probed AS (SELECT *, CAST({sql_pick(_STATUS, 'c_custkey')} AS INTEGER) AS st, {sql_pick(_BODIES, 'c_custkey')} AS body,
   CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE coalesce(CAST({sql_pick(["200", "404", None], 'c_custkey')} AS INTEGER), 200) END AS rst FROM companies_v),
 judged AS (SELECT *,
-  CASE WHEN source_type = 'generic_playwright' THEN trim(careers_url) = '' AND page IS NULL
+  CASE WHEN source_type = 'generic_playwright' THEN trim(careers_url) = ''
     WHEN source_type IN ('greenhouse', 'lever', 'ashby', 'smartrecruiters') THEN token IS NULL
     WHEN source_type IN ('workday', 'icims', 'gem') THEN page IS NULL ELSE true END AS no_url,
   CASE WHEN source_type = 'generic_playwright' AND coalesce(st, 0) NOT IN (200, 403, 404) THEN rst ELSE st END AS status FROM probed),

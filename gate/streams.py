@@ -1 +1,135 @@
-"""Queries."""
+"""Queries for stored captures, the whole cycle, and the streaming jobs.
+
+The stateful ones keep their tables under names of their own, so runs do not meet.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from gate.catalog import STREAKS_SQL
+from gate.providers import captures_of, iso, k, seconds
+from gate.registry import query
+from gate.surrogates import (
+    FINGERPRINT_SQL, SOURCE_TYPES, SQL_PAGES, companies, pages, pick, postings, quoted, sql_pick, sql_postings,
+)
+from gate import sqltext
+from tidemark import rules, schemas
+from tidemark.plans.cycle import CycleTables, run_cycle
+from tidemark.session import shared_folder
+from tidemark.sources import captures, tables
+from tidemark.streaming import snapshots as snapshot_stream, streaks
+
+
+def fresh(name: str) -> str:
+    return f"{name}_{uuid.uuid4().hex[:12]}"
+
+
+_SWALLOWED = ", ".join(map(quoted, captures.SWALLOWED))
+
+
+@query(
+    "captured_snapshots",
+    f"""WITH {SQL_PAGES}, c AS (SELECT company_id, page_ordinal, {sql_pick(SOURCE_TYPES, 'company_id')} AS kind,
+        CASE WHEN page_id % 17 = 3 THEN 404 WHEN page_id % 19 = 4 THEN 503 ELSE 200 END AS st, page_url, page_id % 23 = 5 AS broken FROM pages_v),
+      e AS (SELECT company_id, page_ordinal, CASE WHEN kind NOT IN ({', '.join(map(quoted, rules.SOURCE_TYPES))}) THEN 'Unknown source_type: ' || kind
+        WHEN kind IN ({_SWALLOWED}) THEN NULL WHEN st = 404 THEN 'Client error ''404'' for url ''' || page_url || '''' WHEN st = 503 THEN 'Server error ''503'' for url ''' || page_url || ''''
+        WHEN broken AND kind IN ('greenhouse', 'lever', 'ashby') THEN 'response is not JSON' WHEN kind = 'greenhouse' AND page_ordinal = 3 THEN 'response is not a JSON object' END AS error FROM c)
+    SELECT company_id, CASE WHEN bool_or(error IS NOT NULL) THEN 'failed' ELSE 'ok' END AS outcome, arg_min(error, page_ordinal) FILTER (WHERE error IS NOT NULL) AS error
+    FROM e GROUP BY company_id""",
+)
+def captured_snapshots(spark, d):
+    n = F.col("page_id")
+    rows = pages(spark, d).withColumns(
+        {
+            "source_type": pick(SOURCE_TYPES, F.col("company_id")),
+            "cycle_ts": F.lit("2002-01-01").cast("timestamp"),
+            "status_code": F.when(n % 17 == 3, 404).when(n % 19 == 4, 503).otherwise(200),
+            "body": F.when(n % 23 == 5, F.lit("<html>")).when(F.col("page_ordinal") == 3, F.lit("[]")).otherwise(F.lit("{}")),
+        }
+    )
+    return captures.snapshots_from_captures(rows).select("company_id", "outcome", "error")
+
+
+# ---- a whole cycle -------------------------------------------------------------------------
+def cycle(spark, d):
+    """Captures of three providers, fetched into an empty state."""
+    rows = postings(spark, d)
+    shapes = [
+        ("greenhouse", F.struct(k().alias("id"), "title", F.col("url").alias("absolute_url"), iso().alias("updated_at")), '{"jobs":[', "]}"),
+        ("lever", F.struct(k().alias("id"), F.col("title").alias("text"), F.col("url").alias("hostedUrl"), (seconds() * 1000).alias("createdAt")), "[", "]"),
+        ("ashby", F.struct(k().alias("id"), "title", F.col("url").alias("jobUrl"), iso().alias("publishedDate")), "[", "]"),
+    ]
+    bodies = None
+    for i, (kind, item, opening, closing) in enumerate(shapes):
+        part = captures_of(rows.filter(F.col("company_id") % 3 == i), F.to_json(item), opening, closing, kind)
+        bodies = part if bodies is None else bodies.unionByName(part)
+    source = F.element_at(F.array(*[F.lit(s[0]) for s in shapes]), (F.col("id") % 3 + 1).cast("int"))
+    names = CycleTables(fresh("jobs"), fresh("companies"), fresh("postings"), buckets=8)
+    tables.write_version(companies(spark, d).withColumn("source_type", source), names.companies, "start")
+    tables.write_version(spark.createDataFrame([], schemas.JOBS), names.jobs, "start", "fingerprint_hash", 8)
+    return run_cycle(spark, bodies, "c1", F.lit("2002-01-02").cast("timestamp"), names=names, us_only=False)
+
+
+@query(
+    "cycle_jobs",
+    f"""WITH {sql_postings()} SELECT company_id, title, url, CAST(ordinal AS VARCHAR) AS external_job_id, is_active,
+      {FINGERPRINT_SQL.replace("external_job_id", "CAST(ordinal AS VARCHAR)").replace("coalesce(location, '')", "''")} AS fingerprint_hash
+    FROM postings_v, (SELECT true AS is_active)""",
+)
+def cycle_jobs(spark, d):
+    return cycle(spark, d).jobs.select("company_id", "title", "url", "external_job_id", "is_active", "fingerprint_hash")
+
+
+# ---- streams -------------------------------------------------------------------------------
+@query("streamed_streaks", STREAKS_SQL.format(n=2))
+def streamed_streaks(spark, d):
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    kind = F.col("event_type")
+    stream = (
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select(
+            F.col("user_id").alias("company_id"),
+            F.col("ts").cast("timestamp").alias("ts"),
+            F.col("event_id").alias("seq"),
+            F.when(kind == "error", F.lit("404")).when(kind == "purchase", F.lit("ok")).otherwise(F.lit("other")).alias("kind"),
+        )
+    )
+    name = fresh("streaks")
+    streaks.start_streaks(spark, stream, name).awaitTermination()
+    return spark.table(name).select("company_id", "streak", "disabled_at")
+
+
+_CYCLE = "CASE WHEN posted_at < TIMESTAMP '1997-01-01' THEN 1 WHEN posted_at < TIMESTAMP '1999-01-01' THEN 2 ELSE 3 END"
+
+
+@query(
+    "streamed_ingest",
+    f"""WITH {sql_postings()}, {sqltext.location_categories('postings_v')},
+      kept_v AS (SELECT p.*, {_CYCLE} AS c FROM postings_v p JOIN loc_cat l ON p.location IS NOT DISTINCT FROM l.location WHERE category IN ('US', 'REMOTE_US'))
+    SELECT {FINGERPRINT_SQL} AS fingerprint_hash, company_id, level, posted_at, max_c = 3 AS is_active, TIMESTAMP '2001-12-31' + INTERVAL 1 DAY * min_c AS first_seen_at,
+      TIMESTAMP '2001-12-31' + INTERVAL 1 DAY * least(max_c + 1, 3) AS last_seen_at
+    FROM (SELECT *, min(c) OVER w AS min_c, max(c) OVER w AS max_c, row_number() OVER (PARTITION BY external_job_id ORDER BY c DESC, ordinal DESC) AS rn
+      FROM kept_v WINDOW w AS (PARTITION BY external_job_id)) WHERE rn = 1""",
+)
+def streamed_ingest(spark, d):
+    """Three cycles of postings, written as files and read back as a stream."""
+    year = F.when(F.col("posted_at") < "1997-01-01", 1).when(F.col("posted_at") < "1999-01-01", 2).otherwise(3)
+    rows = postings(spark, d).withColumns(
+        {
+            "cycle_ts": F.timestamp_add("DAY", year, F.lit("2001-12-31").cast("timestamp")),
+            "outcome": F.lit("ok"),
+            "error": F.lit(None).cast("string"),
+        }
+    )
+    folder = f"{shared_folder(spark)}/{fresh('arrived')}"
+    rows.write.parquet(folder)
+    names = CycleTables(fresh("jobs"), fresh("companies"), buckets=8)
+    tables.write_version(companies(spark, d), names.companies, "start")
+    tables.write_version(spark.createDataFrame([], schemas.JOBS), names.jobs, "start", "fingerprint_hash", 8)
+    stream = snapshot_stream.read_posting_stream(spark, folder)
+    snapshot_stream.start_ingest(spark, stream, names, fresh("applied")).awaitTermination()
+    return spark.table(names.jobs).select(
+        "fingerprint_hash", "company_id", "level", "posted_at", "is_active", "first_seen_at", "last_seen_at"
+    )

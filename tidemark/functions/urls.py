@@ -132,7 +132,8 @@ def resolve_url(base: Column, ref: Column) -> Column:
         plain = ref.rlike(_PLAIN_ROOTED) & ~ref.rlike(_DOT_SEGMENT) & base.rlike(r"^https?://[^/?#]+")
         both = F.struct(split_url(base).alias("b"), split_url(ref).alias("r"), ref.alias("ref"))
         return (
-            F.when(base == "", ref)
+            F.when(base.isNull() | ref.isNull(), F.lit(None).cast("string"))
+            .when(base == "", ref)
             .when(ref == "", base)
             .when(plain, F.concat(F.regexp_extract(base, r"^https?://[^/?#]+", 0), ref))
             .otherwise(let(both, general))
@@ -143,14 +144,18 @@ def resolve_url(base: Column, ref: Column) -> Column:
 
 def without_query(url: Column) -> Column:
     """Page identity: no query, no fragment, at least a root path."""
-    return let(
+    rebuilt = let(
         split_url(strip(url)),
         lambda p: unsplit_url(p["scheme"], p["netloc"], F.coalesce(F.nullif(bare_path(p), F.lit("")), F.lit("/"))),
     )
+    return F.when(url.isNotNull(), rebuilt)
 
 
 def without_fragment(url: Column) -> Column:
-    return let(split_url(strip(url)), lambda p: unsplit_url(p["scheme"], p["netloc"], bare_path(p), p["query"]))
+    rebuilt = let(
+        split_url(strip(url)), lambda p: unsplit_url(p["scheme"], p["netloc"], bare_path(p), p["query"])
+    )
+    return F.when(url.isNotNull(), rebuilt)
 
 
 def registrable_domain(host_column: Column) -> Column:
@@ -233,7 +238,7 @@ def workday_board_url(url: Column) -> Column:
         trimmed = F.regexp_replace(strip_right(bare_path(p), "/"), r"(?i)/login$", "")
         return unsplit_url(p["scheme"], p["netloc"], F.coalesce(F.nullif(trimmed, F.lit("")), F.lit("/")))
 
-    return let(split_url(strip(url)), board)
+    return F.when(url.isNotNull(), let(split_url(strip(url)), board))
 
 
 def icims_board_url(url: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import rules
+from tidemark.functions.bind import with_computed
 from tidemark.functions.text import blank_to_null, fold_case, strip, strip_right, title_from_link_text
 from tidemark.functions.urls import (
     bare_path,
@@ -261,8 +262,10 @@ def anchor_links(anchors: DataFrame, page: list[str] = PAGE) -> DataFrame:
     """Anchors that are job links, resolved and titled: (page, pos, url, title, location)."""
     text = strip(F.coalesce("text", F.lit("")))
     href = strip(F.coalesce("href", F.lit("")))
-    resolved = anchors.withColumn("text", text).withColumn("url", resolve_url(F.col("page_url"), href))
-    return resolved.filter((href != "") & is_job_link(F.col("url"), F.col("text"))).select(
+    rest = anchors.drop("text", "href")
+    given = with_computed(anchors, _text=text, _href=href).select(*rest.columns, F.col("_text").alias("text"), "_href")
+    resolved = with_computed(given, url=resolve_url(F.col("page_url"), F.col("_href")))
+    return resolved.filter((F.col("_href") != "") & is_job_link(F.col("url"), F.col("text"))).select(
         *page, F.col("anchor_ordinal").alias("pos"), "url", title_from_link_text(F.col("text")).alias("title"), "location"
     )
 
@@ -324,7 +327,7 @@ def next_pages(
     """
     own = links.filter(same_site(F.col("landing_url"), F.col("url")))
     firsts = (
-        own.withColumn("page_key", without_query(F.col("url")))
+        with_computed(own, page_key=without_query(F.col("url")))
         .groupBy(*PAGE, "page_key")
         .agg(F.min_by("url", "pos").alias("url"))
         .withColumn("score", follow_score(F.col("url")))
