@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.session import spread
+
 TITLES = [
     "Software Engineer, New Grad", "Backend Engineer I", "Sales Engineer, University Graduate",
     "Senior Software Engineer", "Machine Learning Engineer, Early Career", "Account Executive, Early Career",
@@ -58,8 +60,13 @@ def sql_pick(values: Sequence, index: str) -> str:
     return f"([{', '.join(map(quoted, values))}])[1 + ({index}) % {len(values)}]"
 
 
+SPREAD = ("orders", "documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; those with costly work per row use all cores even when they are one file."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in SPREAD else rows
 
 
 def div(column: str, n: int) -> Column:

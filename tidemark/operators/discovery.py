@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import rules
-from tidemark.functions.bind import with_computed
+from tidemark.functions.bind import let, with_computed
 from tidemark.functions.text import blank_to_null, fold_case, strip, strip_right, title_from_link_text
 from tidemark.functions.urls import (
     bare_path,
@@ -33,32 +33,39 @@ def candidate_links(html: Column, base: Column, limit: int = rules.CANDIDATE_LIM
     """
     iframes = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(f"(?iU){rules.IFRAME_SRC}"), F.lit(1))
     raw = F.filter(F.transform(F.concat(raw_hrefs(html), iframes), strip), _is_web_reference)
-    base_host = host(base)
+    points = rules.LINK_SCORES
 
     def link(href: Column) -> Column:
         return F.struct(without_fragment(resolve_url(base, href)).alias("url"), href.alias("href"))
 
-    links = F.filter(F.transform(F.array_distinct(raw), link), lambda x: x["url"].rlike("^https?:"))
-    urls = F.transform(links, lambda x: x["url"])
-    # Equal urls differ in score only through the href text, and the first href decides.
-    firsts = F.filter(links, lambda x, i: F.array_position(urls, x["url"]) == i + 1)
-
-    def scored(x: Column) -> Column:
-        link_host = F.lower(split_url(x["url"])["netloc"])
-        on_board = F.exists(F.array(*map(F.lit, rules.BOARD_HOSTS)), lambda h: link_host.contains(h))
-        points = rules.LINK_SCORES
-        score = (
-            _points(F.concat_ws(" ", x["url"], x["href"]).rlike(f"(?iU){rules.LINK_HINT}"), points["hint"])
-            + _points(on_board, points["board_host"])
-            + _points(registrable_domain(link_host) == registrable_domain(base_host), points["same_domain"])
-            + _points(link_host == base_host, points["same_host"])
-        )
-        return F.struct((-score).alias("rank"), x["url"].alias("url"))
-
-    best = F.array_sort(F.filter(F.transform(firsts, scored), lambda x: x["rank"] < 0))
-    return F.transform(
-        F.slice(best, 1, limit), lambda x: F.struct((-x["rank"]).alias("score"), x["url"].alias("url"))
+    def firsts(links: Column) -> Column:
+        """Equal urls differ in score only through the href text, and the first href decides."""
+        urls = F.transform(links, lambda x: x["url"])
+        return let(urls, lambda seen: F.filter(links, lambda x, i: F.array_position(seen, x["url"]) == i + 1))
+
+    def rank(page: Column) -> Column:
+        def scored(x: Column) -> Column:
+            def total(link_host: Column) -> Column:
+                on_board = F.exists(F.array(*map(F.lit, rules.BOARD_HOSTS)), lambda h: link_host.contains(h))
+                score = (
+                    _points(F.concat_ws(" ", x["url"], x["href"]).rlike(f"(?iU){rules.LINK_HINT}"), points["hint"])
+                    + _points(on_board, points["board_host"])
+                    + _points(registrable_domain(link_host) == page["domain"], points["same_domain"])
+                    + _points(link_host == page["host"], points["same_host"])
+                )
+                return F.struct((-score).alias("rank"), x["url"].alias("url"))
+
+            return let(host(x["url"]), total)
+
+        links = F.filter(F.transform(page["raw"], link), lambda x: x["url"].rlike("^https?:"))
+        return F.filter(F.transform(let(links, firsts), scored), lambda x: x["rank"] < 0)
+
+    page = let(
+        host(base),
+        lambda h: F.struct(h.alias("host"), registrable_domain(h).alias("domain"), F.array_distinct(raw).alias("raw")),
     )
+    best = F.slice(F.array_sort(let(page, rank)), 1, limit)
+    return F.transform(best, lambda x: F.struct((-x["rank"]).alias("score"), x["url"].alias("url")))
 
 
 def _points(test: Column, points: int) -> Column:
@@ -80,16 +87,62 @@ def signature_candidates(pages: DataFrame, html: str = "body", url: str = "page_
     page text. A rule's pattern is tried only on pages that contain its host name.
     """
     text = F.concat(F.coalesce(F.col(html), F.lit("")), F.lit("\n"), F.coalesce(F.col(url), F.lit("")))
-    scanned = pages.withColumn("_text", text).withColumn("_folded", fold_case(F.col("_text"))).drop(html)
-    found = scanned.withColumn("_found", F.array(*_signatures(F.col("_text"), F.col("_folded"), F.col(url))))
-    hits = found.drop("_text", "_folded").select("*", F.posexplode("_found").alias("rule_ordinal", "_hit"))
-    return hits.filter(F.col("_hit").isNotNull()).select("*", "_hit.*").drop("_found", "_hit")
+    kept = [c for c in pages.columns if c != html]
+    read = with_computed(pages.select(*kept, text.alias("_text")), _folded=fold_case(F.col("_text")))
+    hosts = dict.fromkeys(_HOSTS)
+    tested = with_computed(read, **{f"_on_{i}": F.col("_folded").contains(h) for i, h in enumerate(hosts)})
+    on_host = {h: F.col(f"_on_{i}") for i, h in enumerate(hosts)}
+    matched = with_computed(tested, **_matches(F.col("_text"), on_host, F.col(url)))
+    found = F.array(*_signatures(on_host))
+    hits = matched.select(*kept, F.posexplode(found).alias("rule_ordinal", "_hit"))
+    return hits.filter(F.col("_hit").isNotNull()).select(*kept, "rule_ordinal", "_hit.*")
+
+
+_HOSTS = (
+    "greenhouse.io", "lever.co", "ashbyhq.com", "myworkdayjobs.com", "smartrecruiters.com", "icims.com", "jobs.gem.com",
+    "taleo.net", "eightfold.ai", "oraclecloud.com",
+)
+
 
+def _matches(text: Column, on_host: dict[str, Column], page_url: Column) -> dict[str, Column]:
+    """First match of every pattern, searched only in pages that name its host."""
 
-def _signatures(text: Column, folded: Column, page_url: Column) -> list[Column]:
     def first(word: str, pattern: str) -> Column:
-        return F.when(folded.contains(word), blank_to_null(F.regexp_extract(text, f"(?iU){pattern}", 1)))
+        return F.when(on_host[word], blank_to_null(F.regexp_extract(text, f"(?iU){pattern}", 1)))
+
+    slug, word_url = r"([a-z0-9_-]+)", r"""[^"'\s<>]"""
+
+    def host_token(page: Column) -> Column:
+        token = F.get(F.split(F.trim(bare_path(page), F.lit("/")), "/", -1), F.lit(0))
+        return F.when(page["netloc"].endswith("greenhouse.io") & ~token.isin("", "embed", "jobs"), token)
+
+    return {
+        "_gh_api": first("greenhouse.io", rf"boards-api\.greenhouse\.io/v1/boards/{slug}/"),
+        "_gh_board": first("greenhouse.io", rf"(?:boards|job-boards)\.greenhouse\.io/{slug}"),
+        "_gh_host": F.when(on_host["greenhouse.io"], let(split_url(page_url), host_token)),
+        "_lever": first("lever.co", rf"jobs\.lever\.co/{slug}"),
+        "_lever_api": first("lever.co", rf"api\.lever\.co/v0/postings/{slug}"),
+        "_ashby": first("ashbyhq.com", rf"jobs\.ashbyhq\.com/{slug}"),
+        "_ashby_api": first("ashbyhq.com", rf"api\.ashbyhq\.com/posting-api/job-board/{slug}"),
+        "_workday": let(
+            first("myworkdayjobs.com", rf"(https?://[a-z0-9.-]*\.myworkdayjobs\.com/{word_url}+)"),
+            lambda u: workday_board_url(strip_right(u, "/")),
+        ),
+        "_smart": first("smartrecruiters.com", rf"jobs\.smartrecruiters\.com/{slug}"),
+        "_icims": let(
+            first("icims.com", rf"(https?://[a-z0-9.-]*\.icims\.com{word_url}*)"),
+            lambda u: icims_board_url(strip_right(u, "/")),
+        ),
+        "_gem": first("jobs.gem.com", rf"jobs\.gem\.com/{slug}"),
+        "_taleo": first("taleo.net", rf"(https?://{word_url}*taleo\.net{word_url}*)"),
+        "_eightfold": first("eightfold.ai", rf"(https?://{word_url}*eightfold\.ai{word_url}*)"),
+        "_oracle": first(
+            "oraclecloud.com", rf"(https?://[a-z0-9.-]*\.oraclecloud\.com/hcmUI/CandidateExperience{word_url}*)"
+        ),
+    }
+
 
+def _signatures(on_host: dict[str, Column]) -> list[Column]:
     def candidate(value, provider, confidence, config, evidence, supported=True) -> Column:
         return F.when(
             value.isNotNull(),
@@ -105,34 +158,15 @@ def _signatures(text: Column, folded: Column, page_url: Column) -> list[Column]:
     def prefixed(prefix: str, value: Column) -> Column:
         return F.concat(F.lit(prefix), value)
 
-    slug, word_url = r"([a-z0-9_-]+)", r"""[^"'\s<>]"""
-    gh_api = first("greenhouse.io", rf"boards-api\.greenhouse\.io/v1/boards/{slug}/")
-    gh_board = first("greenhouse.io", rf"(?:boards|job-boards)\.greenhouse\.io/{slug}")
-    lever = first("lever.co", rf"jobs\.lever\.co/{slug}")
-    lever_api = first("lever.co", rf"api\.lever\.co/v0/postings/{slug}")
-    ashby = first("ashbyhq.com", rf"jobs\.ashbyhq\.com/{slug}")
-    ashby_api = first("ashbyhq.com", rf"api\.ashbyhq\.com/posting-api/job-board/{slug}")
-    workday = workday_board_url(
-        strip_right(first("myworkdayjobs.com", rf"(https?://[a-z0-9.-]*\.myworkdayjobs\.com/{word_url}+)"), "/")
-    )
-    smart = first("smartrecruiters.com", rf"jobs\.smartrecruiters\.com/{slug}")
-    icims = icims_board_url(strip_right(first("icims.com", rf"(https?://[a-z0-9.-]*\.icims\.com{word_url}*)"), "/"))
-    gem = prefixed("https://jobs.gem.com/", first("jobs.gem.com", rf"jobs\.gem\.com/{slug}"))
-    taleo = first("taleo.net", rf"(https?://{word_url}*taleo\.net{word_url}*)")
-    eightfold = first("eightfold.ai", rf"(https?://{word_url}*eightfold\.ai{word_url}*)")
-    oracle = first(
-        "oraclecloud.com", rf"(https?://[a-z0-9.-]*\.oraclecloud\.com/hcmUI/CandidateExperience{word_url}*)"
-    )
-    page = split_url(page_url)
-    path_token = F.get(F.split(F.trim(bare_path(page), F.lit("/")), "/", -1), F.lit(0))
-    gh_host = F.when(
-        page["netloc"].endswith("greenhouse.io") & (path_token != "") & ~path_token.isin("embed", "jobs"), path_token
+    names = "gh_api gh_board gh_host lever lever_api ashby ashby_api workday smart icims taleo eightfold oracle"
+    gh_api, gh_board, gh_host, lever, lever_api, ashby, ashby_api, workday, smart, icims, taleo, eightfold, oracle = (
+        F.col(f"_{n}") for n in names.split()
     )
-    no_board = F.when(folded.contains("taleo.net"), F.lit(""))
+    gem = prefixed("https://jobs.gem.com/", F.col("_gem"))
     taleo_hit = F.coalesce(
         candidate(taleo, "taleo", 82, {"careers_url": strip_right(taleo, "/")}, "Taleo URL: ", False),
         F.when(
-            no_board.isNotNull(),
+            on_host["taleo.net"],
             F.struct(
                 F.lit("taleo").alias("provider"),
                 F.lit(70).alias("confidence"),

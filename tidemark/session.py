@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -25,3 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
         _LOCAL[app] = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(_LOCAL[app])
     return _LOCAL[app]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its files give fewer partitions than that; larger inputs as they are.
+
+    For parsing and matching work on small tables, which would otherwise run in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
