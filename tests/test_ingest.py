@@ -117,10 +117,11 @@ def test_merge_equals_the_sequential_rule(spark, seed, us_only):
     merged.unpersist()
 
 
-def test_running_offsets(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_running_offsets(spark, small):
     rng = random.Random(5)
     counts = {rng.randint(1, 10**6): rng.randint(0, 9) for _ in range(500)}
-    got = ingest.running_offsets(spark.createDataFrame(list(counts.items()), "k long, n long"), "k", "n", span=1000).collect()
+    got = ingest.running_offsets(spark.createDataFrame(list(counts.items()), "k long, n long"), "k", "n", small, span=1000).collect()
     assert {r.k: r.offset for r in got} == {k: sum(v for j, v in counts.items() if j < k) for k in counts}
 
 
@@ -134,7 +135,26 @@ def test_violations_fail_the_snapshot(spark):
                    4: ("failed", "invalid posting: location: wrong type"), 5: ("ok", None)}
 
 
-def test_merge_plan_shuffles_postings_by_fingerprint_only(spark):
-    empty = [spark.createDataFrame([], s) for s in (schemas.JOBS, schemas.COMPANIES, schemas.SNAPSHOTS, schemas.POSTINGS)]
-    plan = ingest.merge_snapshots(*empty)._jdf.queryExecution().toString()
+def test_merge_plan_shuffles_by_fingerprint_only_and_not_the_stored_state(spark):
+    from tidemark.sources import tables
+
+    tables.write_version(spark.createDataFrame([], schemas.JOBS), "plan_jobs", "start", "fingerprint_hash", 4)
+    rest = [spark.createDataFrame([], s) for s in (schemas.COMPANIES, schemas.SNAPSHOTS, schemas.POSTINGS)]
+    merged = ingest.merge_snapshots(spark.table("plan_jobs"), *rest)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+    lines = plan.splitlines()
+    joins = [line for line in lines if "SortMergeJoin" in line]
+    assert any("FullOuter" in line and "fingerprint_hash" in line for line in joins)
+    assert sum("Exchange hashpartitioning(fingerprint_hash" in line for line in lines) == 1
+    assert "Bucketed: true" in plan
+
+
+def test_company_frames_beyond_the_checked_size_give_the_same_result(spark, monkeypatch):
+    owners = spark.createDataFrame(company_rows({1: "A", 2: "B"}), schemas.COMPANIES)
+    shots = spark.createDataFrame([(1, NOW, "ok", None), (2, NOW, "ok", None)], schemas.SNAPSHOTS)
+    batch = spark.createDataFrame([posting(1 + n % 2, n, n % 5, 0, 0, 0) for n in range(20)], schemas.POSTINGS)
+    jobs = spark.createDataFrame([], schemas.JOBS)
+    small = sorted(map(str, ingest.merge_snapshots(jobs, owners, shots, batch).collect()))
+    monkeypatch.setattr(ingest, "is_small", lambda df: False)
+    assert sorted(map(str, ingest.merge_snapshots(jobs, owners, shots, batch).collect())) == small

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,19 +14,29 @@ from tidemark.rules import Rule
 _SCRATCH = ("_full", "_full_folded", "_title", "_title_folded", "_pos", "_neg", "_non", "_exp", "_role", "_labels")
 
 
-def match_labels(rule_list: Sequence[Rule], text: Column, folded: Column) -> Column:
-    """Labels of the rules found in `text`, in rule order.
+def match_labels(rule_list: Sequence[Rule], text: str, folded: str) -> Column:
+    """Labels of the rules found in the column `text`, in rule order.
 
     The words a rule needs are looked for first with a plain substring test on `folded` (the text
-    through `fold_case`), so the regular expression runs only on texts that can match.
+    through `fold_case`), so the regular expression runs only on texts that can match. Written as
+    SQL text: the hundred conditions would each cost many calls into the JVM otherwise.
     """
 
-    def label_if_found(rule: Rule) -> Column:
-        tests = [folded.contains(w) for w in rule.required_words()]
-        tests.append(text.rlike(f"(?iU){rule.regex}"))
-        return F.when(reduce(lambda a, b: a & b, tests), F.lit(rule.label))
+    def label_if_found(rule: Rule) -> str:
+        tests = [f"contains({folded}, {_literal(w)})" for w in rule.required_words()]
+        tests.append(f"{text} RLIKE {_literal(f'(?iU){rule.regex}')}")
+        return f"CASE WHEN {' AND '.join(tests)} THEN {_literal(rule.label)} END"
 
-    return F.array_compact(F.array(*[label_if_found(r) for r in rule_list]))
+    return F.expr(f"array_compact(array({', '.join(map(label_if_found, rule_list))}))")
+
+
+def _literal(value: str) -> str:
+    """A SQL string; raw, as patterns are full of backslashes, unless it holds both quotes."""
+    for quote in ('"', "'"):
+        if quote not in value:
+            return f"r{quote}{value}{quote}"
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def combined_text(title: Column, level: Column, description: Column) -> Column:
@@ -48,27 +57,29 @@ def _with_texts(df: DataFrame, title: str, description: str, level: str) -> Data
 
 
 def _entry_labels(positive: Sequence[Rule], negative: Sequence[Rule]) -> dict[str, Column]:
-    full, folded = F.col("_full"), F.col("_full_folded")
-    return {"_pos": match_labels(positive, full, folded), "_neg": match_labels(negative, full, folded)}
+    return {
+        "_pos": match_labels(positive, "_full", "_full_folded"),
+        "_neg": match_labels(negative, "_full", "_full_folded"),
+    }
 
 
 def _with_role(
     df: DataFrame, software: Sequence[Rule], explicit: Sequence[Rule], non_software: Sequence[Rule], **also: Column
 ) -> DataFrame:
     """Adds `_non` and `_labels`: the title decides, the full text is read only where it is silent."""
-    title, folded = F.col("_title"), F.col("_title_folded")
+    title = ("_title", "_title_folded")
     titled = with_computed(
         df,
-        _non=match_labels(non_software, title, folded),
-        _exp=match_labels(explicit, title, folded),
-        _role=match_labels(software, title, folded),
+        _non=match_labels(non_software, *title),
+        _exp=match_labels(explicit, *title),
+        _role=match_labels(software, *title),
         **also,
     )
     return with_computed(
         titled,
         _labels=F.when(_vetoed(), F.array().cast("array<string>"))
         .when(F.size("_role") > 0, F.col("_role"))
-        .otherwise(match_labels(software, F.col("_full"), F.col("_full_folded"))),
+        .otherwise(match_labels(software, "_full", "_full_folded")),
     )
 
 

@@ -14,6 +14,7 @@ from tidemark.functions.bind import let, with_computed
 from tidemark.functions.text import strip, strip_right
 from tidemark.functions.urls import gem_board_url, gem_slug, path, resolve_url
 from tidemark.operators.providers import page_setting, shape_postings
+from tidemark.session import small_side
 
 
 def raw_hrefs(html: Column) -> Column:
@@ -182,11 +183,14 @@ def icims(captures: DataFrame) -> DataFrame:
     )
 
 
-def choose_method(postings: DataFrame, structured: str, rendered: str, enough: int = 1) -> DataFrame:
+def choose_method(
+    postings: DataFrame, structured: str, rendered: str, enough: int = 1, small: bool = False
+) -> DataFrame:
     """Keep one capture method per company and cycle.
 
     The structured one with at least `enough` postings; else the rendered one if it has any;
-    else whatever the structured one gave.
+    else whatever the structured one gave. `small` says that there are few enough companies to
+    broadcast the choices.
     """
     chosen = (
         postings.groupBy("company_id", "cycle_ts")
@@ -202,7 +206,7 @@ def choose_method(postings: DataFrame, structured: str, rendered: str, enough: i
             ).otherwise(F.lit(structured)).alias("method"),
         )
     )
-    return postings.join(chosen, ["company_id", "cycle_ts", "method"], "left_semi")
+    return postings.join(small_side(chosen, small), ["company_id", "cycle_ts", "method"], "left_semi")
 
 
 def workday_anchor_rows(anchors: DataFrame) -> DataFrame:

@@ -314,12 +314,12 @@ def merge_links(links: DataFrame, group: list[str], order: list[str], max_links:
     ranked = firsts.withColumn(
         "rank", F.row_number().over(Window.partitionBy(*group).orderBy("first"))
     ).filter(F.col("rank") <= max_links)
-    closing = ranked.filter(F.col("rank") == max_links).select(*group, F.col("first").alias("closed_at"))
+    # At most max_links rows per group are left, so this window is bounded.
+    last_place = F.max(F.when(F.col("rank") == max_links, F.col("first")))
+    places = ranked.withColumn("closed_at", last_place.over(Window.partitionBy(*group)))
     position = F.struct(*order)
-    held = (
-        links.join(ranked.select(*group, "url", "rank"), [*group, "url"])
-        .join(closing, group, "left")
-        .filter(F.col("closed_at").isNull() | (position <= F.col("closed_at")))
+    held = links.join(places.select(*group, "url", "rank", "closed_at"), [*group, "url"]).filter(
+        F.col("closed_at").isNull() | (position <= F.col("closed_at"))
     )
     # Longest title first, then earliest: min over (-length, position).
     return (

@@ -3,20 +3,22 @@
 The sequential rule behind it: companies are taken in id order; each posting of a company inserts
 its fingerprint or updates the row that already has it (whoever owns that row), then the company's
 own active rows that it did not post are closed. `merge_snapshots` gives the same result as one
-aggregation and one full outer join, both on the fingerprint. A company is never a shuffle key of
-posting-sized data on purpose; company-level frames stay small enough for the planner to broadcast,
-and adaptive execution splits skewed partitions where they do not.
+aggregation and one full outer join, both on the fingerprint. Company-level frames are broadcast
+after a check of their size, so that postings are not shuffled by company; beyond that size they
+are, and adaptive execution splits the partitions of large companies.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions.bind import with_computed
 from tidemark.functions.classify import with_job_class
 from tidemark.functions.location import KEPT, classify_location
 from tidemark.functions.text import fingerprint
 from tidemark.operators.providers import PAGE_SPAN
 from tidemark.schemas import JOB_COLUMNS
+from tidemark.session import is_small, small_side
 
 # fixed values: stored column lengths
 MAX_LENGTHS = {
@@ -84,12 +86,22 @@ def scanned_companies(companies: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 def keep_us(postings: DataFrame, us_only: bool = True) -> DataFrame:
     """The location filter of the ingest."""
-    return postings.filter(classify_location(F.col("location")).isin(*KEPT)) if us_only else postings
+    if not us_only:
+        return postings
+    category = classify_location(F.col("location"))
+    return with_computed(postings, _category=category).filter(F.col("_category").isin(*KEPT)).drop("_category")
 
 
-def prepare_batch(postings: DataFrame, scanned: DataFrame, us_only: bool = True) -> DataFrame:
-    """Kept postings of scanned companies with fingerprint and classification flags."""
-    kept = keep_us(postings.drop("company_name"), us_only).join(scanned, ["company_id", "cycle_ts"])
+def prepare_batch(
+    postings: DataFrame, scanned: DataFrame, us_only: bool = True, small: bool = False
+) -> DataFrame:
+    """Kept postings of scanned companies with fingerprint and classification flags.
+
+    `small` says that `scanned` was found small enough to broadcast.
+    """
+    kept = keep_us(postings.drop("company_name"), us_only).join(
+        small_side(scanned, small), ["company_id", "cycle_ts"]
+    )
     return (
         with_job_class(kept)
         .withColumn(
@@ -123,19 +135,26 @@ def resolve_duplicates(batch: DataFrame) -> DataFrame:
     )
 
 
-def running_offsets(counts: DataFrame, key: str, value: str, span: int = 4096) -> DataFrame:
-    """(key, offset): sum of `value` over all smaller keys, in two levels of bounded windows."""
-    grouped = counts.withColumn("_group", F.floor(F.col(key) / span))
-    groups = grouped.groupBy("_group").agg(F.sum(value).alias("_sum"))
-    starts = groups.select(
-        "_group",
-        F.coalesce(F.sum("_sum").over(Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(
-            "_start"
-        ),
-    )
-    inner = Window.partitionBy("_group").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    local = grouped.withColumn("_local", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return local.join(starts, "_group").select(key, (F.col("_start") + F.col("_local")).alias("offset"))
+def running_offsets(
+    counts: DataFrame, key: str, value: str, small: bool = False, span: int = 4096
+) -> DataFrame:
+    """(key, offset): sum of `value` over all smaller keys.
+
+    One window where `counts` was found small; else two levels of windows over ranges of keys, so
+    that no task sees more than `span` keys or one row per range.
+    """
+
+    def before(by: str, amount: str, *partition: str) -> Column:
+        window = Window.partitionBy(*partition).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(amount).over(window), F.lit(0))
+
+    if small:
+        return counts.select(key, before(key, value).alias("offset"))
+    ranged = counts.withColumn("_range", F.floor(F.col(key) / span))
+    ranges = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    starts = ranges.select("_range", before("_range", "_sum").alias("_start"))
+    local = ranged.withColumn("_local", before(key, value, "_range"))
+    return local.join(starts, "_range").select(key, (F.col("_start") + F.col("_local")).alias("offset"))
 
 
 def scan_counts(postings: DataFrame, scanned: DataFrame, us_only: bool = True) -> DataFrame:
@@ -167,20 +186,21 @@ def merge_snapshots(
     flags of the posting that inserted them.
     """
     scanned = scanned_companies(companies, snapshots)
+    small = is_small(scanned)
     counts = scan_counts(postings, scanned, us_only)
     owners = scanned.select(
         F.col("company_id").alias("owner"), F.col("cycle_ts").alias("owner_cycle")
     ).join(
-        running_offsets(counts, "company_id", "ordinals").withColumnRenamed("company_id", "owner"), "owner", "left"
+        running_offsets(counts, "company_id", "ordinals", small).withColumnRenamed("company_id", "owner"), "owner", "left"
     )
     last_id = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_id")).scalar()
 
     state = jobs.select(F.struct(*JOB_COLUMNS).alias("s"), "fingerprint_hash")
-    batch = resolve_duplicates(prepare_batch(postings, scanned, us_only))
+    batch = resolve_duplicates(prepare_batch(postings, scanned, us_only, small))
     both = (
         state.join(batch, "fingerprint_hash", "full_outer")
         .withColumn("owner", F.coalesce("s.company_id", "first.company_id"))
-        .join(owners, "owner", "left")
+        .join(small_side(owners, small), "owner", "left")
     )
 
     is_new, posted = F.col("s").isNull(), F.col("last").isNotNull()

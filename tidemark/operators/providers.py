@@ -17,17 +17,21 @@ from tidemark.functions.text import strip, strip_right
 from tidemark.functions.timestamps import parse_iso
 from tidemark.functions.urls import origin, resolve_url, smartrecruiters_slug
 from tidemark.schemas import POSTING_COLUMNS
+from tidemark.session import small_side
 
 # Postings one page can hold before `ordinal` would run into the next page; see validate_postings.
 PAGE_SPAN = 1 << 24
 
 
-def with_source(captures: DataFrame, companies: DataFrame) -> DataFrame:
-    """Captures with the company's name, careers url and configuration."""
+def with_source(captures: DataFrame, companies: DataFrame, small: bool = False) -> DataFrame:
+    """Captures with the company's name, careers url and configuration.
+
+    `small` says that `companies` was found small enough to broadcast.
+    """
     source = companies.select(
         F.col("id").alias("company_id"), F.col("name").alias("company_name"), "careers_url", "source_config"
     )
-    return captures.join(source, "company_id")
+    return captures.join(small_side(source, small), "company_id")
 
 
 def shape_postings(items: DataFrame, source_type: str, keep: tuple[str, ...] = (), **columns: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark import rules
 from tidemark.operators import boards, companies as catalog, digest, discovery, ingest, metrics, providers
 from tidemark.schemas import COMPANY_COLUMNS, JOB_COLUMNS
+from tidemark.session import is_small, small_side
 from tidemark.sources import captures as capture_source, tables
 
 # Providers with one kind of capture, by source type: sourced captures in, postings out.
@@ -22,33 +23,34 @@ PROVIDERS = {
 _COMPANY_KEY = ["company_id", "cycle_ts"]
 
 
-def _smartrecruiters(sourced: DataFrame) -> DataFrame:
+def _smartrecruiters(sourced: DataFrame, small: bool) -> DataFrame:
     api = providers.smartrecruiters(sourced.filter(F.col("method") == "api"), keep=("method",))
     html = boards.smartrecruiters_html(sourced.filter(F.col("method") == "html"))
-    return boards.choose_method(api.unionByName(html), "api", "html").drop("method")
+    return boards.choose_method(api.unionByName(html), "api", "html", small=small).drop("method")
 
 
-def _icims(sourced: DataFrame) -> DataFrame:
-    return boards.choose_method(boards.icims(sourced), "html", "rendered", rules.ICIMS_ENOUGH).drop("method")
+def _icims(sourced: DataFrame, small: bool) -> DataFrame:
+    found = boards.icims(sourced)
+    return boards.choose_method(found, "html", "rendered", rules.ICIMS_ENOUGH, small).drop("method")
 
 
-def _workday(sourced: DataFrame, anchors: DataFrame | None) -> DataFrame:
+def _workday(sourced: DataFrame, anchors: DataFrame | None, small: bool) -> DataFrame:
     api = providers.workday(sourced.filter(F.col("method") == "api"), keep=("method",))
     if anchors is None:
         return api.drop("method")
     rows = boards.workday_anchor_rows(anchors.drop("company_name", "careers_url", "source_config")).join(
-        anchors.select(*_COMPANY_KEY, "company_name").distinct(), _COMPANY_KEY
+        small_side(anchors.select(*_COMPANY_KEY, "company_name").distinct(), small), _COMPANY_KEY
     )
     rendered = providers.rendered_rows(
         rows.withColumn("method", F.lit("rendered")), keep=("method",)
     )
-    return boards.choose_method(api.unionByName(rendered), "api", "rendered").drop("method")
+    return boards.choose_method(api.unionByName(rendered), "api", "rendered", small=small).drop("method")
 
 
-def _generic(anchors: DataFrame) -> DataFrame:
+def _generic(anchors: DataFrame, small: bool) -> DataFrame:
     links = discovery.job_links(anchors, by=("company_id", "cycle_ts"))
     source = anchors.select(*_COMPANY_KEY, "company_name", "careers_url", "source_config").dropDuplicates(_COMPANY_KEY)
-    rows = links.join(source, _COMPANY_KEY).withColumns(
+    rows = links.join(small_side(source, small), _COMPANY_KEY).withColumns(
         {"page_ordinal": F.lit(0), "pos": F.col("rank") - 1}
     )
     return providers.generic_links(rows)
@@ -65,7 +67,8 @@ def collect_postings(
     Each branch filters on `source_type`, the partition column of stored captures. A provider is
     a function from sourced captures to postings; add or replace some with `extra_providers`.
     """
-    sourced = providers.with_source(capture_source.usable(captures), companies)
+    small = is_small(companies)
+    sourced = providers.with_source(capture_source.usable(captures), companies, small)
     one_kind = {**PROVIDERS, **(extra_providers or {})}
 
     def of(kind: str) -> DataFrame:
@@ -77,16 +80,16 @@ def collect_postings(
         owners = companies.filter(F.col("source_type") == kind).select(
             F.col("id").alias("company_id"), F.col("name").alias("company_name"), "careers_url", "source_config"
         )
-        return anchors.join(owners, "company_id")
+        return anchors.join(small_side(owners, small), "company_id")
 
     branches = [provider(of(kind)) for kind, provider in one_kind.items()]
     branches += [
-        _smartrecruiters(of("smartrecruiters")),
-        _icims(of("icims")),
-        _workday(of("workday"), anchors_of("workday")),
+        _smartrecruiters(of("smartrecruiters"), small),
+        _icims(of("icims"), small),
+        _workday(of("workday"), anchors_of("workday"), small),
     ]
     if anchors is not None:
-        branches.append(_generic(anchors_of(rules.GENERIC)))
+        branches.append(_generic(anchors_of(rules.GENERIC), small))
     return reduce(lambda a, b: a.unionByName(b), branches)
 
 
@@ -154,7 +157,8 @@ def run_cycle(
         tables.require_table(spark, name)
     companies = tables.read_table(spark, names.companies)
     chosen = catalog.companies_to_scrape(companies, generic_enabled, generic_budget)
-    scraped = captures.join(chosen.select(F.col("id").alias("company_id")), "company_id", "left_semi")
+    wanted = small_side(chosen.select(F.col("id").alias("company_id")), is_small(chosen))
+    scraped = captures.join(wanted, "company_id", "left_semi")
     # Parsing is the expensive step and its result is read three times, so it is written once.
     postings = tables.write_version(collect_postings(scraped, chosen, anchors), names.postings, mark)
     fetched = capture_source.snapshots_from_captures(scraped, swallow)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+# Rows of a narrow frame that every executor can hold, some tens of megabytes.
+BROADCAST_ROWS = 500_000
 
 _LOCAL: dict[str, str] = {}
 
@@ -34,3 +37,18 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether `df` has at most `max_rows` rows; counts no further than that. Runs a job."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def small_side(df: DataFrame, small: bool) -> DataFrame:
+    """`df` marked for broadcast where its size was checked (`is_small`), else left to the planner.
+
+    The planner cannot know that a company-level frame is small once it comes out of joins and
+    aggregates, and would shuffle the other side, all postings, by company. Beyond the checked
+    size it does that, and adaptive execution splits the partitions of large companies.
+    """
+    return F.broadcast(df) if small else df

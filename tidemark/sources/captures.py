@@ -34,13 +34,13 @@ def snapshots_from_captures(captures: DataFrame, swallow: tuple[str, ...] = SWAL
     kind, status = F.col("source_type"), F.col("status_code")
     side = F.when(status < 500, F.lit("Client error")).otherwise(F.lit("Server error"))
     http = F.concat(side, F.lit(" '"), status.cast("string"), F.lit("' for url '"), "page_url", F.lit("'"))
-    document = V.parse(F.col("body"))
+    broken = V.parse(F.col("body")).isNull()
     error = (
         F.when(~kind.isin(*rules.SOURCE_TYPES), F.concat(F.lit("Unknown source_type: "), kind))
         .when(kind.isin(*swallow) if swallow else F.lit(False), F.lit(None))
         .when(status >= 400, http)
-        .when(kind.isin(*rules.JSON_SOURCE_TYPES) & document.isNull(), F.lit("response is not JSON"))
-        .when((kind == "greenhouse") & ~V.is_kind(document, "OBJECT"), F.lit("response is not a JSON object"))
+        .when(kind.isin(*rules.JSON_SOURCE_TYPES) & broken, F.lit("response is not JSON"))
+        .when((kind == "greenhouse") & ~F.col("body").rlike(r"^\s*\{"), F.lit("response is not a JSON object"))
     )
     narrow = captures.select("company_id", "cycle_ts", "page_ordinal", error.alias("error"))
     return (
