@@ -236,9 +236,17 @@ def board_slugs(spark, d):
 _REFS = ["a/b", "../x", "?q=1", "//h.example.com/p?x", "/../y/./z", ".", "http://o.example.com", "a//b", "#top", "mailto:x", "./d/e/.."]
 
 
-@query("links_resolved")
+@query(
+    "links_resolved",
+    f"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]+') AS origin, regexp_extract(url, '^(https?)', 1) AS scheme,
+        regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, {sql_pick(_REFS, 'page_id')} AS ref FROM pages),
+      q AS (SELECT *, origin || regexp_replace(path, '[^/]*$', '') AS folder FROM p)
+    SELECT page_id, ref, CASE page_id % {len(_REFS)} WHEN 0 THEN folder || 'a/b' WHEN 1 THEN regexp_replace(folder, '([^/:])/[^/]+/$', '\\1/') || 'x'
+      WHEN 2 THEN origin || path || '?q=1' WHEN 3 THEN scheme || '://h.example.com/p?x' WHEN 4 THEN origin || '/y/z' WHEN 5 THEN folder
+      WHEN 7 THEN folder || 'a/b' WHEN 8 THEN regexp_replace(url, '#.*$', '') || '#top' WHEN 10 THEN folder || 'd/' ELSE ref END AS url FROM q""",
+)
 def links_resolved(spark, d):
-    """Relative references of every form against page urls; checked against the standard library in tests."""
+    """Relative references of every form against page urls."""
     ref = pick(_REFS, F.col("page_id"))
     return table(spark, d, "pages").select("page_id", ref.alias("ref"), urls.resolve_url(F.col("url"), ref).alias("url"))
 

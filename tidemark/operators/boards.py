@@ -35,6 +35,22 @@ def extract_hrefs(html: Column, base: Column) -> Column:
     return F.array_distinct(F.transform(raw_hrefs(html), lambda h: resolve_url(base, strip(h))))
 
 
+def first_of_each_url(items: Column) -> Column:
+    """Of an array of struct(url, pos, ...) the first item of each url, in page order.
+
+    Equal urls are next to each other once sorted, so long pages need no search per link.
+    """
+
+    def firsts(ordered: Column) -> Column:
+        return F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["url"] != x["url"]))
+
+    def in_page_order(kept: Column) -> Column:
+        by_place = F.array_sort(F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"), x.alias("item"))))
+        return F.transform(by_place, lambda x: x["item"])
+
+    return let(let(F.array_sort(items), firsts), in_page_order)
+
+
 def page_links(pages: DataFrame, html: str = "body", base: str = "page_url") -> DataFrame:
     """One row per link of a page: (..., pos, url). The page text is not carried along."""
     links = extract_hrefs(F.col(html), F.col(base))
@@ -103,13 +119,12 @@ def icims_items(html: Column, base: Column) -> Column:
         return F.struct(u.alias("url"), F.lit("Open position").alias("title"))
 
     def choose(found: Column) -> Column:
-        urls = F.transform(found, lambda x: x["url"])
-        firsts = let(urls, lambda seen: F.filter(found, lambda x, i: F.array_position(seen, x["url"]) == i + 1))
+        firsts = first_of_each_url(found)
         fallback = F.transform(F.filter(extract_hrefs(html, base), listed), untitled)
         return F.when(F.size(found) > 0, F.transform(firsts, titled)).otherwise(fallback)
 
-    def resolved(href: Column) -> Column:
-        return F.struct(resolve_url(base, href).alias("url"), href.alias("href"))
+    def resolved(href: Column, i: Column) -> Column:
+        return F.struct(resolve_url(base, href).alias("url"), i.alias("pos"), href.alias("href"))
 
     return let(F.transform(hrefs, resolved), choose)
 

@@ -20,7 +20,7 @@ from tidemark.functions.urls import (
     without_query,
     workday_board_url,
 )
-from tidemark.operators.boards import raw_hrefs
+from tidemark.operators.boards import first_of_each_url, raw_hrefs
 
 PAGE = ["company_id", "page_ordinal", "page_url"]
 
@@ -35,13 +35,8 @@ def candidate_links(html: Column, base: Column, limit: int = rules.CANDIDATE_LIM
     raw = F.filter(F.transform(F.concat(raw_hrefs(html), iframes), strip), _is_web_reference)
     points = rules.LINK_SCORES
 
-    def link(href: Column) -> Column:
-        return F.struct(without_fragment(resolve_url(base, href)).alias("url"), href.alias("href"))
-
-    def firsts(links: Column) -> Column:
-        """Equal urls differ in score only through the href text, and the first href decides."""
-        urls = F.transform(links, lambda x: x["url"])
-        return let(urls, lambda seen: F.filter(links, lambda x, i: F.array_position(seen, x["url"]) == i + 1))
+    def link(href: Column, i: Column) -> Column:
+        return F.struct(without_fragment(resolve_url(base, href)).alias("url"), i.alias("pos"), href.alias("href"))
 
     def rank(page: Column) -> Column:
         def scored(x: Column) -> Column:
@@ -58,7 +53,8 @@ def candidate_links(html: Column, base: Column, limit: int = rules.CANDIDATE_LIM
             return let(host(x["url"]), total)
 
         links = F.filter(F.transform(page["raw"], link), lambda x: x["url"].rlike("^https?:"))
-        return F.filter(F.transform(let(links, firsts), scored), lambda x: x["rank"] < 0)
+        # Equal urls differ in score only through the href text, and the first href decides.
+        return F.filter(F.transform(first_of_each_url(links), scored), lambda x: x["rank"] < 0)
 
     page = let(
         host(base),

@@ -56,15 +56,16 @@ def ingest_batch(
             F.max("outcome").alias("outcome"), F.max("error").alias("error")
         )
         snapshots = drop_late(all_snapshots, applied)
-        late += all_snapshots.count() - snapshots.count()
+        late += all_snapshots.join(snapshots, ["company_id", "cycle_ts"], "left_anti").count()
         postings = of_cycle.filter(F.col("ordinal").isNotNull()).drop("outcome", "error")
         apply_snapshots(spark, names, mark, snapshots, postings, us_only)
         applied = tables.stage_version(merge_applied(applied, snapshots), applied_table, mark)
     if cycles:
         last = f"b{batch_id}_{len(cycles) - 1}"
         tables.publish_version(spark, applied_table, last, ["company_id", "cycle_ts"])
-        tables.drop_versions(spark, applied_table, [last])
-        tables.drop_versions(spark, names.jobs, [last])
+        # The version before stays for readers that still use it.
+        tables.drop_versions(spark, applied_table, [last, done or last])
+        tables.drop_versions(spark, names.jobs, [last, done or last])
     return late
 
 
@@ -82,7 +83,11 @@ def start_ingest(
         tables.write_version(spark.createDataFrame([], APPLIED), applied_table, "start")
 
     def each(rows: DataFrame, batch_id: int) -> None:
-        late = ingest_batch(rows.sparkSession, rows, batch_id, names, applied_table, us_only)
+        rows.persist()  # read once per cycle and counter
+        try:
+            late = ingest_batch(rows.sparkSession, rows, batch_id, names, applied_table, us_only)
+        finally:
+            rows.unpersist()
         if late and on_late:
             on_late(batch_id, late)
 
