@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,20 +12,22 @@ from tidemark.functions.bind import with_computed
 from tidemark.functions.text import fold_case
 from tidemark.rules import Rule
 
-_SCRATCH = ("_full", "_full_folded", "_title", "_title_folded", "_pos", "_neg", "_non", "_exp", "_role", "_labels")
+_SCRATCH = ("_full", "_title", "_pos", "_neg", "_non", "_exp", "_role", "_labels")
 
 
-def match_labels(rule_list: Sequence[Rule], text: str, folded: str) -> Column:
-    """Labels of the rules found in the column `text`, in rule order.
+def match_labels(rule_list: Sequence[Rule], folded: str) -> Column:
+    """Labels of the rules found, in rule order, in the column `folded`: a text through `fold_case`.
 
-    The words a rule needs are looked for first with a plain substring test on `folded` (the text
-    through `fold_case`), so the regular expression runs only on texts that can match. Written as
-    SQL text: the hundred conditions would each cost many calls into the JVM otherwise.
+    The words a rule needs are looked for first with a plain substring test, so the regular
+    expression runs only on texts that can match. Folded texts need no case-insensitive matching,
+    which is slow; only a rule that is itself written with capitals is matched that way. Written
+    as SQL text: the hundred conditions would each cost many calls into the JVM otherwise.
     """
 
     def label_if_found(rule: Rule) -> str:
+        capitals = re.search("[A-Z]", re.sub(r"\\.", "", rule.regex))
         tests = [f"contains({folded}, {_literal(w)})" for w in rule.required_words()]
-        tests.append(f"{text} RLIKE {_literal(f'(?iU){rule.regex}')}")
+        tests.append(f"{folded} RLIKE {_literal(('(?iU)' if capitals else '(?U)') + rule.regex)}")
         return f"CASE WHEN {' AND '.join(tests)} THEN {_literal(rule.label)} END"
 
     return F.expr(f"array_compact(array({', '.join(map(label_if_found, rule_list))}))")
@@ -46,40 +49,33 @@ def combined_text(title: Column, level: Column, description: Column) -> Column:
 
 
 def _with_texts(df: DataFrame, title: str, description: str, level: str) -> DataFrame:
-    texts = with_computed(
-        df,
-        _full=combined_text(F.col(title), F.col(level), F.col(description)),
-        _title=F.coalesce(F.col(title), F.lit("")),
-    )
     return with_computed(
-        texts, _full_folded=fold_case(F.col("_full")), _title_folded=fold_case(F.col("_title"))
+        df,
+        _full=fold_case(combined_text(F.col(title), F.col(level), F.col(description))),
+        _title=fold_case(F.coalesce(F.col(title), F.lit(""))),
     )
 
 
 def _entry_labels(positive: Sequence[Rule], negative: Sequence[Rule]) -> dict[str, Column]:
-    return {
-        "_pos": match_labels(positive, "_full", "_full_folded"),
-        "_neg": match_labels(negative, "_full", "_full_folded"),
-    }
+    return {"_pos": match_labels(positive, "_full"), "_neg": match_labels(negative, "_full")}
 
 
 def _with_role(
     df: DataFrame, software: Sequence[Rule], explicit: Sequence[Rule], non_software: Sequence[Rule], **also: Column
 ) -> DataFrame:
     """Adds `_non` and `_labels`: the title decides, the full text is read only where it is silent."""
-    title = ("_title", "_title_folded")
     titled = with_computed(
         df,
-        _non=match_labels(non_software, *title),
-        _exp=match_labels(explicit, *title),
-        _role=match_labels(software, *title),
+        _non=match_labels(non_software, "_title"),
+        _exp=match_labels(explicit, "_title"),
+        _role=match_labels(software, "_title"),
         **also,
     )
     return with_computed(
         titled,
         _labels=F.when(_vetoed(), F.array().cast("array<string>"))
         .when(F.size("_role") > 0, F.col("_role"))
-        .otherwise(match_labels(software, "_full", "_full_folded")),
+        .otherwise(match_labels(software, "_full")),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 from tidemark import rules
+from tidemark.functions.bind import let
 
 # What counts as white space for str.strip, str.split and "\s": the controls, the Unicode spaces
 # and U+001C..U+001F. Spelled out, as a plain character class is much faster than a property.
@@ -20,9 +21,9 @@ NFKC_STABLE = (
     "\\x00\\x02-\\x7fÀ-ıĴ-ľŁ-ňŊ-ž‐‒-―‘-‟†-•"
 )
 
-
-def lit_or_col(value) -> Column:
-    return value if isinstance(value, Column) else F.col(value)
+# Letters that case-insensitive matching takes for i, i, s and k: dotted capital I, dotless i,
+# long s, Kelvin sign.
+_ASCII_LIKE = "\u0130\u0131\u017f\u212a"
 
 
 def strip(value: Column) -> Column:
@@ -43,8 +44,17 @@ def blank_to_null(value: Column) -> Column:
 
 
 def fold_case(value: Column) -> Column:
-    """Lower case in which a case-insensitive ASCII literal is always visible to `contains`."""
-    return F.lower(F.translate(value, "İıſK", "iisk"))
+    """Lower case in which a case-insensitive ASCII literal is always visible to `contains`.
+
+    Four letters match ASCII ones without lower-casing to them. Translating is slow, so only texts
+    that hold one of them are translated.
+    """
+
+    def fold(text: Column) -> Column:
+        unusual = text.rlike(f"[{_ASCII_LIKE}]")
+        return F.lower(F.when(unusual, F.translate(text, _ASCII_LIKE, "iisk")).otherwise(text))
+
+    return let(value, fold)
 
 
 @F.arrow_udf(StringType())
