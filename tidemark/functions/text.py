@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
@@ -51,7 +53,7 @@ def fold_case(value: Column) -> Column:
     """
 
     def fold(text: Column) -> Column:
-        unusual = text.rlike(f"[{_ASCII_LIKE}]")
+        unusual = reduce(or_, [text.contains(letter) for letter in _ASCII_LIKE])
         return F.lower(F.when(unusual, F.translate(text, _ASCII_LIKE, "iisk")).otherwise(text))
 
     return let(value, fold)
