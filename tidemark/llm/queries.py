@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, line_dedup, line_rules, mixing, rule_ensemble, toxicity, warc
+from tidemark.llm import chat, decontaminate, line_dedup, line_rules, mixing, rule_ensemble, toxicity, warc, wrapper
 from tidemark.llm.frames import table
 from tidemark.session import shared_folder
 
@@ -61,3 +61,48 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# what a turn of the test table asks for, and which fields the tools take
+TOOLS = {"lookup": {"words": "integer", "topic": "string"}, "count": {"words": "integer", "exact": "boolean?"}, "translate": {"topic": "string", "to": "string"}}
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """Conversations with the tool traffic that their turns stand for, since the table itself has none.
+
+    A user's turn also makes a call, named after the turn, and the assistant's turn that follows is
+    its result. A call comes after the call of the last user turn before it. Calls of the tool
+    `translate` lack a field, and some results come without a call.
+    """
+    turn, words = F.col("turn"), F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"))
+    tool = F.element_at(F.array(*map(F.lit, TOOLS)), (F.pmod(F.floor(turn / 2), F.lit(3)) + 1).cast("int"))
+    name = lambda t: F.concat(F.lit("call_"), t.cast("string"))
+    topic = F.substring(F.coalesce("text", F.lit("")), 1, 20)
+    arguments = F.when(
+        tool == "lookup", F.create_map(F.lit("topic"), topic, F.lit("words"), words.cast("string"))
+    ).when(tool == "count", F.create_map(F.lit("words"), words.cast("string"))).otherwise(F.create_map(F.lit("topic"), topic))
+    user, answer = F.col("role") == "user", F.col("role") == "assistant"
+    base = conversations.select("conv_id", "turn", "role", "text")
+    nothing = F.lit(None).cast("string")
+    texts = base.withColumns({"call_id": nothing, "kind": F.lit("text"), "tool": nothing, "arguments": F.lit(None).cast("map<string,string>"), "after": nothing})
+    calls = base.where(user).withColumns(
+        {"role": F.lit("assistant"), "text": nothing, "call_id": name(turn), "kind": F.lit("call"), "tool": tool, "arguments": arguments, "after": name(turn - 2)}
+    )
+    results = base.where(answer).withColumns(
+        {"role": F.lit("tool"), "call_id": name(turn - 1), "kind": F.lit("result"), "tool": nothing, "arguments": F.lit(None).cast("map<string,string>"), "after": nothing}
+    )
+    return texts.unionByName(calls).unionByName(results)
+
+
+@query
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's messages with linked, ordered and checked tool calls."""
+    tools = [F.struct(F.lit(t).alias("tool"), F.create_map(*(F.lit(x) for kv in s.items() for x in kv)).alias("schema")) for t, s in TOOLS.items()]
+    schemas = spark.range(1).select(F.inline(F.array(*tools)))
+    linked = chat.link(tool_messages(table(spark, sf_dir, "conversations")), schemas)
+    return linked.withColumn("errors", F.array_join("errors", ","))
+
+
+@query
+def op9_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(table(spark, sf_dir, "pages"))
