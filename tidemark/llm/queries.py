@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, decontaminate, line_dedup, line_rules, mixing, rule_ensemble, toxicity, warc, wrapper
+from tidemark.llm import chat, decontaminate, jaccard, line_dedup, line_rules, mixing, rule_ensemble, toxicity, warc, wrapper
 from tidemark.llm.frames import table
 from tidemark.session import shared_folder
 
@@ -106,3 +106,8 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
