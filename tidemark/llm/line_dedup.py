@@ -65,8 +65,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3, min_words: int = 3) -> Data
     first document stays too. Null and empty texts stay as they are with n_lines 0 and 1. Rows that
     repeat an id are all the first document. Columns named like the added ones are replaced.
 
-    The documents are not shuffled: the lines to remove are found as (doc_id, position) and joined
-    by id only for documents that have any.
+    Lines move as digests only; texts are joined once, by id, with the lines they lose.
     """
     added = ["n_lines", "n_removed"]
     boilerplate = staged(line_spread(docs, min_sites, min_words), "boilerplate")

@@ -17,6 +17,7 @@ from tidemark.llm.frames import staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BINS = 4096
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -54,51 +55,71 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def _uniform(seed: int) -> Column:
-    """A number in (0, 1) that only depends on the document."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("source")), 12)
-    return (bits + 0.5) / float(1 << 52)
+def _random() -> Column:
+    """A number in (0, 1) that only depends on the seed, the document's id and its source."""
+    named = F.concat_ws(":", F.col("_seed"), F.col("doc_id").cast("string"), F.col("source"))
+    return (F.conv(F.substring(F.md5(named), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def mix(docs: DataFrame, seed: int = 7, size_power: float = 0.5, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies, taken) of each row of `docs` (doc_id, source, text).
-
-    The inclusion probability of a remaining copy follows size ** `size_power`. The last document by
-    rank is taken if that brings the source nearer to its target. Null and blank texts have size 0
-    and nothing to take; a null source is a source; null ids are drawn like any id; repeated rows
-    are drawn one by one. A source whose target is twice its size is taken twice, whole.
-    """
-    sizes = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    stats = sizes.groupBy("source").agg(F.sum(F.pow(F.col("size").cast("double"), 1 + size_power)).alias("_moment"))
-    targets = staged(source_targets(sizes, weights, share, most).join(stats.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "mix-targets")
-    ratio = F.col("target") / F.col("source_size")
-    targets = targets.withColumn("_sure", F.when(F.col("source_size") > 0, F.least(F.floor(ratio + 1e-12), F.lit(int(most)))).otherwise(0).cast("long"))
-    targets = targets.withColumn("_rest", F.greatest(F.col("target") - F.col("_sure") * F.col("source_size"), F.lit(0.0)))
-    known = targets.withColumnRenamed("source", "_source")
-    rows = sizes.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-
-    chance = F.col("_rest") * F.pow(F.col("size").cast("double"), size_power) / F.col("_moment")
+def _ranked(rows: DataFrame, seed: int, most: int) -> DataFrame:
+    """Rows that know their source's plan, with _rank and _bin; null where no further copy is open."""
+    chance = F.col("_rest") * F.sqrt(F.col("size").cast("double")) / F.col("_moment")
     chance = F.least(F.greatest(chance, F.lit(1e-9)), F.lit(1 - 1e-9))
-    random = _uniform(seed)
-    rank = (random / (1 - random)) / (chance / (1 - chance))
-    open_ = (F.col("_rest") > 0) & (F.col("size") > 0) & (F.col("_sure") < int(most))
-    rows = rows.withColumn("_rank", F.when(open_, rank)).withColumn("_bin", F.when(open_, F.floor(F.col("_rank") / (1 + F.col("_rank")) * BINS)))
+    rank = (F.col("_u") / (1 - F.col("_u"))) / (chance / (1 - chance))
+    open_ = (F.col("_rest") > 0) & (F.col("size") > 0) & (F.col("_sure") < most)
+    rows = rows.withColumn("_seed", F.lit(str(seed))).withColumn("_u", _random()).withColumn("_rank", F.when(open_, rank))
+    return rows.withColumn("_bin", F.floor(F.col("_rank") / (1 + F.col("_rank")) * BINS)).drop("_seed", "_u")
 
-    bins = rows.where(F.col("_bin").isNotNull()).groupBy("source", "_bin").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_goal"))
+
+def source_plan(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
+    """One row per source: source_size, target, copies taken of all, and the last rank of which one more is taken."""
+    sizes = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    moments = sizes.groupBy(F.col("source").alias("_source")).agg(F.sum(F.col("size") * F.sqrt(F.col("size").cast("double"))).alias("_moment"))
+    targets = source_targets(sizes, weights, share, float(most)).join(moments, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    sure = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") + 1e-12), F.lit(most))).otherwise(0)
+    targets = targets.withColumn("_sure", sure.cast("long"))
+    targets = staged(targets.withColumn("_rest", F.greatest(F.col("target") - F.col("_sure") * F.col("source_size"), F.lit(0.0))), "mix-targets")
+    rows = _ranked(with_plan(sizes, targets), seed, most).where(F.col("_bin").isNotNull()).select("doc_id", "source", "size", "_rest", "_rank", "_bin")
+
+    bins = rows.groupBy("source", "_bin").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_goal"))
     upto = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("_before", F.coalesce(F.sum("_words").over(upto), F.lit(0)))
-    # the first bin in which the words reach the goal; every source has one row here at most
+    # the first bin in which the words reach the goal; a source has one at most
     met = bins.where((F.col("_before") < F.col("_goal")) & (F.col("_before") + F.col("_words") >= F.col("_goal")))
-    met = met.select(F.col("source").alias("_source"), F.col("_bin").alias("_last"), F.col("_before").alias("_start"))
-    rows = rows.join(met, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    met = staged(met.select("source", F.col("_bin").alias("_last"), F.col("_before").alias("_start")), "mix-bins")
 
-    kept = ["doc_id", "source", "size", "source_size", "target", "_sure"]
-    clear = rows.where(F.coalesce(F.col("_bin") != F.col("_last"), F.lit(True)))
-    clear = clear.select(*kept, F.when(F.col("_bin").isNotNull() & (F.col("_bin") < F.coalesce(F.col("_last"), F.lit(BINS + 1))), 1).otherwise(0).alias("_more"))
+    edge = with_plan(rows, met).where(F.col("_bin") == F.col("_last"))
     order = Window.partitionBy("source").orderBy("_rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = rows.where(F.col("_bin") == F.col("_last")).withColumn("_to", F.col("_start") + F.sum("size").over(order))
-    over = F.col("_to") - F.col("_rest")
-    under = F.col("_rest") - (F.col("_to") - F.col("size"))
-    edge = edge.select(*kept, F.when(over <= 0, 1).when((under > 0) & (over <= under), 1).otherwise(0).alias("_more"))
-    out = clear.unionByName(edge).withColumn("copies", F.col("_sure") + F.col("_more"))
-    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    edge = edge.withColumn("_to", F.col("_start") + F.sum("size").over(order))
+    over, under = F.col("_to") - F.col("_rest"), F.col("_rest") - (F.col("_to") - F.col("size"))
+    taken = edge.where((over <= 0) | ((under > 0) & (over <= under)))
+    cuts = taken.groupBy(F.col("source").alias("_source")).agg(F.max(F.struct("_rank", "doc_id")).alias("_cut"))
+    met = met.join(cuts, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source", "_start").withColumnRenamed("source", "_source")
+    return staged(targets.join(met, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source"), "mix-plan")
+
+
+def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """`rows` with the written plan of their source: by broadcast while sources are few, else by a join that can be split."""
+    plan = plan.withColumnRenamed("source", "_source")
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+
+def mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
+    """Each row of `docs` (doc_id, source, text) with size, source_size, target, copies and taken (words).
+
+    The inclusion odds of a further copy grow with the square root of the size. The last document by
+    rank is taken if that brings the source nearer to its target. Null and blank texts have size 0
+    and nothing to take; a null source is a source; null ids are drawn like any id; rows that repeat
+    an id and source are taken together. A source whose target is twice its size is taken twice,
+    whole. Columns of `docs` named like the added ones are replaced. Texts are not shuffled.
+    """
+    plan = source_plan(docs, seed, weights, share, most)
+    added = ["size", "source_size", "target", "copies", "taken"]
+    rows = docs.drop(*added).withColumn("size", word_count(F.col("text")))
+    rows = _ranked(with_plan(rows, plan), seed, most)
+    # struct order puts null ids first, as the window does
+    before = (F.col("_bin") < F.col("_last")) | (F.col("_last").isNull() & F.col("_bin").isNotNull()) | (F.struct("_rank", "doc_id") <= F.col("_cut"))
+    more = F.when(F.col("_rank").isNotNull() & before, 1).otherwise(0)
+    rows = rows.withColumn("copies", F.col("_sure") + more).withColumn("taken", F.col("copies") * F.col("size"))
+    return rows.select(*docs.drop(*added).columns, *added)
