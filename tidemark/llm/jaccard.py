@@ -1,19 +1,18 @@
 """N-gram Jaccard join with several global token orders.
 
 Two sets whose similarity reaches the threshold share a token among the first of both, under any
-order of all tokens. Under the first order the sets' prefixes meet in a join on the token. How many
-tokens two prefixes share bounds how many the sets can share at most, and drops nearly all pairs
-that only have a passage in common. What is left must also share prefix tokens under every further
-order, and is then compared exactly.
+order of all tokens. Under the first order the sets' prefixes meet in a join on the token. How deep
+in both sets a shared token may lie, and how many must be shared down to that depth, follows from the
+sizes of the pair; this drops nearly all pairs that only have a passage in common. What is left must
+also share prefix tokens under every further order, and is then compared exactly.
 
 Tokens that a sample of documents holds often come last in every order, so passages that many
 documents share do not meet. The sample (`SAMPLE_SHARE` of the documents, `FREQUENT` tokens at
 most) only shapes the orders; any order gives the same result.
 
 The result is the components of the links. Equal sets are one node. Before pairs are formed, each
-node is compared with one or two hubs of its prefix tokens, so a large group of near copies is
-one component already and its inner pairs are never formed; links between components are found
-in full.
+node is compared with the hub of its prefix tokens, so a large group of near copies is one
+component already and its inner pairs are never formed; links between components are found in full.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ SAMPLE_SHARE = 0.1
 OFTEN = 4
 FREQUENT = 500_000
 ORDERS = 3
-HUB_ROUNDS = 2
+DEEPER = 0.03
 BROADCAST_IDS = 1_000_000
 _TOP = np.uint64(1 << 63)
 _SEEDS = mix(np.arange(1, 17, dtype=np.uint64))
@@ -60,14 +59,12 @@ def ordered(tokens: np.ndarray, frequent: np.ndarray, order: int) -> np.ndarray:
     return places
 
 
-def prefix(tokens: np.ndarray, frequent: np.ndarray, order: int, percent: int) -> tuple[np.ndarray, int]:
-    """The first tokens of a set in an order, and the last place among them."""
+def prefix(tokens: np.ndarray, frequent: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The first tokens of a set in an order, in that order."""
     p = prefix_length(len(tokens), percent)
     places = ordered(tokens, frequent, order)
-    if p >= len(tokens):
-        return tokens, int(places.max())
-    chosen = np.argpartition(places, p - 1)[:p]
-    return tokens[chosen], int(places[chosen].max())
+    chosen = np.argpartition(places, p - 1)[:p] if p < len(tokens) else np.arange(len(tokens))
+    return tokens[chosen[np.argsort(places[chosen])]]
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
@@ -103,63 +100,85 @@ def frequent_tokens(docs: DataFrame, width: int, share: float) -> np.ndarray:
 
 
 def postings(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
-    """(token, doc_id, n, last) of the first order's prefixes; equal sets of one task once."""
+    """(token, node, n, pos) of the first order's prefixes: the set's size and the token's rank in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, seen = frequent.value, set()
+        common = frequent.value
         for batch in slices(batches, "text"):
-            ids = batch.column("doc_id").to_numpy()
-            parts, sizes, rows = [], [], []
-            for i, tokens in enumerate(_sets(batch, width)):
-                sign = (len(tokens), *signature(tokens))
-                if len(tokens) and sign not in seen:
-                    seen.add(sign)
-                    chosen, last = prefix(tokens, common, 0, percent)
-                    parts.append(chosen)
-                    sizes.append(len(chosen))
-                    rows.append((ids[i], len(tokens), last >> 1))
-            if rows:
-                doc, n, last = (np.repeat(np.array(c, np.int64), sizes) for c in zip(*rows, strict=True))
-                token = np.concatenate(parts).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(doc), pa.array(n), pa.array(last)], names=["token", "doc_id", "n", "last"])
-
-    return docs.mapInArrow(run, "token long, doc_id long, n long, last long")
+            sets = list(_sets(batch, width))
+            parts = [prefix(t, common, 0, percent) if len(t) else t for t in sets]
+            sizes = [len(x) for x in parts]
+            token = np.concatenate(parts).view(np.int64)
+            node = np.repeat(batch.column("doc_id").to_numpy(), sizes)
+            n = np.repeat(np.array([len(t) for t in sets], np.int64), sizes)
+            pos = np.concatenate([np.arange(k) for k in sizes])
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(n), pa.array(pos)], names=["token", "node", "n", "pos"])
+
+    return docs.mapInArrow(run, "token long, node long, n long, pos long")
 
 
 def shared_only(rows: DataFrame) -> DataFrame:
-    """The postings whose token another posting has too. One shuffle; tokens are compared in sorted order."""
+    """The postings whose token another posting has too, with the token's hub, the first of its nodes by hash.
+
+    One shuffle; tokens are compared in sorted order, and only a row or two wait for the next batch.
+    """
+    names = ["hub", "hub_n", "hub_pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, token_before, hub_before = None, None, None
         for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            columns = [batch.column(c).to_numpy() for c in ("token", "node", "n", "pos")]
             if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            token = batch.column("token").to_numpy()
-            same = np.concatenate([[False], token[1:] == token[:-1], [False]])
-            # the last row waits for its neighbour, with the one before it if they are alike
-            keep = same[:-1] | same[1:]
-            wait = 2 if same[-2] else 1
-            done = keep[: len(token) - wait]
-            if wait == 2 and len(token) > 2 and same[-3]:
-                done = keep[: len(token) - 2]
-            yield batch.slice(0, len(done)).filter(pa.array(done))
-            held = batch.slice(len(token) - wait)
-        if held is not None and held.num_rows == 2:
-            yield held
-
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, rows.schema)
-
-
-def can_link(c: Column, n_a: Column, last_a: Column, n_b: Column, last_b: Column, percent: int) -> Column:
-    """Whether sets that share `c` prefix tokens can share enough in all.
-
-    Every shared token up to the earlier of the two last places is in both prefixes. Of the set
-    whose prefix ends there, only what follows its prefix can be shared besides.
-    """
-    rest = lambda n: n - F.least(n, n - F.floor((percent * n + 99) / 100) + 1)
-    unseen = F.when(last_a < last_b, rest(n_a)).when(last_b < last_a, rest(n_b)).otherwise(F.greatest(rest(n_a), rest(n_b)))
+                columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
+            token = columns[0]
+            begins = np.concatenate([[True], token[1:] != token[:-1]])
+            at = np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
+            hubs = [c[at] for c in columns[1:]]
+            more = token == token_before if token_before is not None else np.zeros(len(token), bool)
+            for c, value in zip(hubs, hub_before or (), strict=False):
+                c[more] = value
+            alike = np.concatenate([~begins, [False]])
+            keep = alike[:-1] | alike[1:] | more
+            # the last row cannot know its neighbour yet
+            done = len(token) - 1
+            token_before, hub_before = (token[done], [h[done] for h in hubs]) if keep[done] else (None, None)
+            if keep[done]:
+                done += 1
+            yield _batch([c[:done][keep[:done]] for c in (*columns, *hubs)])
+            held = [c[done:] for c in columns]
+            held = held if len(held[0]) else None
+
+    def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "n", "pos", *names])
+
+    sorted_rows = rows.repartition("token").withColumn("_mark", F.xxhash64("node")).sortWithinPartitions("token", "_mark", "node").drop("_mark")
+    return sorted_rows.mapInArrow(run, "token long, node long, n long, pos long, hub long, hub_n long, hub_pos long")
+
+
+def _needed(n_a: Column, n_b: Column, percent: int) -> Column:
+    """Tokens that linked sets of these sizes share at least."""
+    return F.ceil(percent * (n_a + n_b) / (100 + percent))
+
+
+def _deeper(n_a: Column, n_b: Column, percent: int) -> Column:
+    """How much further than for one shared token the prefixes of a pair are looked at."""
+    spare = lambda n: _needed(n_a, n_b, percent) - F.floor((percent * n + 99) / 100)
+    return F.greatest(F.least(F.floor(DEEPER * F.least(n_a, n_b)), spare(n_a), spare(n_b)), F.lit(0))
+
+
+def deep_enough(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column, percent: int) -> Column:
+    """Whether a shared token counts: the sizes can link and it lies in the prefixes that matter for the pair."""
+    needed, deeper = _needed(n_a, n_b, percent), _deeper(n_a, n_b, percent)
     sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-    return sizes & ((c + unseen) * (100 + percent) >= percent * (n_a + n_b))
+    return sizes & (pos_a <= n_a - needed + deeper) & (pos_b <= n_b - needed + deeper)
+
+
+def can_link(c: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether `c` shared tokens of those prefixes leave enough: of the set whose prefix ends first in the
+    order, all but needed - 1 - deeper tokens were seen, so linked sets share more than `deeper` of them."""
+    return c > _deeper(n_a, n_b, percent)
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -181,7 +200,7 @@ def verified(pairs: DataFrame, docs: DataFrame, frequent, width: int, percent: i
         common, known = frequent.value, {}
 
         def prefixes(tokens: np.ndarray) -> tuple:
-            return tokens, [np.sort(prefix(tokens, common, k, percent)[0]) for k in range(1, orders)]
+            return tokens, [np.sort(prefix(tokens, common, k, percent)) for k in range(1, orders)]
 
         for batch in slices(batches, "text"):
             keep = []
@@ -213,7 +232,10 @@ def _relabelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _with_components(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    return rows.join(nodes, "node")
+    """`rows` with the component of their node: only nodes that are not their own component are joined."""
+    moved = staged(nodes.where(F.col("node") != F.col("component")), "moved")
+    moved = F.broadcast(moved) if moved.count() <= BROADCAST_IDS else moved
+    return rows.join(moved, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def _between(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -223,9 +245,7 @@ def _between(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("u", "v")
 
 
-def similar(
-    docs: DataFrame, percent: int = 75, width: int = 5, orders: int = ORDERS, hub_rounds: int = HUB_ROUNDS, sample_share: float = SAMPLE_SHARE
-) -> DataFrame:
+def similar(docs: DataFrame, percent: int = 75, width: int = 5, orders: int = ORDERS, sample_share: float = SAMPLE_SHARE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of `docs` (doc_id, text).
 
     A set holds the distinct `width`-word shingles of the whole text, lower-cased A to Z; of fewer
@@ -241,43 +261,41 @@ def similar(
     # equal sets: one row per task and set before the shuffle
     groups = named.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("node"))
     node_of = staged(named.join(groups, ["n_shingles", "s1", "s2"]).select("doc_id", "node").distinct(), "nodes-of")
+    ids = node_of.groupBy("doc_id").agg(
+        F.max(F.col("doc_id") == F.col("node")).alias("first"), F.min("node").alias("u"), F.max("node").alias("v")
+    )
+    ids = staged(ids.where(~F.col("first") | (F.col("u") != F.col("v"))), "copies")
 
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    copies = ids.where(~F.col("first")).select("doc_id")
+    alone = texts.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
     frequent = spark.sparkContext.broadcast(frequent_tokens(texts, width, sample_share))
-    shared = staged(shared_only(postings(texts, frequent, width, percent)), "postings")
-    posted = staged(shared.join(node_of, "doc_id").groupBy("token", "node").agg(F.max("n").alias("n"), F.min("last").alias("last")), "shared")
+    posted = staged(shared_only(postings(alone, frequent, width, percent)), "postings")
 
-    # an id with several texts has several sets under one node: they are linked by the id
+    # an id with several texts has several sets: they are linked by the id
     nodes = staged(node_of.select("node").distinct().withColumn("component", F.col("node")), "components")
-    many = node_of.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where(F.col("u") != F.col("v"))
-    extra = node_of.join(many.select("doc_id", "u"), "doc_id").select("u", F.col("node").alias("v")).where(F.col("u") != F.col("v"))
-    nodes = _relabelled(nodes, extra)
+    many = ids.where(F.col("u") != F.col("v")).select("doc_id", "u")
+    nodes = _relabelled(nodes, many.join(node_of, "doc_id").select("u", F.col("node").alias("v")).where(F.col("u") != F.col("v")))
 
     a_b = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    for k in range(hub_rounds):
-        labelled = _with_components(posted, nodes)
-        mark = F.struct(F.xxhash64("node", F.lit(k)).alias("mark"), "node", "n", "last", "component")
-        hubs = labelled.groupBy("token").agg(F.min(mark).alias("hub"))
-        near = labelled.join(hubs, "token").where(F.col("component") != F.col("hub.component"))
-        counted = near.groupBy("node", F.col("hub.node").alias("hub")).agg(
-            F.count("*").alias("c"), F.max("n").alias("n"), F.min("last").alias("last"), F.max("hub.n").alias("hub_n"), F.min("hub.last").alias("hub_last")
-        )
-        able = counted.where(can_link(F.col("c"), F.col("n"), F.col("last"), F.col("hub_n"), F.col("hub_last"), percent))
-        best = able.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-        links = verified(best.select(*a_b(F.col("node"), F.col("hub"))), texts, frequent, width, percent, orders)
-        nodes = _relabelled(nodes, _between(links, nodes))
-
-    labelled = _with_components(posted, nodes)
+    near = posted.where((F.col("node") != F.col("hub")) & deep_enough(*map(F.col, ("n", "pos", "hub_n", "hub_pos")), percent))
+    counted = near.groupBy("node", "hub").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("hub_n").alias("hub_n"))
+    best = counted.where(can_link(F.col("c"), F.col("n"), F.col("hub_n"), percent)).groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+    links = verified(best.select(*a_b(F.col("node"), F.col("hub"))), texts, frequent, width, percent, orders)
+    nodes = _relabelled(nodes, _between(links, nodes))
+
+    labelled = _with_components(posted.select("token", "node", "n", "pos"), nodes)
     # tokens that lie in one component only cannot link two
     mixed = labelled.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("token")
     labelled = staged(labelled.join(mixed, "token"), "mixed")
-    x, y = (labelled.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "last", "component"))) for s in "xy")
-    fits = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-    met = x.join(y, "token").where((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & fits)
-    counted = met.groupBy("node_x", "node_y").agg(
-        F.count("*").alias("c"), F.max("n_x").alias("n_x"), F.min("last_x").alias("last_x"), F.max("n_y").alias("n_y"), F.min("last_y").alias("last_y")
+    x, y = (labelled.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "component"))) for s in "xy")
+    met = x.join(y, "token").where(
+        (F.col("node_x") < F.col("node_y"))
+        & (F.col("component_x") != F.col("component_y"))
+        & deep_enough(*map(F.col, ("n_x", "pos_x", "n_y", "pos_y")), percent)
     )
-    able = counted.where(can_link(F.col("c"), F.col("n_x"), F.col("last_x"), F.col("n_y"), F.col("last_y"), percent))
+    counted = met.groupBy("node_x", "node_y").agg(F.count("*").alias("c"), F.max("n_x").alias("n_x"), F.max("n_y").alias("n_y"))
+    able = counted.where(can_link(F.col("c"), F.col("n_x"), F.col("n_y"), percent))
     links = verified(able.select(*a_b(F.col("node_x"), F.col("node_y"))), texts, frequent, width, percent, orders)
     nodes = _relabelled(nodes, _between(links, nodes))
 
