@@ -37,13 +37,12 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.substring(F.sha2(line, 256), 1, 32))
 
 
-def line_spread(docs: DataFrame, min_sites: int = 3, min_words: int = 3) -> DataFrame:
-    """Boilerplate lines of `docs` (doc_id, source, text): (key, n_sites, first_doc).
+def line_spread(lines: DataFrame, min_sites: int = 3) -> DataFrame:
+    """Boilerplate among `lines` (doc_id, site, key): (key, n_sites, first_doc).
 
     n_sites is exact where the sketch came near `min_sites`, else the estimate. A null source is a
     site of its own; a null text has no lines; a document without id counts for the spread.
     """
-    lines = lines_of(docs, min_words)
     sketched = lines.groupBy("key").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_BUCKETS))).alias("estimate"),
         F.min("doc_id").alias("first_doc"),
@@ -68,9 +67,11 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3, min_words: int = 3) -> Data
     Lines move as digests only; texts are joined once, by id, with the lines they lose.
     """
     added = ["n_lines", "n_removed"]
-    boilerplate = staged(line_spread(docs, min_sites, min_words), "boilerplate")
+    # digests are taken once; the passes over lines read them, not the texts
+    lines = staged(lines_of(docs, min_words), "lines")
+    boilerplate = staged(line_spread(lines, min_sites), "boilerplate")
     hit = (
-        lines_of(docs, min_words).join(boilerplate, "key").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+        lines.join(boilerplate, "key").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
         .groupBy("doc_id").agg(F.collect_set("key").alias("_gone"))
     )
     joined = docs.drop(*added).withColumn("_id", F.col("doc_id")).join(hit.withColumnRenamed("doc_id", "_hit"), F.col("_id").eqNullSafe(F.col("_hit")), "left")
