@@ -18,6 +18,7 @@ from tidemark.llm.words import NOT_ALNUM, chain, find_words, slices
 
 WORDS_PER_BLOCK = 200_000
 SEED = 3
+ADDED = ("n_words", "n_hit", "n_items", "spans", "items", "contaminated")
 
 
 class Automaton:
@@ -197,8 +198,7 @@ def contamination(
     words; null or wordless items are skipped; repeated items and rows count once and stay. Columns
     of `docs` named like the added ones are replaced. Map-only: one pass per block of the benchmark.
     """
-    added = ["n_words", "n_hit", "n_items", "spans", "items", "contaminated"]
-    out = docs.drop(*added)
+    out = docs.drop(*ADDED)
     cut = blocks(benchmark, words_per_block)
     items, k = next(cut), 0
     while items is not None:
@@ -237,16 +237,18 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, cove
 
     Columns are those of `docs`. Nulls, blanks and repeats as in `contamination`.
     """
-    judged = contamination(docs, benchmark, window, coverage).where(~F.col("contaminated"))
-    long_spans = F.filter("spans", lambda s: s["end"] - s["first"] > span_words)
-    judged = judged.withColumn("spans", long_spans)
+    # columns of docs that are named like added ones step aside meanwhile
+    aside = {c: f"_own_{c}" for c in ADDED if c in docs.columns}
+    judged = contamination(docs.withColumnsRenamed(aside), benchmark, window, coverage).where(~F.col("contaminated"))
+    judged = judged.withColumn("_cut", F.filter("spans", lambda s: s["end"] - s["first"] > span_words)).drop(*ADDED)
+    judged = judged.withColumnsRenamed({new: old for old, new in aside.items()})
     columns = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = find_words(batch.column("text"), gap=NOT_ALNUM, hashes=False)
             texts = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
+            for i, spans in enumerate(batch.column("_cut").to_pylist()):
                 if spans:
                     raw, base = texts[i].encode(), found.first[i]
                     offset = sum(len((t or "").encode()) for t in texts[:i])
@@ -259,4 +261,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, cove
             arrays = [pa.array(texts, batch.column(c).type) if c == "text" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return judged.select(*docs.columns, "spans").mapInArrow(cut, docs.schema)
+    return judged.select(*docs.columns, "_cut").mapInArrow(cut, docs.schema)

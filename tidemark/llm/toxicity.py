@@ -24,7 +24,7 @@ from tidemark.llm.words import AS_IS, NOT_ALNUM, find_words, mix, range_hashes,
 SAMPLE = 12_000
 BITS = 20
 STARTS = (4, 5, 6, 7, 8)
-LASSO, SWAP_PENALTY, ROUNDS = 6e-4, 1.0, 150
+LASSO, SWAP_PENALTY, ROUNDS = 6e-4, 1.0, 200
 # Terms that name groups, in sets whose members can replace each other.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
@@ -117,22 +117,38 @@ def fit(own: list[np.ndarray], other: list[np.ndarray | None], y: np.ndarray, la
     swap_row = swap_row % max(1, len(pairs))
     target = y.astype(float)
     base = np.clip(target.mean(), 1e-3, 1 - 1e-3)
+    # toxic rows are few; they count more, so that 0.5 lies between the two kinds
+    heft = np.where(target > 0, np.sqrt((1 - base) / base), 1.0)
     bias = float(np.log(base / (1 - base)))
     weights = np.zeros(len(names))
-    # one step size per feature: rare features may move further
-    frequency = np.bincount(col, minlength=len(names)) / n
-    step = 1.0 / (np.sqrt(frequency * frequency.max()) + 1e-3) if len(names) else weights
+    width = len(names)
+
+    def swaps(w: np.ndarray) -> np.ndarray:
+        """Slope of the mean squared score change under swaps, as far as `w` causes it."""
+        if not pairs:
+            return 0.0
+        gap = np.bincount(swap_row, weights=sign * w[swap_col], minlength=len(pairs))
+        return 2 * penalty * np.bincount(swap_col, weights=sign * gap[swap_row], minlength=width) / len(pairs)
+
+    # rare features may move further; all steps are then scaled by the steepest direction, so that none overshoots
+    frequency = np.bincount(col, minlength=width) / n
+    step = 1.0 / (np.sqrt(frequency * frequency.max()) + 1e-3) if width else weights
+    v = np.sqrt(step)
+    for _ in range(12 if width else 0):
+        v /= np.linalg.norm(v)
+        w = np.sqrt(step) * v
+        bend = 0.25 * np.bincount(col, weights=(heft * np.bincount(row, weights=w[col], minlength=n))[row], minlength=width) / n + swaps(w)
+        v = np.sqrt(step) * bend
+    step = step / (1.1 * np.linalg.norm(v) + 1e-12) if width else step
     ahead, previous = weights.copy(), weights
     for k in range(rounds):
         score = bias + np.bincount(row, weights=ahead[col], minlength=n)
-        error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - target
+        error = heft * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - target)
         slope = np.bincount(col, weights=error[row], minlength=len(names)) / n
-        if pairs:
-            gap = np.bincount(swap_row, weights=sign * ahead[swap_col], minlength=len(pairs))
-            slope += 2 * penalty * np.bincount(swap_col, weights=sign * gap[swap_row], minlength=len(names)) / len(pairs)
-        bias -= float(error.mean())
-        moved = ahead - 0.5 * step * slope
-        weights = np.sign(moved) * np.maximum(np.abs(moved) - 0.5 * step * lasso, 0)
+        slope += swaps(ahead)
+        bias -= float(error.mean() / heft.max())
+        moved = ahead - step * slope
+        weights = np.sign(moved) * np.maximum(np.abs(moved) - step * lasso, 0)
         ahead = weights + min(0.9, k / (k + 3)) * (weights - previous)
         previous = weights
     used = np.flatnonzero(weights)
