@@ -254,10 +254,12 @@ def test_decontaminated(spark):
     rng = random.Random(4)
     item = " ".join(f"q{i}" for i in range(60))
     rows = [(1, prose(rng, 40) + " " + item, "a"), (2, prose(rng, 1500) + " é, " + item + "! " + prose(rng, 9), "a"), (3, "clean text", "a"), (4, None, "a")]
+    rows += [(6, prose(rng, 1400) + " " + item + ". " + prose(rng, 5), "a"), (7, "é" + prose(rng, 1600) + " " + item, "a")]
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    out = {r.doc_id: r.text for r in decontaminate.decontaminated(docs(spark, rows), bench).collect()}
-    assert out.keys() == {2, 3, 4} and out[2] == rows[1][1].replace(item, "") and out[3] == "clean text" and out[4] is None
-    assert decontaminate.decontaminated(docs(spark, rows), bench.limit(0)).count() == 4
+    out = {r.doc_id: r.text for r in decontaminate.decontaminated(docs(spark, rows).coalesce(1), bench).collect()}
+    assert all(out[i] == t.replace(item, "") for i, t, _ in rows if i in (2, 6, 7))
+    assert out.keys() == {2, 3, 4, 6, 7} and out[2] == rows[1][1].replace(item, "") and out[3] == "clean text" and out[4] is None
+    assert decontaminate.decontaminated(docs(spark, rows), bench.limit(0)).count() == 6
 
 
 def test_rule_ensemble(spark):

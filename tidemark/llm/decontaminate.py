@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.words import NOT_ALNUM, chain, find_words, slices
+from tidemark.llm.words import NOT_ALNUM, chain, find_words, slices, text_bytes
 
 WORDS_PER_BLOCK = 200_000
 SEED = 3
@@ -248,16 +248,15 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, cove
         for batch in slices(batches, "text"):
             found = find_words(batch.column("text"), gap=NOT_ALNUM, hashes=False)
             texts = batch.column("text").to_pylist()
+            _, borders = text_bytes(batch.column("text"))
             for i, spans in enumerate(batch.column("_cut").to_pylist()):
                 if spans:
                     raw, base = texts[i].encode(), found.first[i]
-                    offset = sum(len((t or "").encode()) for t in texts[:i])
                     at, left = 0, []
                     for s in spans:
-                        left.append(raw[at : found.start[base + s["first"]] - offset])
-                        at = found.end[base + s["end"] - 1] - offset
-                    texts[i] = None, b"".join([*left, raw[at:]]).decode()
-            texts = [t[1] if isinstance(t, tuple) else t for t in texts]
+                        left.append(raw[at : found.start[base + s["first"]] - borders[i]])
+                        at = found.end[base + s["end"] - 1] - borders[i]
+                    texts[i] = b"".join([*left, raw[at:]]).decode()
             arrays = [pa.array(texts, batch.column(c).type) if c == "text" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
