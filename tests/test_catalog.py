@@ -68,30 +68,27 @@ def test_job_link_tests(evaluate):
     assert evaluate([c[:2] for c in cases], schema, discovery.job_link_score(F.col("u"), F.col("t"))) == [c[3] for c in cases]
 
 
-def merge(held, items, cap):
-    """The sequential merge, for comparison."""
-    for url, title, location in items:
-        if len(held) >= cap:
-            return
-        if url not in held or len(title) > len(held[url][0]):
-            held[url] = (title, location)
+def merged_links(spark, anchors, cap):
+    rows = [(1, NOW, page, "https://c.com/", i, f"https://c.com/jobs/{key}", title, place, 0) for page, i, key, title, place in anchors]
+    got = discovery.job_links(spark.createDataFrame(rows, schemas.ANCHORS), cap).orderBy("rank").collect()
+    return [(r.url.rsplit("/", 1)[1], r.title, r.location) for r in got]
 
 
-@pytest.mark.parametrize("seed,cap", [(1, 3), (2, 5), (3, 200), (4, 1)])
-def test_links_merge_like_the_sequential_rule(spark, seed, cap):
-    rng = random.Random(seed)
-    anchors, expected = [], {}
-    for company in (1, 2, 3):
-        held = {}
-        for page in range(4):
-            items = [(f"https://c.com/jobs/{rng.randint(1, 7)}", "Job" + "x" * rng.randint(0, 6), rng.choice(["A", None, "B"])) for _ in range(rng.randint(0, 15))]
-            anchors += [(company, NOW, page, "https://c.com/", i, u, t, loc, 0) for i, (u, t, loc) in enumerate(items)]
-            own = {}
-            merge(own, items, cap)
-            merge(held, [(u, *v) for u, v in own.items()], cap)
-        expected[company] = [(u, *v) for u, v in held.items()]
-    got = discovery.job_links(spark.createDataFrame(anchors, schemas.ANCHORS), cap).orderBy("company_id", "rank").collect()
-    assert {c: [(r.url, r.title, r.location) for r in got if r.company_id == c] for c in expected} == expected
+def test_links_of_a_page_keep_the_longest_title(spark):
+    anchors = [(0, 0, 5, "Job a", "A"), (0, 1, 6, "Job b", None), (0, 2, 5, "Job abc", "B"), (0, 3, 6, "Job c", "C")]
+    assert merged_links(spark, anchors, 200) == [("5", "Job abc", "B"), ("6", "Job b", None)]
+
+
+def test_links_stop_at_the_cap(spark):
+    anchors = [(0, 0, 5, "Job a", "A"), (0, 1, 6, "Job b", "B"), (0, 2, 5, "Job longer", "C"), (1, 0, 7, "Job d", None)]
+    assert merged_links(spark, anchors, 2) == [("5", "Job a", "A"), ("6", "Job b", "B")]
+    assert merged_links(spark, anchors, 1) == [("5", "Job a", "A")]
+    assert merged_links(spark, anchors, 3) == [("5", "Job longer", "C"), ("6", "Job b", "B"), ("7", "Job d", None)]
+
+
+def test_links_of_later_pages_update_and_follow(spark):
+    anchors = [(0, 0, 5, "Job a", "A"), (1, 0, 6, "Job b", "B"), (1, 1, 5, "Job abcd", None), (2, 0, 5, "Job wxyz", "Z")]
+    assert merged_links(spark, anchors, 200) == [("5", "Job abcd", None), ("6", "Job b", "B")]
 
 
 def test_next_pages(spark):

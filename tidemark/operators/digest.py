@@ -29,8 +29,6 @@ SUBJECT = "New Entry-Level SWE Jobs — {day}"
 EMPTY_HTML = "<p>No new entry-level SWE jobs today.</p>"
 EMPTY_TEXT = "No new entry-level SWE jobs today."
 
-DOCUMENT_LIMIT = 20_000
-
 
 def select_digest_jobs(
     jobs: DataFrame,
@@ -114,11 +112,9 @@ def ordered_fragments(fragments: DataFrame) -> DataFrame:
     return fragments.orderBy("company_name", "part", "company_id", "title", "id")
 
 
-def digest_document(candidates: DataFrame, day: date | str, limit: int = DOCUMENT_LIMIT) -> DataFrame:
-    """One row (subject, html, text). Refuses to build a document of more than `limit` fragments."""
+def digest_document(candidates: DataFrame, day: date | str) -> DataFrame:
+    """One row (subject, html, text) of any number of fragments; a large day is better written as `digest_fragments`."""
     fragments = digest_fragments(candidates)
-    if fragments.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} fragments: write digest_fragments instead")
     rows = F.array_sort(
         F.collect_list(F.struct("company_name", "part", "company_id", "title", "id", "html", "text"))
     )
