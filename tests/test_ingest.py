@@ -1,4 +1,4 @@
-"""The set-based merge against a plain sequential simulation on random snapshots."""
+"""What a merge must keep true of random snapshots, and literal scenarios."""
 
 import datetime as dt
 import random
@@ -26,43 +26,8 @@ def posting(company, ordinal, key, text, place, day):
             dt.datetime(2026, 1, 1 + day), "{}")
 
 
-class Simulation:
-    """The sequential rule, one posting after the other, on plain dictionaries."""
-
-    def __init__(self, jobs):
-        self.jobs = {j["fp"]: dict(j) for j in jobs}
-        self.counts = {}
-
-    def scan(self, company, name, postings, us_only):
-        c = self.counts[company] = dict.fromkeys(ingest.COUNTERS, 0)
-        c["jobs_seen_total"] = len(postings)
-        seen = set()
-        for p in sorted(postings, key=lambda p: p[2]):
-            key, text, place = int(p[5]), next(i for i, t in enumerate(TEXTS) if t[:2] == (p[6], p[12])), next(i for i, x in enumerate(PLACES) if x[0] == p[8])
-            if us_only and not PLACES[place][1]:
-                c["jobs_skipped_international"] += 1
-                continue
-            fp = (name.lower(), TEXTS[text][0].lower(), PLACES[place][0].lower(), key)
-            seen.add(fp)
-            software, entry = TEXTS[text][2:]
-            job = self.jobs.get(fp)
-            if job is None:
-                job = self.jobs[fp] = {"fp": fp, "company": company, "first": NOW}
-                c["jobs_inserted_total"] += 1
-                c["jobs_inserted_software_related"] += software
-                c["jobs_inserted_entry_level"] += entry
-                c["jobs_inserted_digest_eligible"] += software and entry
-                c["jobs_skipped_non_software"] += not software
-                c["jobs_skipped_non_entry_level"] += software and not entry
-            job.update(active=True, last=NOW, description=p[12], posted=p[13], software=software, entry=entry)
-        for job in self.jobs.values():
-            if job["company"] == company and job["active"] and job["fp"] not in seen:
-                job.update(active=False, last=NOW)
-                c["inactive_jobs_marked"] += 1
-
-
 @pytest.mark.parametrize("seed,us_only", [(1, True), (2, True), (3, False), (4, True)])
-def test_merge_equals_the_sequential_rule(spark, seed, us_only):
+def test_merge_invariants(spark, seed, us_only):
     rng = random.Random(seed)
     # companies 1 to 6 share two names, so that fingerprints cross companies in both directions
     names = {i: ["Acme", "Globex"][i % 2] for i in range(1, 7)}
@@ -93,30 +58,58 @@ def test_merge_equals_the_sequential_rule(spark, seed, us_only):
     snapshots = spark.createDataFrame([(i, NOW, o, None) for i, o in outcomes.items()], schemas.SNAPSHOTS)
     batch = spark.createDataFrame(postings, schemas.POSTINGS)
 
-    expected = Simulation(state)
-    for company in sorted(names):
-        if outcomes[company] == "ok":
-            expected.scan(company, names[company], [p for p in postings if p[0] == company], us_only)
+    def key_of(p):
+        return (names[p[0]].lower(), p[6].lower(), p[8].lower(), int(p[5]))
+
+    scanned = [p for p in postings if outcomes[p[0]] == "ok"]
+    kept = [p for p in scanned if not us_only or dict(PLACES)[p[8]]]
+    by = {}
+    for p in kept:
+        by.setdefault(key_of(p), set()).add(p[0])
+    held = {s["fp"]: s for s in state}
 
     merged = ingest.merge_snapshots(jobs, owners, snapshots, batch, us_only).cache()
     got = merged.collect()
-    assert len(got) == len({r.id for r in got}) == len({r.fingerprint_hash for r in got}) == len(expected.jobs)
-    by_key = {(names[r.company_id].lower(), r.title.lower(), r.location.lower(), int(r.external_job_id)): r for r in got}
-    for fp, job in expected.jobs.items():
-        r = by_key[fp]
-        assert (r.company_id, r.is_active, r.first_seen_at, r.last_seen_at) == (job["company"], job["active"], job["first"], job["last"]), fp
-        assert (r.description_text, r.posted_at) == (job["description"], job["posted"])
-        assert (r.is_software_engineering_related, r.is_entry_level) == (job["software"], job["entry"])
-        assert r.id == job["id"] if "id" in job else r.id > max(s["id"] for s in state)
+    rows = {(names[r.company_id].lower(), r.title.lower(), r.location.lower(), int(r.external_job_id)): r for r in got}
+    assert len(got) == len({r.id for r in got}) == len({r.fingerprint_hash for r in got}) == len(rows)
+    assert rows.keys() == held.keys() | by.keys()
+    for key, r in rows.items():
+        old, posters = held.get(key), by.get(key, set())
+        # a stored job keeps its id, owner and first day; a new one belongs to its first poster
+        assert r.company_id == (old["company"] if old else min(posters))
+        assert r.first_seen_at == (OLD if old else NOW)
+        assert r.id == old["id"] if old else r.id > max(s["id"] for s in state)
+        if r.company_id in posters and max(posters) == r.company_id:
+            assert r.is_active and r.last_seen_at == NOW
+        if posters:
+            software, entry = next(t[2:] for t in TEXTS if t[0] == r.title and t[1] == r.description_text)
+            assert r.last_seen_at == NOW and (r.is_software_engineering_related, r.is_entry_level) == (software, entry)
+        elif outcomes[r.company_id] == "ok":
+            assert not r.is_active and r.last_seen_at == (NOW if old["active"] else OLD)
+        else:
+            assert (r.is_active, r.last_seen_at) == (old["active"], OLD)
     inserted = sorted((r for r in got if r.change == "inserted"), key=lambda r: r.id)
     assert [r.company_id for r in inserted] == sorted(r.company_id for r in inserted)
-    counters = ingest.ingest_counters(merged, owners, snapshots, batch, us_only).collect()
-    assert {r.company_id: {c: r[c] for c in ingest.COUNTERS} for r in counters} == expected.counts
+    counters = {r.company_id: r for r in ingest.ingest_counters(merged, owners, snapshots, batch, us_only).collect()}
+    assert {c: counters[c].jobs_seen_total for c, o in outcomes.items() if o == "ok"} == {c: sum(p[0] == c for p in scanned) for c, o in outcomes.items() if o == "ok"}
+    assert sum(counters[c].jobs_inserted_total for c, o in outcomes.items() if o == "ok") == len(by.keys() - held.keys())
+    assert sum(counters[c].jobs_skipped_international for c, o in outcomes.items() if o == "ok") == len(scanned) - len(kept)
     total = ingest.total_counters(ingest.ingest_counters(merged, owners, snapshots, batch, us_only)).filter("company_id is null").first()
-    assert all(total[c] == sum(x[c] for x in expected.counts.values()) for c in ingest.COUNTERS)
+    assert all(total[c] == sum(r[c] for r in counters.values()) for c in ingest.COUNTERS)
     merged.unpersist()
 
 
+def test_a_job_of_another_company_of_the_same_name(spark):
+    """Company 1 owns the job; what company 2 posts reopens it, since 2 comes later."""
+    owners = spark.createDataFrame(company_rows({1: "Acme", 2: "Acme"}), schemas.COMPANIES)
+    shots = spark.createDataFrame([(1, NOW, "ok", None), (2, NOW, "ok", None)], schemas.SNAPSHOTS)
+    first = ingest.merge_snapshots(spark.createDataFrame([], schemas.JOBS), owners, shots, spark.createDataFrame([posting(1, 0, 7, 0, 0, 0)], schemas.POSTINGS))
+    jobs = first.select(*(f.split()[0] for f in schemas.JOBS.split(", ")))
+    later = ingest.merge_snapshots(jobs, owners, shots, spark.createDataFrame([posting(2, 0, 7, 0, 0, 0)], schemas.POSTINGS)).collect()
+    gone = ingest.merge_snapshots(jobs, owners, shots, spark.createDataFrame([], schemas.POSTINGS)).collect()
+    assert [(r.company_id, r.is_active) for r in later] == [(1, True)] and [(r.company_id, r.is_active) for r in gone] == [(1, False)]
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_running_offsets(spark, small):
     rng = random.Random(5)
