@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import chat, decontaminate, jaccard, line_dedup, line_rules, mixing, rule_ensemble, toxicity, warc, wrapper
 from tidemark.llm.frames import table
+from tidemark.llm.oracles import ORACLES  # noqa: F401
 from tidemark.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(function: Query) -> Query:
