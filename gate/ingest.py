@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from gate import sqltext
 from gate.registry import query
 from gate.surrogates import (
-    FINGERPRINT_SQL, SQL_BATCH, SQL_SNAPSHOTS, SQL_STATE, batch_postings, companies, job_state, postings, snapshots, sql_postings,
+    FINGERPRINT_SQL, SQL_BATCH, SQL_EARLIER, SQL_SNAPSHOTS, SQL_STATE, batch_postings, companies, earlier, job_state, postings, snapshots, sql_postings,
+    sql_state,
 )
 from tidemark.functions.location import classify_location
 from tidemark.operators import ingest
@@ -22,10 +23,10 @@ BLOCK = 8
 def setting(spark, d):
     rows = postings(spark, d, BLOCK)
     owners = companies(spark, d, shared_names=True)
-    return job_state(rows), owners, snapshots(owners), batch_postings(rows)
+    return job_state(rows.filter(earlier())), owners, snapshots(owners), batch_postings(rows)
 
 
-SQL_SETTING = f"{sql_postings(BLOCK)}, {SQL_STATE}, {SQL_BATCH}, {SQL_SNAPSHOTS}, {sqltext.location_categories('postings_v')}"
+SQL_SETTING = f"{sql_postings(BLOCK)}, {sql_state(SQL_EARLIER)}, {SQL_BATCH}, {SQL_SNAPSHOTS}, {sqltext.location_categories('postings_v')}"
 # kept postings of scanned companies, fingerprinted and classified; p1/pn mark first and last copy
 SQL_KEPT = f"""scan AS (SELECT * FROM snapshots_v WHERE outcome = 'ok'),
 seen AS (SELECT b.*, category IN ('US', 'REMOTE_US') AS kept FROM batch_v b SEMI JOIN scan USING (company_id)
@@ -108,13 +109,14 @@ def ingest_without_location_filter(spark, d):
 
 @query(
     "batch_duplicates",
-    f"""WITH {SQL_SETTING}, {SQL_KEPT} SELECT f.fingerprint_hash, f.company_id AS first_company, f.ordinal AS first_ordinal,
+    f"""WITH {SQL_SETTING.replace(SQL_BATCH, "batch_v AS (SELECT * FROM postings_v)")}, {SQL_KEPT} SELECT f.fingerprint_hash, f.company_id AS first_company, f.ordinal AS first_ordinal,
       l.company_id AS last_company, l.level, l.posted_at, (SELECT count(*) FROM posters p WHERE p.fingerprint_hash = f.fingerprint_hash) AS n_posters
     FROM firsts f JOIN lasts l ON f.fingerprint_hash = l.fingerprint_hash""",
 )
 def batch_duplicates(spark, d):
-    _, owners, shots, batch = setting(spark, d)
-    prepared = ingest.prepare_batch(batch, ingest.scanned_companies(owners, shots))
+    """All orders as one batch."""
+    _, owners, shots, _ = setting(spark, d)
+    prepared = ingest.prepare_batch(postings(spark, d, BLOCK), ingest.scanned_companies(owners, shots))
     return ingest.resolve_duplicates(prepared).select(
         "fingerprint_hash", F.col("first.company_id").alias("first_company"), F.col("first.ordinal").alias("first_ordinal"),
         F.col("last.company_id").alias("last_company"), "last.level", "last.posted_at",

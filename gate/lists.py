@@ -9,7 +9,7 @@ from gate.registry import query
 from gate.surrogates import SQL_STATE, companies, job_state, postings, sql_postings
 from tidemark.operators import companies as catalog, digest, ingest, lists, metrics
 
-DAY = "1995-01-15"
+DAY = "1995-04-01"
 ZONE = "America/Los_Angeles"
 _STATE = f"WITH {sql_postings()}, {SQL_STATE}"
 _LOCAL = f"CAST((first_seen_at AT TIME ZONE 'UTC') AT TIME ZONE '{ZONE}' AS DATE)"
@@ -77,7 +77,7 @@ def new_today_total(spark, d):
     return lists.new_today(state(spark, d), DAY)[1]
 
 
-AS_OF = "1998-06-01"
+AS_OF = "1995-04-02"
 
 
 @query("jobs_in_window", f"{_STATE} SELECT id, first_seen_at FROM state_v WHERE first_seen_at >= TIMESTAMP '{AS_OF}' - INTERVAL 36 HOUR")
@@ -91,12 +91,12 @@ def jobs_in_order(spark, d):
 
 
 _CANDIDATES = f"""{_STATE}, cand AS (SELECT s.*, n_name AS company_name FROM state_v s JOIN nation ON n_nationkey + 1 = company_id
-  WHERE is_entry_level AND is_software_engineering_related AND first_seen_at >= TIMESTAMP '{AS_OF}' - INTERVAL 24000 HOUR)"""
+  WHERE is_entry_level AND is_software_engineering_related AND first_seen_at >= TIMESTAMP '{AS_OF}' - INTERVAL 36 HOUR)"""
 
 
 def candidates(spark, d):
     return digest.select_digest_jobs(
-        state(spark, d), companies(spark, d), F.lit(AS_OF).cast("timestamp"), lookback_hours=24000
+        state(spark, d), companies(spark, d), F.lit(AS_OF).cast("timestamp"), lookback_hours=36
     )
 
 
@@ -159,10 +159,10 @@ def digest_document(spark, d):
 
 @query(
     "digest_metrics",
-    f"""{_CANDIDATES} SELECT count(*) AS digest_candidates_count, count(*) AS digest_jobs_count, 'last 24000 hours (UTC)' AS digest_window FROM cand""",
+    f"""{_CANDIDATES} SELECT count(*) AS digest_candidates_count, count(*) AS digest_jobs_count, 'last 36 hours (UTC)' AS digest_window FROM cand""",
 )
 def digest_metrics(spark, d):
-    doc = digest.digest_window(24000)
+    doc = digest.digest_window(36)
     fields = "digest_candidates_count bigint, digest_jobs_count bigint, digest_window string"
     return metrics.digest_metrics(candidates(spark, d), doc).select(F.from_json("metrics", fields).alias("m")).select("m.*")
 

@@ -47,7 +47,7 @@ def captured_snapshots(spark, d):
             "source_type": pick(SOURCE_TYPES, F.col("company_id")),
             "cycle_ts": F.lit("2002-01-01").cast("timestamp"),
             "status_code": F.when(n % 17 == 3, 404).when(n % 19 == 4, 503).otherwise(200),
-            "body": F.when(n % 23 == 5, F.lit("<html>")).when(F.col("page_ordinal") == 3, F.lit("[]")).otherwise(F.lit("{}")),
+            "body": F.when(n % 23 == 5, F.col("body")).when(F.col("page_ordinal") == 3, F.lit("[]")).otherwise(F.to_json(F.struct("body"))),
         }
     )
     return captures.snapshots_from_captures(rows).select("company_id", "outcome", "error")

@@ -196,8 +196,18 @@ SQL_CUSTOMER_COMPANIES = f"""companies_v AS (
   FROM customer))"""
 
 
-# ---- job state and batch: orders before and after a date ----------------------------------
+# ---- job state and batch: orders before and after a date, which together are all orders ----
 STATE_END = "1999-01-01"
+SILENT = 5  # this company posts nothing in the batch, its orders are all in the state
+SQL_EARLIER = f"(posted_at < TIMESTAMP '{STATE_END}' OR company_id = {SILENT})"
+
+
+def earlier() -> Column:
+    return (F.col("posted_at") < F.lit(STATE_END).cast("timestamp")) | (F.col("company_id") == SILENT)
+
+
+# a crawl of a quarter takes two days
+CRAWL_HOURS = 48
 
 
 def normal_sql(expr: str) -> str:
@@ -210,19 +220,19 @@ FINGERPRINT_SQL = "sha256(" + " || '|' || ".join(
 
 
 def job_state(rows: DataFrame) -> DataFrame:
-    """The state after the orders before STATE_END: one row per posting, owned by its first poster."""
+    """The state after `rows`: one row per posting, owned by its first poster, first seen by the crawl of its quarter."""
     from tidemark.functions.text import fingerprint
 
     key = fingerprint(*[F.col(c) for c in ("company_name", "title", "location", "url", "external_job_id")])
     first = F.min_by(F.struct([c for c in rows.columns if c != "cycle_ts"]), F.struct("company_id", "ordinal"))
     merged = (
-        rows.filter(F.col("posted_at") < F.lit(STATE_END).cast("timestamp"))
-        .groupBy("external_job_id")
+        rows.groupBy("external_job_id")
         .agg(first.alias("f"), F.min("posted_at").alias("first_seen_at"), F.max("posted_at").alias("last_seen_at"))
     )
     g = F.col("external_job_id").cast("bigint")
+    crawled = F.timestamp_add("HOUR", (F.col("external_job_id").cast("bigint") % CRAWL_HOURS).cast("int"), F.date_trunc("quarter", F.col("first_seen_at")))
     return (
-        merged.select("f.*", "first_seen_at", "last_seen_at")
+        merged.select("f.*", crawled.alias("first_seen_at"), "last_seen_at")
         .withColumns(
             {
                 "id": g + 1,
@@ -239,25 +249,29 @@ def job_state(rows: DataFrame) -> DataFrame:
     )
 
 
-SQL_STATE = f"""state_v AS (
+def sql_state(rows: str = "true") -> str:
+    return f"""state_v AS (
   SELECT * EXCLUDE (company_name, ordinal, cycle_ts, rn), {FINGERPRINT_SQL} AS fingerprint_hash,
     CAST(external_job_id AS BIGINT) + 1 AS id, CAST(external_job_id AS BIGINT) % 5 <> 0 AS is_active,
     CAST(CAST(external_job_id AS BIGINT) % 7 AS DOUBLE) - 3 AS entry_level_score,
     CAST(external_job_id AS BIGINT) % 7 > 3 AS is_entry_level,
     CAST(external_job_id AS BIGINT) % 3 > 0 AS is_software_engineering_related,
     first_seen_at AS created_at, first_seen_at AS updated_at
-  FROM (SELECT *, min(posted_at) OVER (PARTITION BY external_job_id) AS first_seen_at,
+  FROM (SELECT *, date_trunc('quarter', min(posted_at) OVER (PARTITION BY external_job_id)) + to_hours(CAST(external_job_id AS BIGINT) % {CRAWL_HOURS}) AS first_seen_at,
       max(posted_at) OVER (PARTITION BY external_job_id) AS last_seen_at,
       row_number() OVER (PARTITION BY external_job_id ORDER BY company_id, ordinal) AS rn
-    FROM postings_v WHERE posted_at < TIMESTAMP '{STATE_END}') WHERE rn = 1)"""
+    FROM postings_v WHERE {rows}) WHERE rn = 1)"""
+
+
+SQL_STATE = sql_state()
 
 
 def batch_postings(rows: DataFrame) -> DataFrame:
-    """Later orders; one scanned company posts nothing."""
-    return rows.filter((F.col("posted_at") >= F.lit(STATE_END).cast("timestamp")) & (F.col("company_id") != 5))
+    """The orders that are not in the state before; one scanned company posts nothing."""
+    return rows.filter(~earlier())
 
 
-SQL_BATCH = f"""batch_v AS (SELECT * FROM postings_v WHERE posted_at >= TIMESTAMP '{STATE_END}' AND company_id <> 5)"""
+SQL_BATCH = f"""batch_v AS (SELECT * FROM postings_v WHERE NOT {SQL_EARLIER})"""
 
 
 def snapshots(company_rows: DataFrame) -> DataFrame:
