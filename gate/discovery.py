@@ -183,26 +183,29 @@ def job_link_scores(spark, d):
 
 CAP = 2
 # merge with a cap, once per page and once per company: rows up to the first sight of the last place
-SQL_MERGED = f"""titled_v AS (SELECT *, CASE WHEN text = '' THEN 'Open position' ELSE regexp_replace(text, '\\s+', ' ', 'g') END AS title FROM flagged_v WHERE is_job),
+def sql_merged(per_page: float, per_company: float) -> str:
+    return f"""titled_v AS (SELECT *, CASE WHEN text = '' THEN 'Open position' ELSE regexp_replace(text, '\\s+', ' ', 'g') END AS title FROM flagged_v WHERE is_job),
 page_first AS (SELECT page_id, url, min(anchor_ordinal) AS f FROM titled_v GROUP BY 1, 2),
 page_rank AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY f) AS rank FROM page_first),
-page_stop AS (SELECT page_id, max(f) FILTER (WHERE rank = {CAP}) AS stop FROM page_rank GROUP BY 1),
+page_stop AS (SELECT page_id, max(f) FILTER (WHERE rank = {per_page}) AS stop FROM page_rank GROUP BY 1),
 page_links AS (SELECT page_id, company_id, page_ordinal, url, rank, title, location FROM (
   SELECT t.*, rank, row_number() OVER (PARTITION BY t.page_id, t.url ORDER BY length(title) DESC, anchor_ordinal) AS rn FROM titled_v t
-  JOIN page_rank r ON r.page_id = t.page_id AND r.url = t.url AND rank <= {CAP} JOIN page_stop s ON s.page_id = t.page_id AND (stop IS NULL OR anchor_ordinal <= stop)) WHERE rn = 1),
+  JOIN page_rank r ON r.page_id = t.page_id AND r.url = t.url AND rank <= {per_page} JOIN page_stop s ON s.page_id = t.page_id AND (stop IS NULL OR anchor_ordinal <= stop)) WHERE rn = 1),
 co_first AS (SELECT company_id, url, min((page_ordinal, rank)) AS f FROM page_links GROUP BY 1, 2),
 co_rank AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY f) AS place FROM co_first),
-co_stop AS (SELECT company_id, max(f) FILTER (WHERE place = {CAP * 2}) AS stop FROM co_rank GROUP BY 1),
+co_stop AS (SELECT company_id, max(f) FILTER (WHERE place = {per_company}) AS stop FROM co_rank GROUP BY 1),
 co_links AS (SELECT company_id, place AS rank, url, title, location FROM (
   SELECT p.*, place, row_number() OVER (PARTITION BY p.company_id, p.url ORDER BY length(title) DESC, (page_ordinal, p.rank)) AS rn FROM page_links p
-  JOIN co_rank r ON r.company_id = p.company_id AND r.url = p.url AND place <= {CAP * 2} JOIN co_stop s ON s.company_id = p.company_id AND (stop IS NULL OR (page_ordinal, p.rank) <= stop)) WHERE rn = 1)"""
+  JOIN co_rank r ON r.company_id = p.company_id AND r.url = p.url AND place <= {per_company} JOIN co_stop s ON s.company_id = p.company_id AND (stop IS NULL OR (page_ordinal, p.rank) <= stop)) WHERE rn = 1)"""
 
 
-def merged_links(spark, d):
-    per_page = discovery.merge_links(discovery.anchor_links(page_anchors(spark, d)), discovery.PAGE, ["pos"], CAP)
-    return discovery.merge_links(
-        per_page.withColumnRenamed("rank", "pos"), ["company_id"], ["page_ordinal", "pos"], CAP * 2
-    )
+SQL_MERGED = sql_merged(CAP, CAP * 2)
+NO_CAP = 10**9
+
+
+def merged_links(spark, d, per_page=CAP, per_company=CAP * 2):
+    links = discovery.merge_page_links(discovery.anchor_links(page_anchors(spark, d)), discovery.PAGE, ["pos"], per_page)
+    return discovery.merge_links(links.withColumnRenamed("rank", "pos"), ["company_id"], ["page_ordinal", "pos"], per_company)
 
 
 @query("merged_job_links", f"{_ANCHORED}, {SQL_MERGED} SELECT * FROM co_links")
@@ -212,10 +215,10 @@ def merged_job_links(spark, d):
 
 @query(
     "generic_postings",
-    f"""{_ANCHORED}, {SQL_MERGED} SELECT company_id, rank - 1 AS ordinal, 'generic_playwright' AS source_type, title, url, location FROM co_links""",
+    f"""{_ANCHORED}, {sql_merged(NO_CAP, NO_CAP)} SELECT company_id, rank - 1 AS ordinal, 'generic_playwright' AS source_type, title, url, location FROM co_links""",
 )
 def generic_postings(spark, d):
-    rows = merged_links(spark, d).withColumns(
+    rows = merged_links(spark, d, None, None).withColumns(
         {
             "cycle_ts": now(), "page_ordinal": F.lit(0), "pos": F.col("rank") - 1, "company_name": F.lit("x"),
             "careers_url": F.lit("https://x"), "source_config": catalog.empty_config(),
@@ -226,7 +229,7 @@ def generic_postings(spark, d):
 
 @query(
     "job_links_of_companies",
-    f"{_ANCHORED}, {SQL_MERGED.replace(f'rank = {CAP})', 'rank = 200)').replace(f'rank <= {CAP} ', 'rank <= 200 ').replace(f'place = {CAP * 2})', 'place = 200)').replace(f'place <= {CAP * 2} ', 'place <= 200 ')} SELECT * FROM co_links",
+    f"{_ANCHORED}, {sql_merged(200, 200)} SELECT * FROM co_links",
 )
 def job_links_of_companies(spark, d):
     return discovery.job_links(page_anchors(spark, d))

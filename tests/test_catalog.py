@@ -85,6 +85,7 @@ def test_links_stop_at_the_cap(spark):
     assert merged_links(spark, anchors, 2) == [("5", "Job a", "A"), ("6", "Job b", "B")]
     assert merged_links(spark, anchors, 1) == [("5", "Job a", "A")]
     assert merged_links(spark, anchors, 3) == [("5", "Job longer", "C"), ("6", "Job b", "B"), ("7", "Job d", None)]
+    assert merged_links(spark, anchors, None) == merged_links(spark, anchors, 3)
 
 
 def test_links_of_later_pages_update_and_follow(spark):

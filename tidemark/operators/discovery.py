@@ -300,12 +300,32 @@ def anchor_links(anchors: DataFrame, page: list[str] = PAGE) -> DataFrame:
     )
 
 
-def merge_links(links: DataFrame, group: list[str], order: list[str], max_links: int = rules.MAX_LINKS) -> DataFrame:
-    """Links of a group merged by url in order, the longest title winning, until `max_links` are held.
+def merge_page_links(links: DataFrame, page: list[str], order: list[str], max_links: int | None = rules.MAX_LINKS) -> DataFrame:
+    """As merge_links, for groups that are pages: one shuffle, and a page's links are in one task.
+
+    A link that is the first of its url takes a place; what comes after the last place is left out.
+    """
+    by_url = Window.partitionBy(*page, "url").orderBy(*order)
+    seen = Window.partitionBy(*page).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = links.repartition(*page).withColumn("_new", (F.row_number().over(by_url) == 1).cast("int"))
+    rows = rows.withColumn("_place", F.sum("_new").over(seen).cast("int"))
+    if max_links is not None:
+        rows = rows.filter((F.col("_place") < max_links) | ((F.col("_place") == max_links) & (F.col("_new") == 1)))
+    best = F.min_by(F.struct("title", "location"), F.struct(-F.length("title"), *order))
+    return rows.groupBy(*page, "url").agg(F.min("_place").alias("rank"), best.alias("best")).select(*page, "rank", "url", "best.*")
+
+
+def merge_links(links: DataFrame, group: list[str], order: list[str], max_links: int | None = rules.MAX_LINKS) -> DataFrame:
+    """Links of a group merged by url in order, the longest title winning, until `max_links` are held; None: all.
 
     Once the last place is taken the group is closed: later links neither join nor improve a title.
     The result keeps (group, rank, url, title, location), rank being the order of first sight.
     """
+    if max_links is None:
+        best = F.min_by(F.struct("title", "location"), F.struct(-F.length("title"), F.struct(*order)))
+        merged = links.groupBy(*group, "url").agg(F.min(F.struct(*order)).alias("first"), best.alias("best"))
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy("first"))
+        return merged.withColumn("rank", rank).select(*group, "rank", "url", "best.*")
     firsts = links.groupBy(*group, "url").agg(F.min(F.struct(*order)).alias("first"))
     ranked = firsts.withColumn(
         "rank", F.row_number().over(Window.partitionBy(*group).orderBy("first"))
@@ -326,11 +346,11 @@ def merge_links(links: DataFrame, group: list[str], order: list[str], max_links:
 
 
 def job_links(
-    anchors: DataFrame, max_links: int = rules.MAX_LINKS, by: tuple[str, ...] = ("company_id",)
+    anchors: DataFrame, max_links: int | None = rules.MAX_LINKS, by: tuple[str, ...] = ("company_id",)
 ) -> DataFrame:
     """Job links per company (or other key): merged within each page, then over the pages in order."""
     page = [*by, "page_ordinal", "page_url"]
-    per_page = merge_links(anchor_links(anchors, page), page, ["pos"], max_links)
+    per_page = merge_page_links(anchor_links(anchors, page), page, ["pos"], max_links)
     return merge_links(per_page.withColumnRenamed("rank", "pos"), list(by), ["page_ordinal", "pos"], max_links)
 
 
