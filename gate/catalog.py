@@ -11,6 +11,7 @@ from gate.surrogates import (
 from tidemark import rules
 from tidemark.functions import variants
 from tidemark.operators import companies as catalog, metrics
+from tidemark.plans.cycle import NO_CAPTURE, unscraped
 from tidemark.sources import targets
 
 NOW = "2002-02-02"
@@ -297,6 +298,22 @@ def generic_eligible(spark, d):
     return customer_companies(spark, d).filter(catalog.eligible_for_generic()).select("id")
 
 
+@query("discovery_selection", f"WITH {SQL_CUSTOMER_COMPANIES} SELECT id, name FROM companies_v WHERE source_type = 'unconfigured'")
+def discovery_selection(spark, d):
+    return catalog.companies_to_discover(customer_companies(spark, d)).select("id", "name")
+
+
+@query(
+    "unscraped_companies",
+    f"""WITH {SQL_CUSTOMER_COMPANIES} SELECT id AS company_id, TIMESTAMP '2002-01-02' AS cycle_ts, 'failed' AS outcome, '{NO_CAPTURE}' AS error
+    FROM companies_v WHERE enabled AND id NOT IN (SELECT n_nationkey + 1 FROM nation)""",
+)
+def unscraped_companies(spark, d):
+    """Companies of customers, of which only those with a nation's number have a snapshot."""
+    chosen = customer_companies(spark, d).filter("enabled")
+    return unscraped(chosen, snapshots(companies(spark, d)), F.lit("2002-01-02").cast("timestamp"))
+
+
 @query(
     "generic_enabled",
     f"""WITH {SQL_CUSTOMER_COMPANIES}, chosen AS (SELECT id FROM companies_v WHERE trim(careers_url) <> '' AND source_type IN ('unconfigured', 'taleo') ORDER BY name, id LIMIT 25)

@@ -114,6 +114,16 @@ def digest_candidates_of_day(spark, d):
     return chosen.select("id", "company_id", "title")
 
 
+@query(
+    "digest_candidates_default_day",
+    f"""{_STATE} SELECT id, company_id, title FROM state_v WHERE is_entry_level AND is_software_engineering_related AND {_LOCAL} = DATE '{DAY}'""",
+)
+def digest_candidates_default_day(spark, d):
+    """No day given: the local day of an evening that is the next day in UTC."""
+    chosen = digest.select_digest_jobs(state(spark, d), companies(spark, d), F.lit(f"{AS_OF} 03:00").cast("timestamp"))
+    return chosen.select("id", "company_id", "title")
+
+
 def _esc(x):
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
         x = f"replace({x}, '{raw}'" + f", '{entity}')" if raw != "''" else f"replace({x}, '''', '{entity}')"

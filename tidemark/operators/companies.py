@@ -388,6 +388,12 @@ def enable_generic(companies: DataFrame, limit: int | None = None) -> tuple[Data
     return changed, chosen.agg(F.count("*").alias("eligible"), F.count("*").alias("updated"))
 
 
+def companies_to_discover(companies: DataFrame, limit: int | None = None) -> DataFrame:
+    """Unconfigured companies, the first `limit` by name where a limit is given."""
+    open_ = companies.filter(F.col("source_type") == rules.UNCONFIGURED)
+    return open_.orderBy("name", "id").limit(limit) if limit else open_
+
+
 def apply_discovery(
     companies: DataFrame, discovered: DataFrame, probes: DataFrame
 ) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import rules
+from tidemark.functions.timestamps import local_day, within_local_day
 from tidemark.functions.text import html_escape
 from tidemark.operators.lists import digest_eligible, filter_jobs, seen_since, with_company_name
 
@@ -39,12 +40,14 @@ def select_digest_jobs(
     zone: str = rules.TIME_ZONE,
     day: date | str | None = None,
 ) -> DataFrame:
-    """Digest candidates with company names: the lookback window when set and not 0, else the day."""
-    recent = (
-        seen_since(jobs, as_of, lookback_hours)
-        if lookback_hours
-        else filter_jobs(jobs, first_seen_day=day, zone=zone)
-    )
+    """Digest candidates with company names: the lookback window when set and not 0, else the day,
+    which is the one of `as_of` in the zone where none is given."""
+    if lookback_hours:
+        recent = seen_since(jobs, as_of, lookback_hours)
+    elif day is not None:
+        recent = filter_jobs(jobs, first_seen_day=day, zone=zone)
+    else:
+        recent = jobs.filter(within_local_day(F.col("first_seen_at"), local_day(as_of, zone), zone))
     return with_company_name(digest_eligible(recent), companies)
 
 
@@ -112,22 +115,28 @@ def ordered_fragments(fragments: DataFrame) -> DataFrame:
     return fragments.orderBy("company_name", "part", "company_id", "title", "id")
 
 
-def digest_document(candidates: DataFrame, day: date | str) -> DataFrame:
+def _dated(template: str, day: Column) -> Column:
+    before, after = template.split("{day}")
+    return F.concat(F.lit(before), day, F.lit(after))
+
+
+def digest_document(candidates: DataFrame, day: date | str | Column) -> DataFrame:
     """One row (subject, html, text) of any number of fragments; a large day is better written as `digest_fragments`."""
+    day = day.cast("string") if isinstance(day, Column) else F.lit(str(day))
     fragments = digest_fragments(candidates)
     rows = F.array_sort(
         F.collect_list(F.struct("company_name", "part", "company_id", "title", "id", "html", "text"))
     )
     body = fragments.agg(rows.alias("rows"))
     html = F.concat(
-        F.lit(HTML_OPEN + HTML_HEAD.format(day=day)),
+        _dated(HTML_OPEN + HTML_HEAD, day),
         F.array_join(F.col("rows.html"), ""),
         F.lit("</body></html>"),
     )
-    text = F.concat(F.lit(TEXT_HEAD.format(day=day) + "\n\n"), F.array_join(F.col("rows.text"), "\n"))
+    text = F.concat(_dated(TEXT_HEAD + "\n\n", day), F.array_join(F.col("rows.text"), "\n"))
     empty = F.size("rows") == 0
     return body.select(
-        F.lit(SUBJECT.format(day=day)).alias("subject"),
+        _dated(SUBJECT, day).alias("subject"),
         F.when(empty, F.lit(EMPTY_HTML)).otherwise(html).alias("html"),
         F.when(empty, F.lit(EMPTY_TEXT)).otherwise(F.rtrim(text, F.lit("\n"))).alias("text"),
     )

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark import rules
+from tidemark.functions.timestamps import local_day
 from tidemark.operators import boards, companies as catalog, digest, discovery, ingest, metrics, providers
 from tidemark.schemas import COMPANY_COLUMNS, JOB_COLUMNS
 from tidemark.session import is_small, small_side
@@ -20,6 +21,7 @@ PROVIDERS = {
     "ashby": providers.ashby,
     "gem": boards.gem,
 }
+NO_CAPTURE = "No capture of this company was given"
 _COMPANY_KEY = ["company_id", "cycle_ts"]
 
 
@@ -137,6 +139,14 @@ def apply_snapshots(
     return ingest.ingest_counters(merged, companies, snapshots, postings, us_only)
 
 
+def unscraped(chosen: DataFrame, snapshots: DataFrame, as_of: Column) -> DataFrame:
+    """A failed snapshot for each chosen company that has none, so that every company has an outcome."""
+    missing = chosen.join(snapshots.select(F.col("company_id").alias("id")).distinct(), "id", "left_anti")
+    return missing.select(
+        F.col("id").alias("company_id"), as_of.alias("cycle_ts"), F.lit("failed").alias("outcome"), F.lit(NO_CAPTURE).alias("error")
+    )
+
+
 def run_cycle(
     spark: SparkSession,
     captures: DataFrame,
@@ -152,7 +162,10 @@ def run_cycle(
     digest_day: str | None = None,
     lookback_hours: int | None = None,
 ) -> CycleResult:
-    """Scrape, ingest, company outcomes, and a digest when `digest_day` is given."""
+    """Scrape, ingest, company outcomes, and a digest when `digest_day` or `lookback_hours` is given.
+
+    A chosen company without a capture fails; a generic one does so only where `anchors` are given.
+    """
     for name in (names.companies, names.jobs):
         tables.require_table(spark, name)
     companies = tables.read_table(spark, names.companies)
@@ -175,6 +188,8 @@ def run_cycle(
             .select(*_COMPANY_KEY, F.lit("ok").alias("outcome"), F.lit(None).cast("string").alias("error"))
         )
         fetched = fetched.unionByName(rendered)
+    due = chosen if anchors is not None else chosen.filter(F.col("source_type") != rules.GENERIC)
+    fetched = fetched.unionByName(unscraped(due, fetched, as_of))
     snapshots = ingest.validate_postings(postings, fetched)
     counters = apply_snapshots(spark, names, mark, snapshots, postings, us_only)
     after = catalog.apply_outcomes(companies, snapshots)
@@ -186,12 +201,12 @@ def run_cycle(
     failures = metrics.scrape_failures(outcome)
     jobs, current = tables.read_table(spark, names.jobs), tables.read_table(spark, names.companies)
     document = candidates = None
-    if digest_day is not None:
+    if digest_day is not None or lookback_hours:
         selected = digest.select_digest_jobs(
             jobs, current, as_of, lookback_hours=lookback_hours, day=digest_day
         )
         candidates = selected.count()
-        document = digest.digest_document(selected, digest_day)
+        document = digest.digest_document(selected, digest_day or local_day(as_of, rules.TIME_ZONE))
     return CycleResult(
         jobs, current, counters, metrics.scrape_metrics(counters, failures, candidates), document
     )
