@@ -139,9 +139,9 @@ def apply_snapshots(
     return ingest.ingest_counters(merged, companies, snapshots, postings, us_only)
 
 
-def unscraped(chosen: DataFrame, snapshots: DataFrame, as_of: Column) -> DataFrame:
-    """A failed snapshot for each chosen company that has none, so that every company has an outcome."""
-    missing = chosen.join(snapshots.select(F.col("company_id").alias("id")).distinct(), "id", "left_anti")
+def unscraped(chosen: DataFrame, given: DataFrame, as_of: Column) -> DataFrame:
+    """A failed snapshot for each chosen company that is not among the ones `given`, so that every company has an outcome."""
+    missing = chosen.join(given.select(F.col("company_id").alias("id")).distinct(), "id", "left_anti")
     return missing.select(
         F.col("id").alias("company_id"), as_of.alias("cycle_ts"), F.lit("failed").alias("outcome"), F.lit(NO_CAPTURE).alias("error")
     )
@@ -189,7 +189,10 @@ def run_cycle(
         )
         fetched = fetched.unionByName(rendered)
     due = chosen if anchors is not None else chosen.filter(F.col("source_type") != rules.GENERIC)
-    fetched = fetched.unionByName(unscraped(due, fetched, as_of))
+    # read from the captures' ids, so that no body is parsed for it
+    given = scraped.select("company_id")
+    given = given if anchors is None else given.unionByName(anchors.select("company_id"))
+    fetched = fetched.unionByName(unscraped(due, given, as_of))
     snapshots = ingest.validate_postings(postings, fetched)
     counters = apply_snapshots(spark, names, mark, snapshots, postings, us_only)
     after = catalog.apply_outcomes(companies, snapshots)
