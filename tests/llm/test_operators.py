@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,3 +335,13 @@ def test_stages_keep_columns_and_clean_rows(spark, tmp_path):
     assert one.columns == table.columns and sorted(r.doc_id for r in one.collect() if r.doc_id is not None) == [*range(30), 102]
     assert sorted(r.doc_id for r in stages.without_benchmark(spark, one, folder).collect() if r.doc_id is not None) == [i for i in range(30) if i != 5] + [102]
     assert stages.mixed(spark, one, folder).where("copies < 1 or copies > 2").count() == 0
+
+
+def test_parity_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 40, 3000):
+        shared, a, b = (np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (size, size // 4 + 1, size // 5))
+        x, y = np.union1d(shared, a), np.union1d(shared, b)
+        bits = np.bitwise_count(jaccard.parity_sketch(x) ^ jaccard.parity_sketch(y)).sum()
+        assert bits <= len(np.setxor1d(x, y))
+        assert (jaccard.parity_sketch(x) == jaccard.parity_sketch(x[::-1])).all()

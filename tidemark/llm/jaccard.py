@@ -3,8 +3,9 @@
 Two sets whose similarity reaches the threshold share a token among the first of both, under any
 order of all tokens. Under the first order the sets' prefixes meet in a join on the token. How deep
 in both sets a shared token may lie, and how many must be shared down to that depth, follows from the
-sizes of the pair; this drops nearly all pairs that only have a passage in common. What is left must
-also share prefix tokens under every further order, and is then compared exactly.
+sizes of the pair; this drops nearly all pairs that only have a passage in common. Pairs whose parity
+sketches differ in more bits than linked sets can differ in tokens are dropped in the same join.
+What is left must also share prefix tokens under every further order, and is then compared exactly.
 
 Tokens that a sample of documents holds often come last in every order, so passages that many
 documents share do not meet. The sample (`SAMPLE_SHARE` of the documents, `FREQUENT` tokens at
@@ -32,7 +33,10 @@ OFTEN = 4
 FREQUENT = 500_000
 ORDERS = 3
 DEEPER = 0.03
+# longs of a parity sketch
+SKETCH = 16
 BROADCAST_IDS = 1_000_000
+SKETCHED = [f"k{i}" for i in range(SKETCH)]
 _TOP = np.uint64(1 << 63)
 _SEEDS = mix(np.arange(1, 17, dtype=np.uint64))
 
@@ -46,6 +50,16 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
     return int(total.astype(np.int64)), int(mixed.astype(np.int64))
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Per bit, whether an odd number of the tokens hash to it.
+
+    A token that only one of two sets holds turns one bit over, so two sketches never differ in more
+    bits than the sets differ in tokens.
+    """
+    bits = (mix(tokens ^ _SEEDS[-1]) % np.uint64(64 * SKETCH)).astype(np.int64)
+    return np.packbits(np.bincount(bits, minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64)
+
+
 def prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
@@ -74,15 +88,16 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2) of each row."""
+    """(doc_id, n_shingles, s1, s2) and the parity sketch of each row."""
+    names = ["n_shingles", "s1", "s2", *SKETCHED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            rows = [(len(t), *signature(t)) for t in _sets(batch, width)]
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_shingles", "s1", "s2"])
+            rows = np.array([(len(t), *signature(t), *parity_sketch(t)) for t in _sets(batch, width)], np.int64)
+            columns = [pa.array(c) for c in rows.reshape(-1, len(names)).T]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *names])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *names)))
 
 
 def frequent_tokens(docs: DataFrame, width: int, share: float) -> np.ndarray:
@@ -181,6 +196,12 @@ def can_link(c: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     return c > _deeper(n_a, n_b, percent)
 
 
+def near_enough(n_a: Column, n_b: Column, bits: list[tuple[Column, Column]], percent: int) -> Column:
+    """Whether the sketches allow a link; true where one is missing."""
+    apart = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in bits[1:]), F.bit_count(bits[0][0].bitwiseXOR(bits[0][1])))
+    return F.coalesce(apart <= n_a + n_b - 2 * _needed(n_a, n_b, percent), F.lit(True))
+
+
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text) of the given ids: without a shuffle of texts where the ids are few."""
     ids = staged(ids.distinct(), "ids")
@@ -287,12 +308,17 @@ def similar(docs: DataFrame, percent: int = 75, width: int = 5, orders: int = OR
     labelled = _with_components(posted.select("token", "node", "n", "pos"), nodes)
     # tokens that lie in one component only cannot link two
     mixed = labelled.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("token")
-    labelled = staged(labelled.join(mixed, "token"), "mixed")
-    x, y = (labelled.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "component"))) for s in "xy")
+    labelled = labelled.join(mixed, "token")
+    # an id with several sets has no sketch of its own
+    one_set = named.join(many.select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("node"), *SKETCHED).distinct()
+    labelled = staged(labelled.join(one_set, "node", "left"), "mixed")
+    kept = ("node", "n", "pos", "component", *SKETCHED)
+    x, y = (labelled.select("token", *(F.col(c).alias(f"{c}_{s}") for c in kept)) for s in "xy")
     met = x.join(y, "token").where(
         (F.col("node_x") < F.col("node_y"))
         & (F.col("component_x") != F.col("component_y"))
         & deep_enough(*map(F.col, ("n_x", "pos_x", "n_y", "pos_y")), percent)
+        & near_enough(F.col("n_x"), F.col("n_y"), [(F.col(f"{k}_x"), F.col(f"{k}_y")) for k in SKETCHED], percent)
     )
     counted = met.groupBy("node_x", "node_y").agg(F.count("*").alias("c"), F.max("n_x").alias("n_x"), F.max("n_y").alias("n_y"))
     able = counted.where(can_link(F.col("c"), F.col("n_x"), F.col("n_y"), percent))
