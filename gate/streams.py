@@ -101,6 +101,23 @@ def streamed_streaks(spark, d):
     return spark.table(name).select("company_id", "streak", "disabled_at")
 
 
+@query("streamed_streaks_in_batches", STREAKS_SQL.format(n=2))
+def streamed_streaks_in_batches(spark, d):
+    """The same outcomes in four batches without regard to their time, so that most come late."""
+    kind = F.col("event_type")
+    rows = spark.read.parquet(f"{d}/events.parquet").select(
+        F.col("user_id").alias("company_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("seq"),
+        F.when(kind == "error", F.lit("404")).when(kind == "purchase", F.lit("ok")).otherwise(F.lit("other")).alias("kind"),
+    )
+    folder, name = f"{shared_folder(spark)}/{fresh('outcomes')}", fresh("streaks")
+    rows.repartitionByRange(4, F.xxhash64("seq")).write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    streaks.start_streaks(spark, stream, name).awaitTermination()
+    return spark.table(name).select("company_id", "streak", "disabled_at")
+
+
 _CYCLE = "CASE WHEN posted_at < TIMESTAMP '1997-01-01' THEN 1 WHEN posted_at < TIMESTAMP '1999-01-01' THEN 2 ELSE 3 END"
 
 

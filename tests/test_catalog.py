@@ -188,8 +188,12 @@ def test_digest_document(spark):
     assert "Alpha &lt;Inc&gt;</h3>" in doc.html and '<a href="https://jobs.example.com/1?a=1&amp;b=2">' in doc.html and doc.html.endswith("</ul></body></html>")
     whole = "".join(r.html for r in digest.ordered_fragments(digest.digest_fragments(jobs)).collect())
     assert whole in doc.html
-    with pytest.raises(ValueError, match="fragments"):
-        digest.digest_document(jobs, "2026-03-27", limit=3)
+
+
+def test_digest_of_any_size(spark):
+    jobs = spark.range(30_000).selectExpr("id", "1L AS company_id", "'Acme' AS company_name", "concat('SWE ', id) AS title",
+                                          "'https://u' AS url", "CAST(NULL AS STRING) AS location", "CAST(NULL AS TIMESTAMP) AS posted_at")
+    assert digest.digest_document(jobs, "2026-03-27").first().text.count("- SWE") == 30_000
 
 
 def test_empty_digest(spark):

@@ -1,8 +1,7 @@
 """The digest of new entry-level software jobs.
 
 `digest_fragments` is the document as ordered rows: it is sorted and written by many tasks and has
-no size limit. `digest_document` glues the same rows into one text for a mail, after checking
-that there are few enough of them for that.
+no size limit. `digest_document` glues the same rows into one text for a mail.
 """
 
 from __future__ import annotations

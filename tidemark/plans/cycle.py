@@ -169,10 +169,14 @@ def run_cycle(
     for name in (names.companies, names.jobs):
         tables.require_table(spark, name)
     companies = tables.read_table(spark, names.companies)
-    chosen = catalog.companies_to_scrape(companies, generic_enabled, generic_budget)
+    # kept under the mark: a repeated cycle scrapes the same companies, whatever its outcomes changed
+    selection = f"{names.postings}_selection"
+    if tables.applied_mark(spark, selection) != mark:
+        tables.write_version(catalog.companies_to_scrape(companies, generic_enabled, generic_budget), selection, mark)
+    chosen = tables.read_table(spark, selection)
     wanted = small_side(chosen.select(F.col("id").alias("company_id")), is_small(chosen))
     scraped = captures.join(wanted, "company_id", "left_semi")
-    # Parsing is the expensive step and its result is read three times, so it is written once.
+    # Parsing is the expensive step and its results are read several times, so they are written once.
     postings = tables.write_version(collect_postings(scraped, chosen, anchors), names.postings, mark)
     fetched = capture_source.snapshots_from_captures(scraped, swallow)
     if anchors is not None:
@@ -193,7 +197,7 @@ def run_cycle(
     given = scraped.select("company_id")
     given = given if anchors is None else given.unionByName(anchors.select("company_id"))
     fetched = fetched.unionByName(unscraped(due, given, as_of))
-    snapshots = ingest.validate_postings(postings, fetched)
+    snapshots = tables.write_version(ingest.validate_postings(postings, fetched), f"{names.postings}_snapshots", mark)
     counters = apply_snapshots(spark, names, mark, snapshots, postings, us_only)
     after = catalog.apply_outcomes(companies, snapshots)
     if tables.applied_mark(spark, names.companies) != mark:
@@ -201,6 +205,8 @@ def run_cycle(
         tables.publish_version(spark, names.companies, mark, COMPANY_COLUMNS)
     else:
         outcome = spark.table(tables.version_table(names.companies, mark))
+    for name in (names.postings, selection, f"{names.postings}_snapshots"):
+        tables.drop_versions(spark, name, [mark])
     failures = metrics.scrape_failures(outcome)
     jobs, current = tables.read_table(spark, names.jobs), tables.read_table(spark, names.companies)
     document = candidates = None

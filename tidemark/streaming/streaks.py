@@ -1,7 +1,9 @@
 """404 streaks over a stream of scrape outcomes, with an event when a company is disabled.
 
 Each micro-batch is folded with `failure_streaks`, starting from the stored streaks. That keeps a
-company with very many outcomes spread over tasks, which a per-key state function would not.
+company with very many outcomes spread over tasks, which a per-key state function would not. All
+outcomes are logged; a company for which one comes late is folded from its log anew, so the streaks
+do not depend on how the outcomes were batched.
 """
 
 from __future__ import annotations
@@ -18,23 +20,26 @@ STREAKS = "company_id bigint, streak bigint, disabled_at timestamp, last_ts time
 
 
 def fold_batch(
-    streaks: DataFrame, outcomes: DataFrame, threshold: int = rules.DISABLE_AFTER_404, bucket: str = "day"
+    streaks: DataFrame,
+    outcomes: DataFrame,
+    history: DataFrame,
+    threshold: int = rules.DISABLE_AFTER_404,
+    bucket: str = "day",
 ) -> DataFrame:
-    """Streaks after one more batch of outcomes.
+    """Streaks after one more batch of outcomes; `history` holds all outcomes so far, this batch included.
 
-    Outcomes of a disabled company no longer count, nor do those older than the last one applied.
+    Outcomes of a disabled company no longer count, unless they are older than what disabled it.
     """
-    state = streaks.select("company_id", "streak", F.col("disabled_at").alias("was_disabled_at"), "last_ts")
-    live = (
-        outcomes.join(state.select("company_id", "was_disabled_at", "last_ts"), "company_id", "left")
-        .filter(F.col("was_disabled_at").isNull())
-        .filter(F.col("last_ts").isNull() | (F.col("ts") >= F.col("last_ts")))
-        .drop("was_disabled_at", "last_ts")
+    seen = outcomes.join(streaks.select("company_id", "disabled_at", "last_ts"), "company_id", "left")
+    late = seen.filter(F.col("ts") <= F.col("last_ts")).select("company_id").distinct()
+    state = streaks.join(late, "company_id", "left_anti").select(
+        "company_id", "streak", F.col("disabled_at").alias("was_disabled_at"), "last_ts"
     )
+    live = seen.filter(F.col("disabled_at").isNull()).drop("disabled_at", "last_ts").join(late, "company_id", "left_anti")
     initial = state.select("company_id", F.col("streak").alias("failures"))
     folded = failure_streaks(live, threshold, bucket, initial).withColumnRenamed("streak", "new_streak")
     newest = live.groupBy("company_id").agg(F.max("ts").alias("new_ts"))
-    return (
+    forward = (
         state.join(folded.join(newest, "company_id"), "company_id", "full_outer")
         .select(
             "company_id",
@@ -43,6 +48,11 @@ def fold_batch(
             F.greatest("last_ts", "new_ts").alias("last_ts"),
         )
     )
+    whole = history.join(late, "company_id", "left_semi")
+    again = failure_streaks(whole, threshold, bucket).join(
+        whole.groupBy("company_id").agg(F.max("ts").alias("last_ts")), "company_id"
+    )
+    return forward.unionByName(again.select("company_id", F.col("streak").cast("bigint").alias("streak"), "disabled_at", "last_ts"))
 
 
 def start_streaks(
@@ -53,7 +63,12 @@ def start_streaks(
     threshold: int = rules.DISABLE_AFTER_404,
     checkpoint: str | None = None,
 ) -> StreamingQuery:
-    """Keeps `table` up to date; disable events go to one folder per batch under `events_path`."""
+    """Keeps `table` up to date; disable events go to one folder per batch under `events_path`.
+
+    The outcomes are logged next to the stream's checkpoint, one folder per batch.
+    """
+    checkpoint = checkpoint or f"{shared_folder(spark)}/streams/{table}"
+    log = f"{checkpoint}-outcomes"
     if not spark.catalog.tableExists(table):
         tables.write_version(spark.createDataFrame([], STREAKS), table, "start")
 
@@ -63,7 +78,10 @@ def start_streaks(
         before = session.table(table)
         if tables.applied_mark(session, table) == mark:
             return
-        after = tables.stage_version(fold_batch(before, outcomes, threshold), table, mark)
+        outcomes.select("company_id", "ts", "seq", "kind").write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
+        history = session.read.parquet(log)
+        batch = history.filter(F.col("batch_id") == batch_id).drop("batch_id")
+        after = tables.stage_version(fold_batch(before, batch, history.drop("batch_id"), threshold), table, mark)
         if events_path:
             fresh = after.filter(F.col("disabled_at").isNotNull()).join(
                 before.filter(F.col("disabled_at").isNotNull()).select("company_id"), "company_id", "left_anti"
@@ -72,11 +90,12 @@ def start_streaks(
                 f"{events_path}/batch_id={batch_id}"
             )
         tables.publish_version(session, table, mark, [c.split()[0] for c in STREAKS.split(", ")])
-        tables.drop_versions(session, table, [mark])
+        # readers of the version before may still be at work
+        tables.drop_versions(session, table, [mark, f"b{batch_id - 1}"])
 
     return (
         stream.writeStream.foreachBatch(each)
-        .option("checkpointLocation", checkpoint or f"{shared_folder(spark)}/streams/{table}")
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
