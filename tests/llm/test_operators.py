@@ -291,6 +291,19 @@ def test_wrapper(spark):
     assert wrapper.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_wrapper_drops_template_inside_the_article(spark):
+    """Blocks that say the same on every page go, with a class or without, also where a tag marks the article."""
+    page = lambda k, tag: f"<body><{tag}><h1>Head {k}</h1><p>Text {k} {'some words ' * 9}</p><p>Write to us.</p><div class=who><p>By the desk</p></div><div>Ask {k}</div></{tag}></body>"
+    rows = [(k, f"http://{tag}.example/{k}", page(k, tag)) for tag in ("article", "main", "section") for k in range(6)]
+    # an article tag that holds a teaser does not outweigh the slot that varies
+    rows += [(k, "http://teaser.example", f"<body><article>See {k}</article><div class=c><p>{'own words ' * 20}{k}</p><ul><li>a {k}</li></ul></div></body>") for k in range(4)]
+    for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        if "teaser" in r.url:
+            assert r.text == f"{'own words ' * 20}{r.page_id}\na {r.page_id}"
+        else:
+            assert r.text == f"Head {r.page_id}\nText {r.page_id} {('some words ' * 9).strip()}\nAsk {r.page_id}"
+
+
 def test_mixing(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randint(1, 60)), f"s{i % 5}" if i % 3 else "s0") for i in range(400)] + [(1000 + i, prose(rng, 5), None) for i in range(20)]

@@ -3,8 +3,10 @@
 Pages of one host share a template. Trees of a few pages of the host are aligned by simple tree
 matching, siblings of one kind as one node; nodes that say the same on all of them become template,
 nodes that vary become slots, and the slot that holds the article is the host's content. Each page
-is then aligned with its host's wrapper and the text of its content is kept. Elements that HTML
-itself or their names mark as menus, notices, forms and the like are left out everywhere.
+is then aligned with its host's wrapper and the text of its content is kept, without the template
+inside it. The tags article and main bound the slot; by themselves they decide only where pages
+give no wrapper. Elements that HTML itself or their names mark as menus, notices, forms and the
+like are left out everywhere.
 
 The pages a wrapper is learned from (`LEARN` per host) only shape the wrapper; every page is
 extracted. Wrappers go to the tasks by broadcast while all of them have at most `BROADCAST_BYTES`,
@@ -16,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -197,11 +200,16 @@ def _said(nodes: list[Node]) -> str:
     return "\n".join(blocks_of(nodes))
 
 
+def _texts(kind: Kind) -> set[str]:
+    """What the kind's nodes say, each by itself."""
+    return {said for n in kind.nodes if (said := _said([n]))}
+
+
 def induce(pages: list[str]) -> dict:
-    """The wrapper of pages of one host: {"nodes": [...]}, each with sign, constant text or None, content flag, below.
+    """The wrapper of pages of one host: {"nodes": [...]}, each with sign, template texts, content flag, below.
 
     Only pages with different content tell template from content, so of pages that say the same in
-    full one is used; with fewer than three of those nothing is called constant.
+    full one is used; with fewer than three of those nothing is called template.
     """
     trees, seen = [], set()
     for page in sorted(set(pages)):
@@ -214,50 +222,59 @@ def induce(pages: list[str]) -> dict:
         return {"nodes": []}
 
     def start(kind: Kind) -> dict:
-        said = _said(kind.nodes)
-        return {"sign": kind.sign, "text": said, "chars": len(said), "met": 1, "below": [start(k) for k in kind.below]}
+        return {"sign": kind.sign, "said": Counter(_texts(kind)), "chars": len(_said(kind.nodes)), "met": 1, "below": [start(k) for k in kind.below]}
 
     template = [start(k) for k in trees[0]]
     for tree in trees[1:]:
         for t, k in matched(template, tree, *_TEMPLATE)[1]:
-            said = _said(k.nodes)
+            t["said"].update(_texts(k))
             t["met"] += 1
-            t["chars"] += len(said)
-            if t["text"] != said:
-                t["text"] = None
+            t["chars"] += len(_said(k.nodes))
+
+    def judge(t: dict) -> None:
+        t["varies"] = t["met"] == 1 or any(n < t["met"] for n in t["said"].values())
+        t["texts"] = sorted(said for said, n in t["said"].items() if len(trees) >= 3 and n == len(trees))
+        for below in t["below"]:
+            judge(below)
 
-    content = _marked(template) or _largest(template)
+    for t in template:
+        judge(t)
+    content = _content(template) if len(trees) > 1 else _marked(template) or _content(template)
 
     def finish(t: dict) -> dict:
-        constant = t["text"] if len(trees) >= 3 and t["met"] == len(trees) and t["text"] else None
-        return {"sign": t["sign"], "text": constant, "content": any(t is c for c in content), "below": [finish(x) for x in t["below"]]}
+        return {"sign": t["sign"], "texts": t["texts"], "content": any(t is c for c in content), "below": [finish(x) for x in t["below"]]}
 
     return {"nodes": [finish(t) for t in template]}
 
 
-def _marked(template: list[dict]) -> list[dict]:
+def _marked(template: list[dict], tags: tuple[str, ...] = ("article", "main")) -> list[dict]:
     """The outermost nodes that HTML marks as the article, else as the main part."""
-    for tag in ("article", "main"):
-        found, todo = [], list(template)
+    for tag in tags:
+        found, todo = [], list(reversed(template))
         while todo:
             t = todo.pop()
             if t["sign"].startswith(f"{tag}."):
                 found.append(t)
             else:
-                todo.extend(t["below"])
+                todo.extend(reversed(t["below"]))
         if found:
             return found
     return []
 
 
-def _largest(template: list[dict]) -> list[dict]:
-    """The innermost node that still holds most of the text that varies."""
+def _content(template: list[dict]) -> list[dict]:
+    """The innermost node that still holds most of the text that varies, an article or main part at most.
+
+    Where no node below holds most of it, what HTML marks there is the content.
+    """
     node, level = None, template
     while True:
-        varying = [t for t in level if t["text"] is None or t["met"] == 1]
+        if node and node["sign"].startswith(("article.", "main.")):
+            return _marked(level, ("article",)) or [node]
+        varying = [t for t in level if t["varies"]]
         most = max(varying, key=lambda t: t["chars"], default=None)
-        if most is None or not most["below"] or most["chars"] < CONTENT_SHARE * sum(t["chars"] for t in varying):
-            return [node] if node else []
+        if most is None or not most["below"] and not most["sign"].startswith(("article.", "main.")) or most["chars"] < CONTENT_SHARE * sum(t["chars"] for t in varying):
+            return _marked(level) or ([node] if node else [])
         node, level = most, most["below"]
 
 
@@ -279,10 +296,10 @@ def _first(nodes: list, tags: tuple[str, ...]) -> list[Node]:
 
 
 def extract(html: str | None, wrapper: dict | None) -> str:
-    """The article's blocks, one line each. Empty for null, empty and wordless pages.
+    """The article's blocks without template, one line each. Empty for null, empty and wordless pages.
 
     A page that has nothing of its host's content slot falls back on what HTML marks as article or
-    main part, then on all of the page that is not template.
+    main part, then on all of the page; template goes from each of them.
     """
     if not html:
         return ""
@@ -292,14 +309,13 @@ def extract(html: str | None, wrapper: dict | None) -> str:
         for t, k in matched(wrapper["nodes"], kinds(tree.children), *_TEMPLATE)[1]:
             if t["content"]:
                 slots += k.nodes
-            elif t["text"] is not None and t["text"] == _said(k.nodes):
-                dropped.update(id(n) for n in k.nodes)
-    marked = bool(slots) and slots[0].tag in ("article", "main")
-    slots = slots if marked else _first(tree.children, ("article",)) or _first(tree.children, ("main",)) or slots
-    nothing = frozenset()
-    if slots and (text := blocks_of(slots, nothing if slots[0].tag in ("article", "main") else frozenset(dropped))):
-        return "\n".join(text)
-    return "\n".join(blocks_of(tree.children, frozenset(dropped)))
+            if t["texts"]:
+                dropped.update(id(n) for n in k.nodes if _said([n]) in t["texts"])
+    left = frozenset(dropped)
+    for nodes in (slots, _first(tree.children, ("article",)), _first(tree.children, ("main",))):
+        if nodes and (text := blocks_of(nodes, left)):
+            return "\n".join(text)
+    return "\n".join(blocks_of(tree.children, left))
 
 
 def host_of(url: str):
