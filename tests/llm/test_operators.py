@@ -263,6 +263,22 @@ def test_decontaminated(spark):
     assert decontaminate.decontaminated(docs(spark, rows), bench.limit(0)).count() == 6
 
 
+def test_short_benchmark_spans_are_cut(spark):
+    """Items of 20 to 40 words, a part of one and an item shorter than the window go from long documents, which stay."""
+    rng = random.Random(14)
+    items = [(n, " ".join(f"q{n}x{i}" for i in range(n))) for n in (5, 20, 30, 40)]
+    part = " ".join(items[3][1].split()[10:24])
+    rows = [(n, f"{prose(rng, 500)} é {t.upper()}. {prose(rng, 600)}", "a") for n, t in items]
+    rows += [(1, f"{prose(rng, 600)} {part}, {prose(rng, 500)}", "a"), (2, prose(rng, 1100), "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = {r.doc_id: r for r in decontaminate.decontaminated(docs(spark, rows), bench).collect()}
+    assert out.keys() == {5, 20, 30, 40, 1, 2}
+    for i, text, _ in rows:
+        assert out[i].text == text.replace(dict(items).get(i, part).upper() if i > 2 else part, "") and out[i].n_chars == len(out[i].text)
+    left = decontaminate.contamination(spark.createDataFrame(list(out.values()), DOC), bench).agg(F.sum("n_hit")).first()[0]
+    assert left == 0
+
+
 def test_rule_ensemble(spark):
     rng, rows, labels = random.Random(6), [], []
     for i in range(400):

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from tidemark.llm.words import NOT_ALNUM, chain, find_words, slices, text_bytes
 
@@ -232,10 +233,12 @@ def _merged(spans):
     return F.aggregate(spans, F.expr("cast(array() as array<struct<first:bigint,end:bigint>>)"), add)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int = 5, span_words: int = 50) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int = 5, span_words: int = 0) -> DataFrame:
     """`docs` without contaminated documents; of the others, hit spans of over `span_words` words are cut from the text.
 
-    Columns are those of `docs`. Nulls, blanks and repeats as in `contamination`.
+    By default that is every hit span: a window, what touches it, or a shorter item whole. Columns
+    are those of `docs`; an integer n_chars follows the text where it was cut. What a cut brings
+    together is not searched again. Nulls, blanks and repeats as in `contamination`.
     """
     # columns of docs that are named like added ones step aside meanwhile
     aside = {c: f"_own_{c}" for c in ADDED if c in docs.columns}
@@ -243,11 +246,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, cove
     judged = judged.withColumn("_cut", F.filter("spans", lambda s: s["end"] - s["first"] > span_words)).drop(*ADDED)
     judged = judged.withColumnsRenamed({new: old for old, new in aside.items()})
     columns = docs.columns
+    sized = "n_chars" in columns and isinstance(docs.schema["n_chars"].dataType, IntegralType)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = find_words(batch.column("text"), gap=NOT_ALNUM, hashes=False)
             texts = batch.column("text").to_pylist()
+            chars = batch.column("n_chars").to_pylist() if sized else []
             _, borders = text_bytes(batch.column("text"))
             for i, spans in enumerate(batch.column("_cut").to_pylist()):
                 if spans:
@@ -257,7 +262,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, cove
                         left.append(raw[at : found.start[base + s["first"]] - borders[i]])
                         at = found.end[base + s["end"] - 1] - borders[i]
                     texts[i] = b"".join([*left, raw[at:]]).decode()
-            arrays = [pa.array(texts, batch.column(c).type) if c == "text" else batch.column(c) for c in columns]
+                    if sized:
+                        chars[i] = len(texts[i])
+            changed = {"text": texts} | ({"n_chars": chars} if sized else {})
+            arrays = [pa.array(changed[c], batch.column(c).type) if c in changed else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     return judged.select(*docs.columns, "_cut").mapInArrow(cut, docs.schema)

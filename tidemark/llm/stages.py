@@ -39,7 +39,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated."""
+    """Documents that are not contaminated, with every benchmark span cut. n_chars follows the text."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
