@@ -157,6 +157,18 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_short_lines_are_judged(spark):
+    """A line of one or two words goes where enough sites carry it, and stays where they do not."""
+    rows = [(i, f"own line {i} here\nLog in\n\nThe.\nLes. ", f"s{i}") for i in range(6)]
+    rows = [(i, t if i < 5 else t.replace("The.\n", ""), s) for i, t, s in rows]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert out[0].text == rows[0][1] and out[0].n_removed == 0
+    assert all(out[i].text == f"own line {i} here\n\n" + "The." for i in range(1, 5)) and out[5].text == "own line 5 here\n"
+    assert all(out[i].n_removed == 2 for i in range(1, 6))
+    kept = line_dedup.dedup_lines(docs(spark, rows), short_sites=None).collect()
+    assert all(r.n_removed == 0 for r in kept)
+
+
 def test_line_spread_is_exact_near_the_threshold(spark):
     rng = random.Random(5)
     rows = [(i, f"line number {i % 17} repeated", f"s{rng.randrange(9)}") for i in range(120)]

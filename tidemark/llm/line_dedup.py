@@ -3,7 +3,8 @@
 Each line hash gets a HyperLogLog sketch of its sites; sketches merge in the aggregation, so a line
 that a third of all documents carry arrives as one row per task. An estimate far from the
 threshold decides; a line near it gets its exact number of distinct sites. Lines on enough sites
-are boilerplate: they stay in one document, the first by id, and go from all others.
+are boilerplate: they stay in one document, the first by id, and go from all others. Lines of few
+words, which prose may share by chance, are judged the same way from a higher number of sites on.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from tidemark.llm.frames import staged
 LG_BUCKETS = 9
 # The estimate of a 512-bucket sketch is off by 5 % as a rule; half and double are 10 times that.
 NEAR = (0.5, 2.0)
+SHORT_SITES = 6
 
 
 def line_key(line: Column) -> Column:
@@ -26,41 +28,52 @@ def _word_count(line: Column) -> Column:
     return F.when(line == "", 0).otherwise(F.size(F.split(line, r"[\x20\x09-\x0D]+")))
 
 
-def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, site, key) of each line of at least `min_words` words; key: 128 bits of the trimmed line's digest."""
+def lines_of(docs: DataFrame, min_words: int, with_short: bool = False) -> DataFrame:
+    """(doc_id, site, key) of each line of at least `min_words` words; key: 128 bits of the trimmed line's digest.
+
+    `with_short`: also lines of one word or more, and whether a line is one of them (short).
+    """
     line = F.explode(F.split("text", "\n")).alias("_line")
     trimmed = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("site"), line).withColumn("_line", line_key(F.col("_line")))
-    return trimmed.where(_word_count(F.col("_line")) >= min_words).select("doc_id", "site", _digest(F.col("_line")).alias("key"))
+    short = [(_word_count(F.col("_line")) < min_words).alias("short")] if with_short else []
+    least = min(1, min_words) if with_short else min_words
+    return trimmed.where(_word_count(F.col("_line")) >= least).select("doc_id", "site", _digest(F.col("_line")).alias("key"), *short)
 
 
 def _digest(line: Column) -> Column:
     return F.unhex(F.substring(F.sha2(line, 256), 1, 32))
 
 
-def line_spread(lines: DataFrame, min_sites: int = 3) -> DataFrame:
-    """Boilerplate among `lines` (doc_id, site, key): (key, n_sites, first_doc).
+def line_spread(lines: DataFrame, min_sites: int = 3, short_sites: int = SHORT_SITES) -> DataFrame:
+    """Boilerplate among `lines` (doc_id, site, key, and short if there are any): (key, n_sites, first_doc).
 
-    n_sites is exact where the sketch came near `min_sites`, else the estimate. A null source is a
+    Short lines are boilerplate from `short_sites` sites on, others from `min_sites`; n_sites is
+    exact where the sketch came near that, else the estimate. A null source is a
     site of its own; a null text has no lines; a document without id counts for the spread.
     """
+    some_short = "short" in lines.columns
+    least = F.when(F.col("short"), short_sites).otherwise(min_sites) if some_short else F.lit(min_sites)
     sketched = lines.groupBy("key").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_BUCKETS))).alias("estimate"),
         F.min("doc_id").alias("first_doc"),
         F.min("site").alias("_low"),
         F.max("site").alias("_high"),
+        *([F.max("short").alias("short")] if some_short else []),
     )
     # a line on one site, as most are, can never pass
-    spread = staged(sketched.where((F.col("_low") != F.col("_high")) & (F.col("estimate") >= NEAR[0] * min_sites)).drop("_low", "_high"), "line-spread")
-    near = spread.where(F.col("estimate") <= NEAR[1] * min_sites)
+    sketched = sketched.withColumn("_least", least).where((F.col("_low") != F.col("_high")) & (F.col("estimate") >= NEAR[0] * F.col("_least")))
+    spread = staged(sketched.select("key", "estimate", "first_doc", "_least"), "line-spread")
+    near = spread.where(F.col("estimate") <= NEAR[1] * F.col("_least"))
     exact = lines.join(near.select("key"), "key").groupBy("key", "site").agg(F.lit(1).alias("_one")).groupBy("key").agg(F.count("*").alias("n_sites"))
     decided = spread.join(exact, "key", "left").withColumn("n_sites", F.coalesce("n_sites", "estimate"))
-    return decided.where(F.col("n_sites") >= min_sites).select("key", "n_sites", "first_doc")
+    return decided.where(F.col("n_sites") >= F.col("_least")).select("key", "n_sites", "first_doc")
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = 3, min_words: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = 3, min_words: int = 3, short_sites: int | None = SHORT_SITES) -> DataFrame:
     """`docs` with `text` cut to the lines that stay, and n_lines, n_removed, kept_all.
 
-    A line of fewer than `min_words` words always stays. A repeat of a boilerplate line inside its
+    A line of fewer than `min_words` words goes from `short_sites` sites on, or never where that is
+    None; a blank one always stays. A repeat of a boilerplate line inside its
     first document stays too. Null and empty texts stay as they are with n_lines 0 and 1. Rows that
     repeat an id are all the first document. Columns named like the added ones are replaced.
 
@@ -68,8 +81,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3, min_words: int = 3) -> Data
     """
     added = ["n_lines", "n_removed"]
     # digests are taken once; the passes over lines read them, not the texts
-    lines = staged(lines_of(docs, min_words), "lines")
-    boilerplate = staged(line_spread(lines, min_sites), "boilerplate")
+    lines = staged(lines_of(docs, min_words, short_sites is not None), "lines")
+    boilerplate = staged(line_spread(lines, min_sites, short_sites or min_sites), "boilerplate")
     hit = (
         lines.join(boilerplate, "key").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
         .groupBy("doc_id").agg(F.collect_set("key").alias("_gone"))
