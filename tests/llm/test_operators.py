@@ -332,6 +332,22 @@ def test_wrapper_drops_template_inside_the_article(spark):
             assert r.text == f"Head {r.page_id}\nText {r.page_id} {('some words ' * 9).strip()}\nAsk {r.page_id}"
 
 
+def test_wrapper_counts_all_pages(spark):
+    """Two layouts, blocks on part of the pages and many pages: what is template is decided over all of them."""
+    own = lambda k: f"<h2>Head {k}</h2><p>Text {k} {'some words ' * 9}</p>"
+    rows = []
+    for k in range(60):
+        body = f"<div class=c>{own(k)}{'<p>Write to us.</p>' if k % 4 else ''}</div><div class=low>Use of this site</div>"
+        if k % 10 == 7:  # a rare layout with its parts in another order
+            body = f"<div class=low>Use of this site</div><div class=x>Rare desk</div><div class=c><div class=by>By the rare desk</div>{own(k)}</div>"
+        rows.append((k, f"http://h.example/{k}", f"<body><div class=top>Our site</div>{body}</body>"))
+    # copies of one page say nothing about template
+    rows += [(100 + k, f"http://copies.example/{k}", f"<body><article>{own(1)}</article></body>") for k in range(9)]
+    for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        k = 1 if r.page_id >= 100 else r.page_id
+        assert r.text == f"Head {k}\nText {k} {('some words ' * 9).strip()}", r.page_id
+
+
 def test_mixing(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randint(1, 60)), f"s{i % 5}" if i % 3 else "s0") for i in range(400)] + [(1000 + i, prose(rng, 5), None) for i in range(20)]

@@ -1,24 +1,24 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host share a template. Trees of a few pages of the host are aligned by simple tree
-matching, siblings of one kind as one node; nodes that say the same on all of them become template,
-nodes that vary become slots, and the slot that holds the article is the host's content. Each page
-is then aligned with its host's wrapper and the text of its content is kept, without the template
-inside it. The tags article and main bound the slot; by themselves they decide only where pages
-give no wrapper. Elements that HTML itself or their names mark as menus, notices, forms and the
-like are left out everywhere.
-
-The pages a wrapper is learned from (`LEARN` per host) only shape the wrapper; every page is
-extracted. Wrappers go to the tasks by broadcast while all of them have at most `BROADCAST_BYTES`,
-else by a join on the host, whose large hosts adaptive execution splits.
+Pages of one host share a template. Every page shows its tree as paths, siblings of one kind as one
+node, with digests of what the nodes say; Spark counts them per host over all pages. Texts that most
+pages with a path have there become template, paths whose text varies become slots, and the slot
+that holds the article is the host's content. Each page is then aligned with its host's wrapper by
+simple tree matching and the text of its content is kept, without the template inside it. The tags
+article and main bound the slot; by themselves they decide only where pages give no wrapper.
+Elements that HTML itself or their names mark as menus, notices, forms and the like are left out
+everywhere.
+
+Wrappers go to the tasks by broadcast while all of them have at most `BROADCAST_BYTES`, else by a
+join on the host, whose large hosts adaptive execution splits.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.frames import staged
 from tidemark.llm.words import slices
 
-LEARN = 8
+# A text is template on a path if so many pages have it there, and such a share of those that have the path.
+TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.5
 BROADCAST_BYTES = 32 << 20
 CONTENT_SHARE = 0.6
 # Element names of HTML and names that sites give to parts that are not the article.
@@ -173,7 +174,9 @@ def kinds(children: list[Node | str]) -> list[Kind]:
 
 def matched(a: list, b: list, sign_a, sign_b, below_a, below_b) -> tuple[int, list[tuple]]:
     """Simple tree matching of two ordered forests: the most nodes that pair up in order, and the pairs."""
-    if not a or not b:
+    both = {sign_a(x) for x in a} & {sign_b(y) for y in b}
+    a, b = [x for x in a if sign_a(x) in both], [y for y in b if sign_b(y) in both]
+    if not both:
         return 0, []
     best = [[(0, None)] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
@@ -200,51 +203,55 @@ def _said(nodes: list[Node]) -> str:
     return "\n".join(blocks_of(nodes))
 
 
-def _texts(kind: Kind) -> set[str]:
-    """What the kind's nodes say, each by itself."""
-    return {said for n in kind.nodes if (said := _said([n]))}
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def induce(pages: list[str]) -> dict:
-    """The wrapper of pages of one host: {"nodes": [...]}, each with sign, template texts, content flag, below.
+def paths_of(html: str) -> tuple[int, list[dict]]:
+    """Digest of all that a page says, and its kinds: path, place among its siblings, digests and lengths of what the nodes say."""
+    tree, out = parse(html), []
+    todo = [("", i, k) for i, k in enumerate(kinds(tree.children))]
+    while todo:
+        above, place, kind = todo.pop()
+        path = f"{above}\n{kind.sign}" if above else kind.sign
+        said = {digest(text): len(text) for n in kind.nodes if (text := _said([n]))}
+        out.append({"path": path, "place": place, "texts": [{"text": d, "chars": said[d]} for d in sorted(said)]})
+        todo += [(path, i, k) for i, k in enumerate(kind.below)]
+    return digest(_said(tree.children)), sorted(out, key=lambda x: x["path"])
+
+
+def induce(paths: list[dict]) -> dict:
+    """The wrapper of a host from its paths (path, place, chars, texts): {"nodes": [...]}, each with sign, template texts, content flag, below.
 
-    Only pages with different content tell template from content, so of pages that say the same in
-    full one is used; with fewer than three of those nothing is called template.
+    `chars` is the length of what varies there. Nodes that tell a page nothing are left out.
     """
-    trees, seen = [], set()
-    for page in sorted(set(pages)):
-        tree = parse(page)
-        said = _said(tree.children)
-        if said and said not in seen:
-            seen.add(said)
-            trees.append(kinds(tree.children))
-    if not trees:
-        return {"nodes": []}
-
-    def start(kind: Kind) -> dict:
-        return {"sign": kind.sign, "said": Counter(_texts(kind)), "chars": len(_said(kind.nodes)), "met": 1, "below": [start(k) for k in kind.below]}
-
-    template = [start(k) for k in trees[0]]
-    for tree in trees[1:]:
-        for t, k in matched(template, tree, *_TEMPLATE)[1]:
-            t["said"].update(_texts(k))
-            t["met"] += 1
-            t["chars"] += len(_said(k.nodes))
-
-    def judge(t: dict) -> None:
-        t["varies"] = t["met"] == 1 or any(n < t["met"] for n in t["said"].values())
-        t["texts"] = sorted(said for said, n in t["said"].items() if len(trees) >= 3 and n == len(trees))
-        for below in t["below"]:
-            judge(below)
-
-    for t in template:
-        judge(t)
-    content = _content(template) if len(trees) > 1 else _marked(template) or _content(template)
-
-    def finish(t: dict) -> dict:
-        return {"sign": t["sign"], "texts": t["texts"], "content": any(t is c for c in content), "below": [finish(x) for x in t["below"]]}
-
-    return {"nodes": [finish(t) for t in template]}
+    top: list[dict] = []
+    known: dict[str, dict] = {}
+    for row in sorted(paths, key=lambda r: (r["path"].count("\n"), r["place"], r["path"])):
+        above, _, sign = row["path"].rpartition("\n")
+        known[row["path"]] = node = {"sign": sign, "texts": sorted(row["texts"]), "chars": row["chars"], "varies": row["chars"] > 0, "below": []}
+        (known[above]["below"] if above else top).append(node)
+    content = _content(top)
+
+    def finish(t: dict) -> dict | None:
+        below = [x for b in t["below"] if (x := finish(b))]
+        chosen = any(t is c for c in content)
+        return {"sign": t["sign"], "texts": t["texts"], "content": chosen, "below": below} if t["texts"] or chosen or below else None
+
+    return {"nodes": [x for t in top if (x := finish(t))]}
+
+
+def alone(tree: Node) -> dict:
+    """The wrapper of a page that has no other to be compared with."""
+
+    def start(k: Kind) -> dict:
+        said = len(_said(k.nodes))
+        return {"sign": k.sign, "texts": [], "chars": said, "varies": said > 0, "content": False, "below": [start(x) for x in k.below]}
+
+    nodes = [start(k) for k in kinds(tree.children)]
+    for t in _marked(nodes) or _content(nodes):
+        t["content"] = True
+    return {"nodes": nodes}
 
 
 def _marked(template: list[dict], tags: tuple[str, ...] = ("article", "main")) -> list[dict]:
@@ -305,12 +312,21 @@ def extract(html: str | None, wrapper: dict | None) -> str:
         return ""
     tree = parse(html)
     dropped, slots = set(), []
-    if wrapper and wrapper["nodes"]:
-        for t, k in matched(wrapper["nodes"], kinds(tree.children), *_TEMPLATE)[1]:
-            if t["content"]:
-                slots += k.nodes
-            if t["texts"]:
-                dropped.update(id(n) for n in k.nodes if _said([n]) in t["texts"])
+    wrapper, own = wrapper or alone(tree), kinds(tree.children)
+    for t, k in matched(wrapper["nodes"], own, *_TEMPLATE)[1]:
+        if t["content"]:
+            slots += k.nodes
+    # template is known by path and text, so it goes also where a page has its siblings in another order
+    todo = [(wrapper["nodes"], own)]
+    while todo:
+        nodes, level = todo.pop()
+        known = {t["sign"]: t for t in nodes}
+        for k in level:
+            if t := known.get(k.sign):
+                if t["texts"]:
+                    dropped.update(id(n) for n in k.nodes if digest(_said([n])) in t["texts"])
+                if t["below"]:
+                    todo.append((t["below"], k.below))
     left = frozenset(dropped)
     for nodes in (slots, _first(tree.children, ("article",)), _first(tree.children, ("main",))):
         if nodes and (text := blocks_of(nodes, left)):
@@ -322,26 +338,55 @@ def host_of(url: str):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame, learn: int = LEARN) -> DataFrame:
-    """(host, wrapper as JSON) from `learn` pages of each host at most, one of each share of its ids."""
-    mark = F.xxhash64("page_id")
-    picked = pages.select(host_of("url").alias("host"), F.pmod(mark, F.lit(learn)).alias("_part"), mark.alias("_mark"), "html")
-    picked = picked.where(F.length("html") > 0).groupBy("host", "_part").agg(F.min_by("html", F.struct("_mark", F.xxhash64("html"))).alias("html"))
+def _counted(pages: DataFrame) -> DataFrame:
+    """(host, path, text, n, chars, place): pages of different content that have a text on a path, and with a null text those that have the path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("path", pa.string()), ("place", pa.int32()), ("texts", pa.list_(pa.struct([("text", pa.int64()), ("chars", pa.int64())])))]))
+        for batch in slices(batches, "html"):
+            shown = [paths_of(html) for html in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("host"), pa.array([x for x, _ in shown], pa.int64()), pa.array([x for _, x in shown], kind)], names=["host", "said", "paths"]
+            )
+
+    rows = pages.select(host_of("url").alias("host"), "html").where(F.length("html") > 0)
+    shown = rows.mapInArrow(run, "host string, said long, paths array<struct<path:string,place:int,texts:array<struct<text:bigint,chars:bigint>>>>")
+    # of pages that say the same in full one counts
+    shown = shown.groupBy("host", "said").agg(F.min("paths").alias("paths")).select("host", F.explode("paths").alias("p"))
+    whole = F.struct(F.lit(None).cast("long").alias("text"), F.aggregate("p.texts", F.lit(0).cast("long"), lambda n, t: n + t["chars"]).alias("chars"))
+    each = shown.select("host", "p.path", "p.place", F.explode(F.concat(F.array(whole), "p.texts")).alias("t"))
+    return each.groupBy("host", "path", F.col("t.text").alias("text")).agg(F.count("*").alias("n"), F.sum("t.chars").alias("chars"), F.avg("place").alias("place"))
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper as JSON) of each host that has pages of different content, from all of its pages.
+
+    Paths and texts of a single page are nothing that pages share, so they are not kept.
+    """
+    counted = staged(_counted(pages).where("n > 1"), "page-paths")
+    paths = counted.where("text is null").select("host", "path", F.col("n").alias("_met"), F.col("chars").alias("_all"), "place")
+    texts = counted.where("text is not null").select("host", "path", "text", "n", "chars").join(paths.select("host", "path", "_met"), ["host", "path"])
+    texts = texts.where(F.col("n") >= TEMPLATE_SHARE * F.col("_met")).groupBy("host", "path").agg(
+        F.sum("chars").alias("_fixed"), F.sort_array(F.collect_list(F.when(F.col("n") >= TEMPLATE_PAGES, F.col("text")))).alias("texts")
+    )
+    found = paths.join(texts, ["host", "path"], "left")
+    chars, none = F.col("_all") - F.coalesce("_fixed", F.lit(0)), F.array().cast("array<bigint>")
+    found = found.select("host", "path", "place", chars.alias("chars"), F.coalesce("texts", none).alias("texts"))
 
     def learn_host(batch: pa.Table) -> pa.Table:
-        wrapper = json.dumps(induce(batch.column("html").to_pylist()), ensure_ascii=False)
+        wrapper = json.dumps(induce(batch.drop_columns("host").to_pylist()), ensure_ascii=False)
         return pa.table({"host": [batch.column("host")[0].as_py()], "wrapper": [wrapper]})
 
-    return picked.groupBy("host").applyInArrow(learn_host, "host string, wrapper string")
+    return found.groupBy("host").applyInArrow(learn_host, "host string, wrapper string")
 
 
-def main_text(pages: DataFrame, learn: int = LEARN) -> DataFrame:
+def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of `pages` (page_id, url, html).
 
     A null or empty html gives an empty text; a null url is a host of its own; repeated rows and
     null ids give a row each; other columns are ignored.
     """
-    known = staged(wrappers(pages, learn), "wrappers")
+    known = staged(wrappers(pages), "wrappers")
     size = known.agg(F.coalesce(F.sum(F.length("host") + F.length("wrapper")), F.lit(0))).first()[0]
     known = F.broadcast(known) if size <= BROADCAST_BYTES else known
     rows = pages.select("page_id", "url", "html", host_of("url").alias("host")).join(known, "host", "left").select("page_id", "url", "html", "wrapper")
