@@ -1,6 +1,7 @@
 """Operators on small tables: literal cases, edge cases, brute force, round trips and held-out accuracy."""
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, jaccard, line_dedup, line_rules, mixing, rule_ensemble, stages, toxicity, warc, wrapper
+from tidemark.llm import chat, decontaminate, jaccard, line_dedup, line_rules, mixing, queries, rule_ensemble, stages, toxicity, warc, wrapper
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, n_words string"
 WORDS = [a + b for a in "ka lo mi nu re so ti va".split() for b in "ba de fi go hu".split()]
@@ -141,6 +142,15 @@ def test_tool_calls(spark):
     assert chat.link(spark.createDataFrame([], MESSAGE), schemas).count() == 0
 
 
+def test_calls_take_the_whole_text(spark):
+    text = 'a "long" text\nof two lines \\ é, ' + "and more words " * 10
+    rows = spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string")
+    calls = queries.tool_messages(rows).where("kind = 'call'").collect()
+    assert [c.arguments["topic"] for c in calls] == [text]
+    messages = [r.message for r in chat.link(queries.tool_messages(rows), spark.createDataFrame([], "tool string, schema map<string,string>")).collect()]
+    assert any(json.loads(m).get("arguments", {}).get("topic") == text for m in messages)
+
+
 def test_long_chain_of_calls(spark):
     calls = spark.createDataFrame([(7, f"c{i}", f"c{i - 1}" if i else None) for i in range(100)], "conv_id long, call_id string, after string")
     assert {r.call_id: r.depth for r in chat.depths(calls).collect()} == {f"c{i}": i for i in range(100)}

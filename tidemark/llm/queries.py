@@ -77,7 +77,7 @@ def tool_messages(conversations: DataFrame) -> DataFrame:
     turn, words = F.col("turn"), F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"))
     tool = F.element_at(F.array(*map(F.lit, TOOLS)), (F.pmod(F.floor(turn / 2), F.lit(3)) + 1).cast("int"))
     name = lambda t: F.concat(F.lit("call_"), t.cast("string"))
-    topic = F.substring(F.coalesce("text", F.lit("")), 1, 20)
+    topic = F.coalesce("text", F.lit(""))
     arguments = F.when(
         tool == "lookup", F.create_map(F.lit("topic"), topic, F.lit("words"), words.cast("string"))
     ).when(tool == "count", F.create_map(F.lit("words"), words.cast("string"))).otherwise(F.create_map(F.lit("topic"), topic))
