@@ -39,3 +39,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "y")
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """`name`, made longer until no column is called so in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

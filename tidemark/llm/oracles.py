@@ -106,6 +106,36 @@ MIXING = f"""WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(t
   summed AS (SELECT *, sum(size) FILTER (WHERE rank IS NOT NULL) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)::DOUBLE AS upto FROM ranked)
 SELECT doc_id, size, source_size, target, (sure + CASE WHEN rank IS NOT NULL AND (upto <= rest OR (rest > upto - size AND upto - rest <= rest - (upto - size))) THEN 1 ELSE 0 END) * size AS taken FROM summed"""
 
+_HEX8 = "('0x' || substr(h, {}, 8))::BIGINT"
+FILL_MIDDLE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+  c AS (SELECT *, {_HEX8.format(1)} % (n + 1) AS x, {_HEX8.format(9)} % (n + 1) AS y,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_HEX8.format(17)} % 100 >= 90 THEN 'plain'
+      WHEN {_HEX8.format(25)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+  p AS (SELECT *, t[1:least(x, y)] AS prefix, t[least(x, y) + 1:greatest(x, y)] AS middle, t[greatest(x, y) + 1:] AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(x, y) END AS prefix_chars, CASE WHEN form <> 'plain' THEN greatest(x, y) - least(x, y) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p"""
+
+# crc32 by its table of 256 remainders; pairs of words meet by what is left of them without one letter
+SPELLING = rf"""WITH RECURSIVE bits AS (SELECT i AS slot, 0 AS k, i::BIGINT AS c FROM range(256) t(i)
+    UNION ALL SELECT slot, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
+  crc AS (SELECT list(c ORDER BY slot) AS t FROM bits WHERE k = 8),
+  runs AS (SELECT doc_id, run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_AZ}), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY 1, 2),
+  coded AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+  hashed AS (SELECT run, times, xor(4294967295::BIGINT, list_reduce(list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT),
+    lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]), 4294967295::BIGINT)) AS h FROM coded, crc),
+  kept AS (SELECT times, CASE WHEN h % 31 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed),
+  v AS (SELECT word, sum(times)::BIGINT AS n FROM kept WHERE length(word) >= 7 GROUP BY 1 HAVING sum(times) >= 2),
+  cut AS (SELECT DISTINCT word, n, word[1:i - 1] || word[i + 1:] AS rest, i FROM v, unnest(range(1, length(word) + 1)) u(i)),
+  met AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT v.word, cut.word, cut.n FROM v JOIN cut ON v.word = cut.rest
+    UNION SELECT cut.word, v.word, v.n FROM v JOIN cut ON v.word = cut.rest),
+  best AS (SELECT word, count(*) AS n_near, max(near_n) AS top, arg_min(near, (-near_n, encode(near))) AS first FROM met GROUP BY 1),
+  forms AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * n THEN first END AS form, CASE WHEN top >= 10 * n THEN top END AS form_n FROM v LEFT JOIN best USING (word)),
+  chain AS (SELECT word, coalesce(form, word) AS spot, form IS NULL AS done FROM forms
+    UNION ALL SELECT c.word, coalesce(f.form, c.spot), f.form IS NULL FROM chain c JOIN forms f ON f.word = c.spot WHERE NOT c.done)
+SELECT word, form, spot AS root, n, n_near, form_n FROM forms JOIN (SELECT word, spot FROM chain WHERE done) USING (word)"""
+
 ORACLES = {
     "op1_warc": WARC,
     "op2_jaccard": JACCARD,
@@ -113,4 +143,6 @@ ORACLES = {
     "op6_line_rules": LINE_RULES,
     "op7_decontaminate": DECONTAMINATE,
     "op10_mixing": MIXING,
+    "op11_spelling": SPELLING,
+    "op13_fill_middle": FILL_MIDDLE,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, decontaminate, jaccard, line_dedup, line_rules, mixing, rule_ensemble, toxicity, warc, wrapper
+from tidemark.llm import chat, decontaminate, fill_middle, jaccard, language, line_dedup, line_rules, mixing, rule_ensemble, spelling, toxicity, warc, wrapper
 from tidemark.llm.frames import table
 from tidemark.llm.oracles import ORACLES  # noqa: F401
 from tidemark.session import shared_folder
@@ -111,3 +111,21 @@ def op9_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's form and cuts, with digests of the output and of the text rebuilt from it."""
+    made = fill_middle.fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
