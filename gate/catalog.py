@@ -10,7 +10,7 @@ from gate.surrogates import (
 )
 from tidemark import rules
 from tidemark.functions import variants
-from tidemark.operators import companies as catalog, metrics
+from tidemark.operators import companies as catalog, metrics, streaks as failure_fold
 from tidemark.plans.cycle import NO_CAPTURE, unscraped
 from tidemark.sources import targets
 
@@ -272,12 +272,12 @@ STREAKS_SQL = """WITH o AS (SELECT user_id AS company_id, ts, event_id AS seq, C
 
 @query("failure_streaks", STREAKS_SQL.format(n=2))
 def failure_streaks(spark, d):
-    return catalog.failure_streaks(outcomes(spark, d))
+    return failure_fold.failure_streaks(outcomes(spark, d))
 
 
 @query("failure_streaks_of_five", STREAKS_SQL.format(n=5))
 def failure_streaks_of_five(spark, d):
-    return catalog.failure_streaks(outcomes(spark, d), threshold=5, bucket="hour")
+    return failure_fold.failure_streaks(outcomes(spark, d), threshold=5)
 
 
 # ---- selection and summaries ---------------------------------------------------------------

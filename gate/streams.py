@@ -132,10 +132,30 @@ _CYCLE = "CASE WHEN posted_at < TIMESTAMP '1997-01-01' THEN 1 WHEN posted_at < T
 )
 def streamed_ingest(spark, d):
     """Three cycles of postings, written as files and read back as a stream."""
-    year = F.when(F.col("posted_at") < "1997-01-01", 1).when(F.col("posted_at") < "1999-01-01", 2).otherwise(3)
+    return streamed_cycles(spark, d, F.when(F.col("posted_at") < "1997-01-01", 1).when(F.col("posted_at") < "1999-01-01", 2).otherwise(3))
+
+
+@query(
+    "streamed_ingest_of_thirty_cycles",
+    f"""WITH {sql_postings()}, {sqltext.location_categories('postings_v')},
+      c_v AS (SELECT *, date_diff('day', TIMESTAMP '1992-01-01', posted_at) // 81 + 1 AS c FROM postings_v),
+      scans_v AS (SELECT DISTINCT company_id, c FROM c_v),
+      kept_v AS (SELECT p.* FROM c_v p JOIN loc_cat l ON p.location IS NOT DISTINCT FROM l.location WHERE category IN ('US', 'REMOTE_US')),
+      jobs_v AS (SELECT *, (SELECT min(s.c) FROM scans_v s WHERE s.company_id = k.company_id AND s.c > max_c) AS closing
+        FROM (SELECT *, min(c) OVER w AS min_c, max(c) OVER w AS max_c, row_number() OVER (PARTITION BY external_job_id ORDER BY c DESC, ordinal DESC) AS rn
+          FROM kept_v WINDOW w AS (PARTITION BY external_job_id)) k WHERE rn = 1)
+    SELECT {FINGERPRINT_SQL} AS fingerprint_hash, company_id, level, posted_at, closing IS NULL AS is_active, TIMESTAMP '2001-12-31' + INTERVAL 1 DAY * min_c AS first_seen_at,
+      TIMESTAMP '2001-12-31' + INTERVAL 1 DAY * coalesce(closing, max_c) AS last_seen_at FROM jobs_v""",
+)
+def streamed_ingest_of_thirty_cycles(spark, d):
+    """Thirty cycles of postings in one batch, one write of the state."""
+    return streamed_cycles(spark, d, F.floor(F.datediff("posted_at", F.lit("1992-01-01")) / 81) + 1)
+
+
+def streamed_cycles(spark, d, cycle):
     rows = postings(spark, d).withColumns(
         {
-            "cycle_ts": F.timestamp_add("DAY", year, F.lit("2001-12-31").cast("timestamp")),
+            "cycle_ts": F.timestamp_add("DAY", cycle.cast("int"), F.lit("2001-12-31").cast("timestamp")),
             "outcome": F.lit("ok"),
             "error": F.lit(None).cast("string"),
         }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import rules, schemas
 
-from tidemark.operators import companies as catalog, digest, discovery, metrics
+from tidemark.operators import companies as catalog, streaks as failure_fold, digest, discovery, metrics
 
 NOW = dt.datetime(2026, 3, 1)
 
@@ -159,7 +159,7 @@ def test_streaks_equal_a_plain_loop(spark, seed, threshold):
         expected[company] = (streak, disabled)
     outcomes = spark.createDataFrame(log, "company_id long, ts timestamp, seq long, kind string")
     initial = spark.createDataFrame(list(start.items()), "company_id long, failures long")
-    got = {r.company_id: (r.streak, r.disabled_at) for r in catalog.failure_streaks(outcomes, threshold, "day", initial).collect()}
+    got = {r.company_id: (r.streak, r.disabled_at) for r in failure_fold.failure_streaks(outcomes, threshold, initial).collect()}
     assert got == expected
 
 

@@ -151,3 +151,43 @@ def test_company_frames_beyond_the_checked_size_give_the_same_result(spark, monk
     small = sorted(map(str, ingest.merge_snapshots(jobs, owners, shots, batch).collect()))
     monkeypatch.setattr(ingest, "is_small", lambda df: False)
     assert sorted(map(str, ingest.merge_snapshots(jobs, owners, shots, batch).collect())) == small
+
+
+@pytest.mark.parametrize("seed,us_only", [(11, True)])
+def test_many_cycles_at_once_equal_the_loop(spark, seed, us_only):
+    """Several cycles, companies that share names, cycles without posts, failed and empty scans: one pass gives what a pass per cycle gives."""
+    from tidemark.operators.replay import merge_cycles
+
+    rng = random.Random(seed)
+    names = {i: ["Acme", "Globex"][i % 2] for i in range(1, 6)}
+    owners = spark.createDataFrame(company_rows(names), schemas.COMPANIES)
+    cycles = [NOW + dt.timedelta(hours=h) for h in range(6)]
+    shots, rows = [], []
+    for cycle in cycles:
+        for company in rng.sample(list(names), rng.randint(0, 4)):
+            shots.append((company, cycle, rng.choice(["ok", "ok", "ok", "failed"]), None))
+            for n in range(rng.choice([0, 2, 5])):
+                p = posting(company, n, rng.randint(1, 9), rng.randint(0, 3), rng.randint(0, 2), rng.randint(0, 20))
+                rows.append((p[0], cycle, *p[2:]))
+    snapshots, batch = spark.createDataFrame(shots, schemas.SNAPSHOTS), spark.createDataFrame(rows, schemas.POSTINGS)
+    start = ingest.merge_snapshots(
+        spark.createDataFrame([], schemas.JOBS), owners, spark.createDataFrame([(i, OLD, "ok", None) for i in names], schemas.SNAPSHOTS),
+        spark.createDataFrame([(c, OLD, *posting(c, c, c, 0, 0, 0)[2:]) for c in names], schemas.POSTINGS),
+    ).select(schemas.JOB_COLUMNS)
+    start = spark.createDataFrame(start.collect(), schemas.JOBS)
+    looped = start
+    for cycle in cycles:
+        of_cycle = [r for r in rows if r[1] == cycle]
+        looped = ingest.merge_snapshots(
+            looped, owners, spark.createDataFrame([s for s in shots if s[1] == cycle], schemas.SNAPSHOTS), spark.createDataFrame(of_cycle, schemas.POSTINGS), us_only
+        ).select(schemas.JOB_COLUMNS)
+        looped = spark.createDataFrame(looped.collect(), schemas.JOBS)
+    at_once = merge_cycles(start, owners, snapshots, batch, us_only).collect()
+    rest = [c for c in schemas.JOB_COLUMNS if c != "id"]
+    shown = lambda r: tuple(str(r[c]) for c in rest)
+    assert sorted(map(shown, at_once)) == sorted(map(shown, looped.collect()))
+    known = {r.fingerprint_hash: r.id for r in start.collect()}
+    assert len({r.id for r in at_once}) == len(at_once) and all(known.get(r.fingerprint_hash, r.id) == r.id for r in at_once)
+    new = sorted((r for r in at_once if r.fingerprint_hash not in known), key=lambda r: r.id)
+    assert [r.first_seen_at for r in new] == sorted(r.first_seen_at for r in new) and min(r.id for r in new) > max(known.values())
+    assert {r.is_active for r in at_once} == {True, False}

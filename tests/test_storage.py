@@ -165,6 +165,9 @@ def test_streamed_snapshots(spark, tmp_path):
     assert run() == {1: (False, DAY1, DAY2), 2: (True, DAY1, DAY2), 7: (False, DAY1, DAY2)}
     posted(spark, [(1, DAY1, 0, 9), (2, DAY3, 0, 7)]).write.mode("append").parquet(folder)
     assert run() == {1: (False, DAY1, DAY2), 2: (True, DAY1, DAY2), 7: (True, DAY1, DAY3)} and late == [1]
+    # both cycles of the first batch were one write, and what came late is stored
+    assert sorted(r.tableName for r in spark.sql("SHOW TABLES LIKE 'st_jobs__*'").collect()) == ["st_jobs__b0", "st_jobs__b1"]
+    assert [(r.company_id, r.cycle_ts, r.last_cycle) for r in spark.table("st_applied_late__b1").collect()] == [(1, DAY1, DAY2)]
     # a batch that is delivered again is not applied again
     assert stream.ingest_batch(spark, posted(spark, [(1, DAY3, None, 0)]), 1, names, "st_applied") == 0
     assert spark.table("st_jobs").filter("is_active").count() == 2

@@ -1,4 +1,4 @@
-"""The company catalog: imports, probes, failure streaks, run budget, bulk changes.
+"""The company catalog: imports, probes, run budget, bulk changes.
 
 Companies are a dimension table; their frames are small next to postings. New ids are the largest
 id plus the row's ordinal, so they are unique and ordered but may leave gaps.
@@ -6,7 +6,7 @@ id plus the row's ordinal, so they are unique and ordered but may leave gaps.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import rules
 from tidemark.functions import variants as V
@@ -294,64 +294,6 @@ def apply_outcomes(companies: DataFrame, snapshots: DataFrame) -> DataFrame:
     )
 
 
-def failure_streaks(
-    outcomes: DataFrame, threshold: int = rules.DISABLE_AFTER_404, bucket: str = "day", initial: DataFrame | None = None
-) -> DataFrame:
-    """Per company after a whole log (company_id, ts, seq, kind) with kind ok, 404 or other:
-    (company_id, streak, disabled_at).
-
-    The streak counts the 404s since the last success and stops at the first one that reaches the
-    threshold. `seq` orders outcomes of the same instant; `initial` gives (company_id, failures)
-    to start from. Running counts are taken within (company, time bucket) and carried over from
-    bucket to bucket, so that a company with a long log is spread over many tasks.
-    """
-    log = outcomes.withColumns(
-        {
-            "bucket": F.date_trunc(bucket, "ts"),
-            "ok": (F.col("kind") == "ok").cast("int"),
-            "missing": (F.col("kind") == "404").cast("int"),
-        }
-    )
-    rows = Window.partitionBy("company_id", "bucket").orderBy("ts", "seq")
-    marked = log.withColumn("oks", F.sum("ok").over(rows))
-    island = Window.partitionBy("company_id", "bucket", "oks").orderBy("ts", "seq")
-    counted = marked.withColumn("local", F.sum("missing").over(island))
-    per_bucket = counted.groupBy("company_id", "bucket").agg(
-        F.max("oks").alias("bucket_oks"), F.max_by("local", F.struct("ts", "seq")).alias("tail")
-    )
-    ordered = Window.partitionBy("company_id").orderBy("bucket")
-    groups = per_bucket.withColumn("group", F.sum(F.signum("bucket_oks")).over(ordered))
-    so_far = Window.partitionBy("company_id", "group").orderBy("bucket")
-    closing = groups.withColumn("closing", F.sum("tail").over(so_far))
-    if initial is not None:
-        closing = closing.join(initial.select("company_id", "failures"), "company_id", "left").withColumn(
-            "closing",
-            F.col("closing") + F.when(F.col("group") == 0, F.coalesce("failures", F.lit(0))).otherwise(0),
-        )
-        first_carry = F.coalesce("failures", F.lit(0))
-    else:
-        first_carry = F.lit(0)
-    carried = closing.select(
-        "company_id", "bucket", F.coalesce(F.lag("closing").over(ordered), first_carry).alias("carry"), "closing"
-    )
-    streak = F.col("local") + F.when(F.col("oks") == 0, F.col("carry")).otherwise(0)
-    hits = (
-        counted.filter(F.col("missing") == 1)
-        .join(carried.select("company_id", "bucket", "carry"), ["company_id", "bucket"])
-        .withColumn("streak", streak)
-        .filter(F.col("streak") >= threshold)
-        .groupBy("company_id")
-        .agg(
-            F.min("ts").alias("disabled_at"),
-            F.min_by("streak", F.struct("ts", "seq")).alias("streak_at_disable"),
-        )
-    )
-    final = carried.groupBy("company_id").agg(F.max_by("closing", "bucket").alias("closing"))
-    return final.join(hits, "company_id", "left").select(
-        "company_id", F.coalesce("streak_at_disable", "closing").alias("streak"), "disabled_at"
-    )
-
-
 # ---- selection and bulk changes -----------------------------------------------------------
 def companies_to_scrape(
     companies: DataFrame, generic_enabled: bool = True, generic_budget: int = rules.GENERIC_BUDGET

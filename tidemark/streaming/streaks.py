@@ -1,58 +1,104 @@
 """404 streaks over a stream of scrape outcomes, with an event when a company is disabled.
 
-Each micro-batch is folded with `failure_streaks`, starting from the stored streaks. That keeps a
-company with very many outcomes spread over tasks, which a per-key state function would not. All
-outcomes are logged; a company for which one comes late is folded from its log anew, so the streaks
-do not depend on how the outcomes were batched.
+A stateful operator keeps the outcomes of each (company, time bucket) that is open, in a list state, and
+emits the bucket's summary whenever a batch changes it, so an outcome that comes late only touches its
+own bucket. The sink stores one summary per bucket and folds those of the companies that a batch has
+touched. The log itself is never stored or read again. Where a lateness is given, event time closes
+buckets: their rows leave the state, and their summaries become one per company.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidemark import rules
-from tidemark.operators.companies import failure_streaks
+from tidemark.operators.streaks import SUMMARY, SUMMARY_COLUMNS, fold, kind_code, streaks_of, summarise
 from tidemark.session import shared_folder
 from tidemark.sources import tables
 
-STREAKS = "company_id bigint, streak bigint, disabled_at timestamp, last_ts timestamp"
+STREAKS = "company_id bigint, streak bigint, disabled_at timestamp"
+BUCKETS = f"company_id bigint, bucket bigint, {SUMMARY}"
+_KEPT = "at bigint, seq bigint, kind int"
+_WIDTHS = {"hour": 3_600_000_000, "day": 86_400_000_000}
 
 
-def fold_batch(
-    streaks: DataFrame,
-    outcomes: DataFrame,
-    history: DataFrame,
-    threshold: int = rules.DISABLE_AFTER_404,
-    bucket: str = "day",
-) -> DataFrame:
-    """Streaks after one more batch of outcomes; `history` holds all outcomes so far, this batch included.
+class BucketSummaries(StatefulProcessor):
+    """Summary of the outcomes of one (company, bucket), emitted when it changes.
 
-    Outcomes of a disabled company no longer count, unless they are older than what disabled it.
+    Two states: the outcomes of the bucket that bear on a streak, and the summary emitted last.
+    `width` is that of a bucket in microseconds where event time closes buckets, else None.
     """
-    seen = outcomes.join(streaks.select("company_id", "disabled_at", "last_ts"), "company_id", "left")
-    late = seen.filter(F.col("ts") <= F.col("last_ts")).select("company_id").distinct()
-    state = streaks.join(late, "company_id", "left_anti").select(
-        "company_id", "streak", F.col("disabled_at").alias("was_disabled_at"), "last_ts"
-    )
-    live = seen.filter(F.col("disabled_at").isNull()).drop("disabled_at", "last_ts").join(late, "company_id", "left_anti")
-    initial = state.select("company_id", F.col("streak").alias("failures"))
-    folded = failure_streaks(live, threshold, bucket, initial).withColumnRenamed("streak", "new_streak")
-    newest = live.groupBy("company_id").agg(F.max("ts").alias("new_ts"))
-    forward = (
-        state.join(folded.join(newest, "company_id"), "company_id", "full_outer")
-        .select(
-            "company_id",
-            F.coalesce("new_streak", "streak").cast("bigint").alias("streak"),
-            F.coalesce("was_disabled_at", "disabled_at").alias("disabled_at"),
-            F.greatest("last_ts", "new_ts").alias("last_ts"),
-        )
-    )
-    whole = history.join(late, "company_id", "left_semi")
-    again = failure_streaks(whole, threshold, bucket).join(
-        whole.groupBy("company_id").agg(F.max("ts").alias("last_ts")), "company_id"
-    )
-    return forward.unionByName(again.select("company_id", F.col("streak").cast("bigint").alias("streak"), "disabled_at", "last_ts"))
+
+    def __init__(self, threshold: int, width: int | None):
+        self.threshold, self.width = threshold, width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", _KEPT)
+        self.last = handle.getValueState("summary", SUMMARY)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        company, bucket = key
+        arrived = [tuple(map(int, r)) for part in rows for r in part[["at", "seq", "kind"]].itertuples(index=False, name=None) if r[2]]
+        if arrived:
+            self.rows.appendList(arrived)
+        ordered = sorted(tuple(r) for r in self.rows.get())
+        at, kind = np.array([r[0] for r in ordered], np.int64), np.array([r[2] for r in ordered], np.int64)
+        summary = tuple(a.to_pylist()[0] for a in summarise(np.zeros(1, np.int64), at, kind, self.threshold).arrays())
+        if self.width is not None:
+            self.handle.registerTimer((bucket + self.width) // 1000)
+        before = self.last.get() if self.last.exists() else None
+        if before is None or (*before[:2], list(before[2]), *before[3:]) != summary:
+            self.last.update(summary)
+            yield pd.DataFrame([(company, bucket, *summary)], columns=["company_id", "bucket", *SUMMARY_COLUMNS]).astype({"hit_at": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The bucket is closed: the sink has its summary, and no row of it will come."""
+        self.rows.clear()
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def bucket_summaries(stream: DataFrame, threshold: int, bucket: str = "day", lateness: str | None = None) -> DataFrame:
+    """(company_id, bucket in microseconds, summary columns) of the buckets that a batch of outcomes changes.
+
+    Outcomes without company or time are left out. With a `lateness`, such as "7 days", rows later
+    than that are dropped and buckets older than that are closed.
+    """
+    rows = stream.where(F.col("company_id").isNotNull() & F.col("ts").isNotNull())
+    if lateness is not None:
+        rows = rows.withWatermark("ts", lateness)
+    rows = rows.select(
+        F.col("company_id").cast("bigint").alias("company_id"), F.unix_micros(F.date_trunc(bucket, "ts")).alias("bucket"), "ts",
+        F.unix_micros("ts").alias("at"), F.col("seq").cast("bigint").alias("seq"), kind_code(F.col("kind")).cast("int").alias("kind"),
+    )
+    processor = BucketSummaries(threshold, _WIDTHS[bucket] if lateness is not None else None)
+    mode = "EventTime" if lateness is not None else "None"
+    return rows.groupBy("company_id", "bucket").transformWithStateInPandas(processor, BUCKETS, "Update", mode)
+
+
+def merge_buckets(stored: DataFrame, changed: DataFrame, threshold: int, closed: int | None = None) -> DataFrame:
+    """Stored summaries with the changed ones in place.
+
+    Buckets of the touched companies that began before `closed` become one, named by the first of them.
+    """
+    after = stored.join(changed.select("company_id", "bucket"), ["company_id", "bucket"], "left_anti").unionByName(changed)
+    if closed is None:
+        return after
+    touched = changed.select("company_id").distinct()
+    mine = after.join(touched, "company_id", "left_semi")
+    first = mine.where(F.col("bucket") < closed).groupBy("company_id").agg(F.min("bucket").alias("_first"))
+    mine = mine.join(first, "company_id", "left").withColumn("_slot", F.when(F.col("bucket") < closed, F.col("_first")).otherwise(F.col("bucket")))
+    whole = fold(mine, ["company_id", "_slot"], ["bucket"], threshold).withColumnRenamed("_slot", "bucket")
+    return after.join(touched, "company_id", "left_anti").unionByName(whole)
 
 
 def start_streaks(
@@ -62,40 +108,51 @@ def start_streaks(
     events_path: str | None = None,
     threshold: int = rules.DISABLE_AFTER_404,
     checkpoint: str | None = None,
+    bucket: str = "day",
+    lateness: str | None = None,
 ) -> StreamingQuery:
     """Keeps `table` up to date; disable events go to one folder per batch under `events_path`.
 
-    The outcomes are logged next to the stream's checkpoint, one folder per batch.
+    Summaries are kept in the table `<table>_buckets`. Without `lateness` every outcome counts however
+    late it comes, and buckets stay open. Uses the RocksDB state store.
     """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     checkpoint = checkpoint or f"{shared_folder(spark)}/streams/{table}"
-    log = f"{checkpoint}-outcomes"
+    stored = f"{table}_buckets"
+    if not spark.catalog.tableExists(stored):
+        tables.write_version(spark.createDataFrame([], BUCKETS), stored, "start")
     if not spark.catalog.tableExists(table):
         tables.write_version(spark.createDataFrame([], STREAKS), table, "start")
 
-    def each(outcomes: DataFrame, batch_id: int) -> None:
-        session = outcomes.sparkSession
-        mark = f"b{batch_id}"
-        before = session.table(table)
-        if tables.applied_mark(session, table) == mark:
+    def each(changed: DataFrame, batch_id: int) -> None:
+        session, mark = changed.sparkSession, f"b{batch_id}"
+        before, done = session.table(table), tables.applied_mark(session, table)
+        if done == mark:
             return
-        outcomes.select("company_id", "ts", "seq", "kind").write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
-        history = session.read.parquet(log)
-        batch = history.filter(F.col("batch_id") == batch_id).drop("batch_id")
-        after = tables.stage_version(fold_batch(before, batch, history.drop("batch_id"), threshold), table, mark)
+        # written once: the state operator must not run again for every reader
+        changed = tables.stage_version(changed, f"{table}_changed", mark)
+        if tables.applied_mark(session, stored) != mark:
+            # event time has passed these: later rows than the batches before allow are dropped by the watermark
+            last = F.timestamp_micros(F.max("bucket"))
+            closed = session.table(stored).agg(F.unix_micros(F.date_trunc(bucket, last - F.expr(f"INTERVAL {lateness}")))).first()[0] if lateness else None
+            after = tables.stage_version(merge_buckets(session.table(stored), changed, threshold, closed), stored, mark)
+            tables.publish_version(session, stored, mark, after.columns)
+        touched = changed.select("company_id").distinct()
+        now = streaks_of(fold(session.table(stored).join(touched, "company_id", "left_semi"), ["company_id"], ["bucket"], threshold), threshold)
+        after = tables.stage_version(before.join(touched, "company_id", "left_anti").unionByName(now), table, mark)
         if events_path:
-            fresh = after.filter(F.col("disabled_at").isNotNull()).join(
-                before.filter(F.col("disabled_at").isNotNull()).select("company_id"), "company_id", "left_anti"
-            )
-            fresh.select("company_id", "streak", "disabled_at").write.mode("overwrite").parquet(
-                f"{events_path}/batch_id={batch_id}"
-            )
-        tables.publish_version(session, table, mark, [c.split()[0] for c in STREAKS.split(", ")])
+            known = before.filter(F.col("disabled_at").isNotNull()).select("company_id")
+            events = after.filter(F.col("disabled_at").isNotNull()).join(known, "company_id", "left_anti")
+            events.write.mode("overwrite").parquet(f"{events_path}/batch_id={batch_id}")
+        tables.publish_version(session, table, mark, after.columns)
         # readers of the version before may still be at work
-        tables.drop_versions(session, table, [mark, f"b{batch_id - 1}"])
+        for name in (table, stored):
+            tables.drop_versions(session, name, [mark, done or mark])
+        tables.drop_versions(session, f"{table}_changed", [mark])
 
     return (
-        stream.writeStream.foreachBatch(each)
-        .option("checkpointLocation", checkpoint)
+        bucket_summaries(stream, threshold, bucket, lateness).writeStream.foreachBatch(each)
+        .outputMode("update").option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
