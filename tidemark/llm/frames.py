@@ -33,12 +33,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     """(text, y) of at most `most` labelled documents that are not held out, the first by hash of id.
 
     `most` bounds what a fit reads, and is why the ids may be broadcast. Null ids and labels are
-    skipped; of an id labelled twice the larger label holds.
+    skipped; of an id labelled twice the larger label holds, and of an id with several rows one is taken.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # of an id that many rows repeat the first text by length and content stands for all
+    return rows.groupBy("doc_id").agg(F.min(F.struct(F.length("text").alias("size"), "text")).alias("first"), F.first("y").alias("y")).select("first.text", "y")
 
 
 def fresh(columns: list[str], name: str) -> str:

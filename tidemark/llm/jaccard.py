@@ -11,9 +11,11 @@ Tokens that a sample of documents holds often come last in every order, so passa
 documents share do not meet. The sample (`SAMPLE_SHARE` of the documents, `FREQUENT` tokens at
 most) only shapes the orders; any order gives the same result.
 
-The result is the components of the links. Equal sets are one node. Before pairs are formed, each
-node is compared with the hub of its prefix tokens, so a large group of near copies is one
-component already and its inner pairs are never formed; links between components are found in full.
+The result is the components of the links. Equal sets are one node. Before pairs are formed, rounds of
+hubs join most of a large group of near copies: a token has one hub a round, by another hash each
+time, and each node is compared with one hub of another component. A round is linear in the postings.
+When rounds find little more, what still lies between components is found in full, so the inner pairs
+of a group are never formed and no link is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.components import connected
 from tidemark.llm.frames import staged
@@ -36,6 +38,11 @@ DEEPER = 0.03
 # longs of a parity sketch
 SKETCH = 16
 BROADCAST_IDS = 1_000_000
+BROADCAST_GROUPS = 250_000
+# rounds of hubs go on while one finds more than so many of the links of the first
+ROUND_SHARE = 0.02
+# longs that a task keeps of sets it may need again
+KEPT_LONGS = 1 << 20
 SKETCHED = [f"k{i}" for i in range(SKETCH)]
 _TOP = np.uint64(1 << 63)
 _SEEDS = mix(np.arange(1, 17, dtype=np.uint64))
@@ -87,17 +94,18 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
         yield shingles(words.hash[words.first[i] : words.first[i + 1]], width)
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2) and the parity sketch of each row."""
+def signatures(docs: DataFrame, width: int, with_text: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, s1, s2) and the parity sketch of each row, and its text where asked for."""
     names = ["n_shingles", "s1", "s2", *SKETCHED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows = np.array([(len(t), *signature(t), *parity_sketch(t)) for t in _sets(batch, width)], np.int64)
             columns = [pa.array(c) for c in rows.reshape(-1, len(names)).T]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *names])
+            more = [batch.column("text")] if with_text else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, *more], names=["doc_id", *names, *["text"][: len(more)]])
 
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *names)))
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *names)) + (", text string" if with_text else ""))
 
 
 def frequent_tokens(docs: DataFrame, width: int, share: float) -> np.ndarray:
@@ -198,8 +206,12 @@ def can_link(c: Column, n_a: Column, n_b: Column, percent: int) -> Column:
 
 def near_enough(n_a: Column, n_b: Column, bits: list[tuple[Column, Column]], percent: int) -> Column:
     """Whether the sketches allow a link; true where one is missing."""
-    apart = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in bits[1:]), F.bit_count(bits[0][0].bitwiseXOR(bits[0][1])))
-    return F.coalesce(apart <= n_a + n_b - 2 * _needed(n_a, n_b, percent), F.lit(True))
+    return F.coalesce(bits_apart(bits) <= n_a + n_b - 2 * _needed(n_a, n_b, percent), F.lit(True))
+
+
+def bits_apart(bits: list[tuple[Column, Column]]) -> Column:
+    """Bits in which two sketches differ."""
+    return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in bits[1:]), F.bit_count(bits[0][0].bitwiseXOR(bits[0][1])))
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -218,7 +230,7 @@ def verified(pairs: DataFrame, docs: DataFrame, frequent, width: int, percent: i
     second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, known = frequent.value, {}
+        common, known, held = frequent.value, {}, 0
 
         def prefixes(tokens: np.ndarray) -> tuple:
             return tokens, [np.sort(prefix(tokens, common, k, percent)) for k in range(1, orders)]
@@ -227,12 +239,12 @@ def verified(pairs: DataFrame, docs: DataFrame, frequent, width: int, percent: i
             keep = []
             others = batch.column("text_b").to_pylist()
             for tokens, b, other in zip(_sets(batch, width), batch.column("b").to_pylist(), others, strict=True):
-                key = (b, len(other))
-                if key not in known:
-                    if len(known) > 200:
-                        known.clear()
-                    known[key] = prefixes(next(_sets(pa.RecordBatch.from_arrays([pa.array([other])], names=["text"]), width)))
-                tokens_b, prefixes_b = known[key]
+                if b not in known:
+                    if held > KEPT_LONGS:
+                        known, held = {}, 0
+                    known[b] = prefixes(next(_sets(pa.RecordBatch.from_arrays([pa.array([other])], names=["text"]), width)))
+                    held += 2 * len(known[b][0])
+                tokens_b, prefixes_b = known[b]
                 tokens, prefixes_a = prefixes(tokens)
                 pass_all = all(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(prefixes_a, prefixes_b, strict=True))
                 common_tokens = len(np.intersect1d(tokens, tokens_b, assume_unique=True)) if pass_all else 0
@@ -266,52 +278,103 @@ def _between(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("u", "v")
 
 
+def _copies_of(keys: list[str], named: DataFrame) -> DataFrame:
+    """`named` with the node of its set, the smallest id that has it: only sets of several rows are joined."""
+    groups = staged(named.groupBy(*keys).agg(F.min("doc_id").alias("node"), F.count("*").alias("n_rows")).where("n_rows > 1").drop("n_rows"), "copies")
+    # a set that very many rows have must not be dealt to one task
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+    return named.join(groups, keys, "left").withColumn("node", F.coalesce("node", "doc_id"))
+
+
+def _own_nodes(docs: DataFrame, named: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(texts by node, nodes of ids with several sets): each set of such an id gets a number of its own that is no id."""
+    keys = ["n_shingles", "s1", "s2"]
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    many = named.groupBy("doc_id").agg(F.min(F.struct(*keys)).alias("low"), F.max(F.struct(*keys)).alias("high")).where("low <> high").select("doc_id")
+    many = staged(many, "repeated-ids")
+    n = many.count()
+    if n == 0:
+        return texts, named.select("doc_id", F.col("doc_id").alias("node")).limit(0)
+    side = F.broadcast(many) if n <= BROADCAST_IDS else many
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    number = F.monotonically_increasing_id()
+    number = number + F.lit(1 << 62) if high < 1 << 62 else number - F.lit((1 << 63) - 1) if low > -(1 << 62) else F.xxhash64("doc_id", *keys)
+    sets = staged(named.join(side, "doc_id", "left_semi").select("doc_id", *keys).distinct(), "repeated-sets")
+    sets = staged(sets.withColumn("node", number), "own-nodes")
+    signed = signatures(texts.join(side, "doc_id", "left_semi"), width, with_text=True)
+    own = signed.join(sets, ["doc_id", *keys]).groupBy("node").agg(F.min("text").alias("text"))
+    return texts.join(side, "doc_id", "left_anti").unionByName(own.select(F.col("node").alias("doc_id"), "text")), sets.select("doc_id", "node", *keys)
+
+
+def _hub_pairs(posted: DataFrame, sketches: DataFrame, round_: int, percent: int) -> DataFrame:
+    """(node, hub): for each node the hub of another component that looks most alike, if one may link.
+
+    Each token has one hub a round, the first of its nodes by a hash of token and round, so a node meets
+    as many hubs as it has tokens and no token makes more rows than it has.
+    """
+    first = F.first(F.struct("node", "n", "component")).over(Window.partitionBy("token").orderBy(F.xxhash64("node", "token", F.lit(round_)), "node"))
+    rows = posted.withColumn("hub", first).where((F.col("component") != F.col("hub.component")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")))
+    pairs = rows.select("node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")).distinct()
+    of = lambda name: sketches.select(F.col("node").alias(name), *(F.col(k).alias(f"{name}_{k}") for k in SKETCHED))
+    met = pairs.join(of("node"), "node").join(of("hub"), "hub")
+    bits = [(F.col(f"node_{k}"), F.col(f"hub_{k}")) for k in SKETCHED]
+    likeness = F.struct((-bits_apart(bits) / (F.col("n") + F.col("hub_n"))).alias("near"), "hub")
+    return met.where(near_enough(F.col("n"), F.col("hub_n"), bits, percent)).groupBy("node").agg(F.max_by("hub", likeness).alias("hub"))
+
+
 def similar(docs: DataFrame, percent: int = 75, width: int = 5, orders: int = ORDERS, sample_share: float = SAMPLE_SHARE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of `docs` (doc_id, text).
 
     A set holds the distinct `width`-word shingles of the whole text, lower-cased A to Z; of fewer
     words, all of them as one. Sets link when their Jaccard similarity is at least `percent` percent.
     component_id is the smallest doc_id reachable. A null, empty or blank text has no set and is its
-    own component. A row without id has component null and links nothing. Rows that repeat an id
-    are one node with all their texts' links, each with its own size. Other columns are ignored.
+    own component. A row without id has component null and links nothing. Each set of an id that
+    several rows repeat is a node of its own, and the id links them, so all rows of an id have one
+    component, each with its own size. Other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keys = ["n_shingles", "s1", "s2"]
     signs = staged(signatures(docs, width), "signatures")
     named = signs.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    # equal sets: one row per task and set before the shuffle
-    groups = named.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("node"))
-    node_of = staged(named.join(groups, ["n_shingles", "s1", "s2"]).select("doc_id", "node").distinct(), "nodes-of")
-    ids = node_of.groupBy("doc_id").agg(
-        F.max(F.col("doc_id") == F.col("node")).alias("first"), F.min("node").alias("u"), F.max("node").alias("v")
-    )
-    ids = staged(ids.where(~F.col("first") | (F.col("u") != F.col("v"))), "copies")
-
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    copies = ids.where(~F.col("first")).select("doc_id")
+    texts, own = _own_nodes(docs, named, width)
+    # from here on a node is an id with one set, or a set of an id with several
+    own = staged(own, "own")
+    single = named.select("doc_id", *keys, *SKETCHED)
+    if not own.isEmpty():
+        sets = own.join(named, ["doc_id", *keys]).select(F.col("node").alias("doc_id"), *keys, *SKETCHED).dropDuplicates(["doc_id"])
+        single = single.join(own.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(sets)
+    node_of = staged(_copies_of(keys, single), "nodes-of")
+    copies = node_of.where("doc_id <> node").select("doc_id").distinct()
     alone = texts.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
     frequent = spark.sparkContext.broadcast(frequent_tokens(texts, width, sample_share))
-    posted = staged(shared_only(postings(alone, frequent, width, percent)), "postings")
-
-    # an id with several texts has several sets: they are linked by the id
-    nodes = staged(node_of.select("node").distinct().withColumn("component", F.col("node")), "components")
-    many = ids.where(F.col("u") != F.col("v")).select("doc_id", "u")
-    nodes = _relabelled(nodes, many.join(node_of, "doc_id").select("u", F.col("node").alias("v")).where(F.col("u") != F.col("v")))
+    posted = staged(shared_only(postings(alone, frequent, width, percent)).select("token", "node", "n", "pos"), "postings")
+    sketches = staged(node_of.where("doc_id = node").select("node", *SKETCHED).dropDuplicates(["node"]), "sketches")
+    nodes = staged(sketches.select("node", F.col("node").alias("component")), "components")
+    if not own.isEmpty():
+        # the sets of an id are linked by the id
+        ends = own.select(F.col("doc_id").alias("id"), F.col("node").alias("doc_id")).join(node_of.select("doc_id", "node"), "doc_id")
+        nodes = _relabelled(nodes, ends.join(ends.groupBy("id").agg(F.min("node").alias("u")), "id").select("u", F.col("node").alias("v")).where("u <> v"))
 
     a_b = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    near = posted.where((F.col("node") != F.col("hub")) & deep_enough(*map(F.col, ("n", "pos", "hub_n", "hub_pos")), percent))
-    counted = near.groupBy("node", "hub").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("hub_n").alias("hub_n"))
-    best = counted.where(can_link(F.col("c"), F.col("n"), F.col("hub_n"), percent)).groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-    links = verified(best.select(*a_b(F.col("node"), F.col("hub"))), texts, frequent, width, percent, orders)
-    nodes = _relabelled(nodes, _between(links, nodes))
-
-    labelled = _with_components(posted.select("token", "node", "n", "pos"), nodes)
-    # tokens that lie in one component only cannot link two
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("token")
-    labelled = labelled.join(mixed, "token")
-    # an id with several sets has no sketch of its own
-    one_set = named.join(many.select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("node"), *SKETCHED).distinct()
-    labelled = staged(labelled.join(one_set, "node", "left"), "mixed")
+    round_, found_first = 0, 0
+    while True:
+        labelled = _with_components(posted, nodes)
+        if round_:
+            # tokens that lie in one component only cannot link two
+            mixed = labelled.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("token")
+            labelled = staged(labelled.join(mixed, "token"), "mixed")
+            posted = labelled.drop("component")
+        pairs = _hub_pairs(labelled, sketches, round_, percent)
+        links = verified(pairs.select(*a_b(F.col("node"), F.col("hub"))), texts, frequent, width, percent, orders)
+        found = links.count()
+        nodes = _relabelled(nodes, _between(links, nodes))
+        found_first = found_first or found
+        if found <= ROUND_SHARE * found_first:
+            break
+        round_ += 1
+
+    labelled = staged(_with_components(posted, nodes).join(sketches, "node", "left"), "mixed")
     kept = ("node", "n", "pos", "component", *SKETCHED)
     x, y = (labelled.select("token", *(F.col(c).alias(f"{c}_{s}") for c in kept)) for s in "xy")
     met = x.join(y, "token").where(
@@ -324,6 +387,12 @@ def similar(docs: DataFrame, percent: int = 75, width: int = 5, orders: int = OR
     able = counted.where(can_link(F.col("c"), F.col("n_x"), F.col("n_y"), percent))
     links = verified(able.select(*a_b(F.col("node_x"), F.col("node_y"))), texts, frequent, width, percent, orders)
     nodes = _relabelled(nodes, _between(links, nodes))
-
-    final = node_of.join(nodes, "node").groupBy(F.col("doc_id").alias("_id")).agg(F.min("component").alias("_component"))
+    frequent.unpersist()
+
+    ids = node_of.select("doc_id", "node").join(nodes, "node").select("doc_id", "component")
+    if not own.isEmpty():
+        # numbers of sets give way to their ids, and a component is named by the smallest of these
+        ids = staged(ids.join(own.select(F.col("doc_id").alias("_id"), F.col("node").alias("doc_id")), "doc_id", "left").select(F.coalesce("_id", "doc_id").alias("doc_id"), "component"), "ids")
+        ids = ids.join(ids.groupBy("component").agg(F.min("doc_id").alias("_first")), "component").select("doc_id", F.col("_first").alias("component"))
+    final = ids.groupBy(F.col("doc_id").alias("_id")).agg(F.min("component").alias("_component"))
     return signs.join(final, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"))

@@ -16,9 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.frames import held_out, labelled_sample
+from tidemark.llm.frames import held_out, labelled_sample, staged
 from tidemark.llm.words import AS_IS, NOT_ALNUM, find_words, mix, range_hashes, slices
 
 SAMPLE = 12_000
@@ -79,100 +79,129 @@ class Swapper:
 
 
 def _rows(batches: Iterator[pa.RecordBatch], sets) -> Iterator[pa.RecordBatch]:
-    swap = Swapper(sets)
+    """(own, plus, minus, y): the features of a text, and of a text with swapped terms those that only it or only its copy has."""
+    swap, kind = Swapper(sets), pa.list_(pa.int32())
     for batch in slices(batches, "text"):
+        n = batch.num_rows
         texts = batch.column("text")
         swapped = [swap(t) for t in texts.to_pylist()]
-        both = pa.concat_arrays([texts.cast(pa.large_string()).fill_null(""), pa.array([t or "" for t in swapped], pa.large_string())])
-        number, feature = features(both)
-        cuts = np.searchsorted(number, np.arange(2 * len(texts) + 1))
-        own = [feature[cuts[i] : cuts[i + 1]].astype(np.int32) for i in range(2 * len(texts))]
-        n = len(texts)
-        other = [own[n + i] if swapped[i] is not None else None for i in range(n)]
-        kind = pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(own[:n], kind), pa.array(other, kind), batch.column("y").cast(pa.int32())], names=["own", "other", "y"]
-        )
-
-
-def fit(own: list[np.ndarray], other: list[np.ndarray | None], y: np.ndarray, lasso: float, penalty: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Features with weights, the weights, and the bias: proximal gradient steps with momentum."""
-    n = len(own)
-    counts = np.bincount(np.concatenate(own), minlength=1 << BITS)
-    names = np.flatnonzero(counts >= 3)
-    place = np.full(1 << BITS, -1, np.int32)
-    place[names] = np.arange(len(names))
-
-    def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        lengths = np.array([len(r) for r in rows], np.int64)
-        flat = place[np.concatenate(rows)] if len(rows) else np.zeros(0, np.int32)
-        number = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
-        known = flat >= 0
-        return number[known], flat[known]
-
-    row, col = sparse(own)
-    pairs = [i for i, o in enumerate(other) if o is not None]
-    swap_row, swap_col = sparse([own[i] for i in pairs] + [other[i] for i in pairs])
-    sign = np.where(swap_row < len(pairs), 1.0, -1.0)
-    swap_row = swap_row % max(1, len(pairs))
+        number, feature = features(texts.cast(pa.large_string()).fill_null(""))
+        own = np.split(feature.astype(np.int32), np.searchsorted(number, np.arange(1, n)))
+        plus, minus = [None] * n, [None] * n
+        some = [i for i in range(n) if swapped[i] is not None]
+        if some:
+            number, feature = features(pa.array([swapped[i] for i in some], pa.large_string()))
+            for i, other in zip(some, np.split(feature.astype(np.int32), np.searchsorted(number, np.arange(1, len(some)))), strict=True):
+                plus[i], minus[i] = np.setdiff1d(own[i], other, True), np.setdiff1d(other, own[i], True)
+        arrays = [pa.array(own, kind), pa.array(plus, kind), pa.array(minus, kind), batch.column("y").cast(pa.int32())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["own", "plus", "minus", "y"])
+
+
+class Sparse:
+    """Rows of features as one array of columns and the borders of rows; products go block by block."""
+
+    def __init__(self, columns: np.ndarray, sizes: np.ndarray, width: int, block: int = 1 << 18):
+        self.columns, self.borders, self.width = columns, np.concatenate([[0], np.cumsum(sizes)]), width
+        ends = np.searchsorted(self.borders, np.arange(block, self.borders[-1] + block, block), "left")
+        self.cuts = np.unique(np.concatenate([[0], np.minimum(ends, len(sizes)), [len(sizes)]]))
+
+    def _blocks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for i, j in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True):
+            yield i, j, self.columns[self.borders[i] : self.borders[j]], np.diff(self.borders[i : j + 1])
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        """Per row the sum of its features' weights."""
+        out = np.zeros(len(self.borders) - 1)
+        for i, j, columns, sizes in self._blocks():
+            out[i:j] = np.bincount(np.repeat(np.arange(j - i), sizes), weights=weights[columns], minlength=j - i)
+        return out
+
+    def back(self, values: np.ndarray) -> np.ndarray:
+        """Per feature the sum of its rows' values."""
+        out = np.zeros(self.width)
+        for i, j, columns, sizes in self._blocks():
+            out += np.bincount(columns, weights=np.repeat(values[i:j], sizes), minlength=self.width)
+        return out
+
+
+def fit(own: Sparse, plus: Sparse, minus: Sparse, y: np.ndarray, lasso: float, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Weights of all features and the bias: proximal gradient steps with momentum.
+
+    `plus` and `minus` have a row per text with a swapped copy: what only the text or only the copy has.
+    """
+    n, width, pairs = len(y), own.width, len(plus.borders) - 1
     target = y.astype(float)
     base = np.clip(target.mean(), 1e-3, 1 - 1e-3)
     # toxic rows are few; they count more, so that 0.5 lies between the two kinds
     heft = np.where(target > 0, np.sqrt((1 - base) / base), 1.0)
     bias = float(np.log(base / (1 - base)))
-    weights = np.zeros(len(names))
-    width = len(names)
+    weights = np.zeros(width)
 
-    def swaps(w: np.ndarray) -> np.ndarray:
+    def swaps(w: np.ndarray) -> np.ndarray | float:
         """Slope of the mean squared score change under swaps, as far as `w` causes it."""
         if not pairs:
             return 0.0
-        gap = np.bincount(swap_row, weights=sign * w[swap_col], minlength=len(pairs))
-        return 2 * penalty * np.bincount(swap_col, weights=sign * gap[swap_row], minlength=width) / len(pairs)
+        gap = plus.times(w) - minus.times(w)
+        return 2 * penalty * (plus.back(gap) - minus.back(gap)) / pairs
 
     # rare features may move further; all steps are then scaled by the steepest direction, so that none overshoots
-    frequency = np.bincount(col, minlength=width) / n
+    frequency = own.back(np.ones(n)) / n
     step = 1.0 / (np.sqrt(frequency * frequency.max()) + 1e-3) if width else weights
     v = np.sqrt(step)
     for _ in range(12 if width else 0):
         v /= np.linalg.norm(v)
         w = np.sqrt(step) * v
-        bend = 0.25 * np.bincount(col, weights=(heft * np.bincount(row, weights=w[col], minlength=n))[row], minlength=width) / n + swaps(w)
-        v = np.sqrt(step) * bend
+        v = np.sqrt(step) * (0.25 * own.back(heft * own.times(w)) / n + swaps(w))
     step = step / (1.1 * np.linalg.norm(v) + 1e-12) if width else step
     ahead, previous = weights.copy(), weights
     for k in range(rounds):
-        score = bias + np.bincount(row, weights=ahead[col], minlength=n)
-        error = heft * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - target)
-        slope = np.bincount(col, weights=error[row], minlength=len(names)) / n
-        slope += swaps(ahead)
+        error = heft * (1 / (1 + np.exp(-np.clip(bias + own.times(ahead), -30, 30))) - target)
+        slope = own.back(error) / n + swaps(ahead)
         bias -= float(error.mean() / heft.max())
         moved = ahead - step * slope
         weights = np.sign(moved) * np.maximum(np.abs(moved) - step * lasso, 0)
         ahead = weights + min(0.9, k / (k + 3)) * (weights - previous)
         previous = weights
-    used = np.flatnonzero(weights)
-    return names[used].astype(np.int64), weights[used], bias
+    return weights, bias
 
 
 def train(
     docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lasso: float = LASSO, penalty: float = SWAP_PENALTY, rounds: int = ROUNDS, sets=IDENTITY_TERMS
 ) -> tuple[np.ndarray, np.ndarray, float]:
-    """The model of at most `sample` labelled documents; without any, one that scores 0."""
-    rows = labelled_sample(docs, labels, "toxic", sample).mapInArrow(lambda b: _rows(b, sets), "own array<int>, other array<int>, y int")
+    """The model of at most `sample` labelled documents; without any, one that scores 0.
+
+    Features of fewer than three sampled documents are left out before rows reach the fit; the list of
+    the others is as long as there are hash values at most.
+    """
+    rows = staged(labelled_sample(docs, labels, "toxic", sample).mapInArrow(lambda b: _rows(b, sets), "own array<int>, plus array<int>, minus array<int>, y int"), "toxic-features")
+    names = rows.select(F.explode("own").alias("f")).groupBy("f").agg(F.count("*").alias("n")).where("n >= 3").select("f").toArrow().column("f").to_numpy()
+    names = np.sort(names)
+
+    def placed(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of known features and how many each row has."""
+        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        at = np.minimum(np.searchsorted(names, values), max(0, len(names) - 1))
+        known = names[at] == values if len(names) else np.zeros(len(values), bool)
+        upto = np.concatenate([[0], np.cumsum(known)])
+        return at[known].astype(np.int32), np.diff(upto[ends])
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, other, y = [], [], []
+        parts = {c: ([np.zeros(0, np.int32)], [np.zeros(0, np.int64)]) for c in ("own", "plus", "minus")}
+        y = [np.zeros(0, np.int32)]
         for batch in batches:
-            for name, to in (("own", own), ("other", other)):
+            y.append(batch.column("y").to_numpy())
+            for name, (columns, sizes) in parts.items():
                 lists = batch.column(name)
-                values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-                valid = lists.is_valid().to_numpy(zero_copy_only=False)
-                to.extend(values[ends[i] : ends[i + 1]].copy() if valid[i] else None for i in range(len(lists)))
-            y.extend(batch.column("y").to_pylist())
-        if y:
-            names, weights, bias = fit(own, other, np.array(y), lasso, penalty, rounds)
-            yield pa.RecordBatch.from_pydict({"names": [names], "weights": [weights], "bias": [bias]})
+                lists = lists if name == "own" else lists.filter(lists.is_valid())
+                for to, found in zip((columns, sizes), placed(lists), strict=True):
+                    to.append(found)
+        y = np.concatenate(y)
+        if len(y):
+            sparse = {name: Sparse(np.concatenate(columns), np.concatenate(sizes), len(names)) for name, (columns, sizes) in parts.items()}
+            parts.clear()
+            weights, bias = fit(**sparse, y=y, lasso=lasso, penalty=penalty, rounds=rounds)
+            used = np.flatnonzero(weights)
+            yield pa.RecordBatch.from_pydict({"names": [names[used].astype(np.int64)], "weights": [weights[used]], "bias": [bias]})
 
     found = rows.repartition(1).mapInArrow(one, "names array<long>, weights array<double>, bias double").collect()
     if not found:
