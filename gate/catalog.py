@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gate.registry import query
@@ -12,6 +14,7 @@ from tidemark import rules
 from tidemark.functions import variants
 from tidemark.operators import companies as catalog, metrics, streaks as failure_fold
 from tidemark.plans.cycle import NO_CAPTURE, unscraped
+from tidemark.session import shared_folder
 from tidemark.sources import targets
 
 NOW = "2002-02-02"
@@ -280,6 +283,26 @@ def failure_streaks_of_five(spark, d):
     return failure_fold.failure_streaks(outcomes(spark, d), threshold=5)
 
 
+# ---- files: written, and read back --------------------------------------------------------
+@query(
+    "target_lines",
+    """SELECT c_custkey + 2 AS line_number, CASE WHEN c_custkey % 7 = 3 THEN 'Target ' || c_custkey || chr(10) || '"of" two, lines' ELSE 'Target ' || c_custkey END AS name,
+      'https://t.example.com/' || c_custkey AS careers_url, CASE WHEN c_custkey % 3 = 0 THEN '{"board_token": "t' || c_custkey || '"}' END AS source_config_json FROM customer""",
+)
+def target_lines(spark, d):
+    """Targets as one CSV file, in the order of their keys, whose quoted fields hold quotes, commas and line breaks."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("Target "), k.cast("string"))
+    rows = table(spark, d, "customer").select(
+        F.when(k % 7 == 3, F.concat(name, F.lit('\n"of" two, lines'))).otherwise(name).alias("name"), F.col("c_mktsegment").alias("category"), F.lit("list").alias("source_list"),
+        F.concat(F.lit("https://t.example.com/"), k.cast("string")).alias("careers_url"), F.lit("lever").alias("source_type"),
+        F.when(k % 3 == 0, F.concat(F.lit('{"board_token": "t'), k.cast("string"), F.lit('"}'))).alias("source_config_json"), F.lit("1").alias("priority"), F.lit("yes").alias("enabled"), k,
+    )
+    folder = f"{shared_folder(spark)}/targets-{uuid.uuid4().hex}"
+    rows.repartition(1).sortWithinPartitions("c_custkey").drop("c_custkey").write.csv(folder, header=True, quote='"', escape='"')
+    return targets.read_targets(spark, folder).select("line_number", "name", "careers_url", "source_config_json")
+
+
 # ---- selection and summaries ---------------------------------------------------------------
 @query(
     "companies_to_scrape",

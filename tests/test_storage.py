@@ -33,6 +33,33 @@ def test_targets_file(spark, tmp_path):
     assert [(r.source_type, r.enabled, r.last_error) for r in normal] == [("greenhouse", True, None)] + [("unconfigured", False, "Needs ATS/source config")] * 2
 
 
+def test_records_across_many_splits(spark, tmp_path):
+    """Splits that begin inside a quoted field, blank lines, and line ends of two kinds: the same records as from the csv module."""
+    import csv
+    import io
+    import random
+
+    rng, rows = random.Random(8), []
+    for i in range(300):
+        text = "".join(rng.choice(['a', '"', ',', '\n', '\n\n', ' ', 'long words ']) for _ in range(rng.randint(0, 30)))
+        rows.append([f"n{i}", text, "l", f"https://x/{i}", "lever", "", "1", "yes"])
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows([HEADER.strip().split(","), *rows])
+    whole = out.getvalue().replace("https://x/7,lever,,1,yes\n", "https://x/7,lever,,1,yes\r\n\n  \n")
+    (tmp_path / "targets.csv").write_bytes(whole.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        read = targets.read_targets(spark, str(tmp_path / "targets.csv"))
+        got = read.orderBy("line_number").collect()
+        splits = spark.read.text(str(tmp_path / "targets.csv")).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert splits > 20
+    assert [(r.line_number, r.name, r.category or "", r.careers_url) for r in got] == [(k + 2, r[0], r[1], r[3]) for k, r in enumerate(rows)]
+
+
 def test_bad_targets(spark, tmp_path):
     path = tmp_path / "targets.csv"
     path.write_text(HEADER + "A,d,l,https://a,,,1,true\nB,d,l,https://b,,{not json},1,true\n,d,l,https://c,,,1,true\n")

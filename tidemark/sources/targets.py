@@ -18,21 +18,46 @@ def config_from_variant(document: Column) -> Column:
     return F.transform_values(entries, lambda _, v: V.to_text(v))
 
 
+def records(lines: DataFrame) -> DataFrame:
+    """(file, record, text) of CSV lines (file, block, n, value), where a quoted field may hold line breaks.
+
+    `block` is the file split a line stands in and n orders the lines of a split. A line begins a record
+    if an even number of quotes stands before it in its file. So quotes are counted per split first,
+    then records, and sums over the splits before tell each split's lines what came before them. A file
+    is read by as many tasks as it has splits. Blank lines between records are none and do not count.
+    """
+    split = ["file", "block"]
+    quoted = lines.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    upto = lambda amount, window: F.coalesce(F.sum(amount).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = Window.partitionBy("file").orderBy("block")
+    quotes = quoted.groupBy(*split).agg(F.sum("quotes").alias("sum")).select(*split, upto("sum", splits).alias("before"))
+    inside = Window.partitionBy(*split).orderBy("n")
+    opened = quoted.join(quotes, split).withColumn("open", (F.col("before") + upto("quotes", inside)) % 2 == 1)
+    opened = opened.where(F.col("open") | (F.trim(F.rtrim("value", F.lit("\r"))) != "")).withColumn("begins", (~F.col("open")).cast("int"))
+    counts = opened.groupBy(*split).agg(F.sum("begins").alias("sum")).select(*split, upto("sum", splits).alias("earlier"))
+    numbered = opened.join(counts, split).withColumn("record", F.col("earlier") + F.sum("begins").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # a line with all of its record needs no other
+    whole = ~F.col("open") & (F.col("quotes") % 2 == 0)
+    parts = numbered.where(~whole).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "n", "value"))).alias("parts"))
+    joined = parts.select("file", "record", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("text"))
+    return numbered.where(whole).select("file", "record", F.col("value").alias("text")).unionByName(joined).withColumn("text", F.rtrim("text", F.lit("\r")))
+
+
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
     """Raw target rows, all text, with `line_number` counting records from 2 within each file.
 
-    A quoted field may span lines, so each file is read by one task, in order; the record number
-    is the row's running id less the smallest one of its file.
+    Files share the columns of the first. Records are found in all splits of a file at once.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
-    missing = [c for c in rules.TARGET_COLUMNS if c not in raw.columns]
+    columns = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').columns
+    missing = [c for c in rules.TARGET_COLUMNS if c not in columns]
     if missing:
         raise ValueError(f"CSV missing required columns: {', '.join(missing)}")
-    numbered = raw.select(
-        *rules.TARGET_COLUMNS, F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n")
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value"
     )
-    first = F.min("n").over(Window.partitionBy("file"))
-    return numbered.withColumn("line_number", F.col("n") - first + 2).drop("n", "file")
+    fields = F.from_csv("text", ", ".join(f"`{c}` string" for c in columns), {"quote": '"', "escape": '"', "multiLine": "true"})
+    rows = records(lines).where(F.col("record") > 1).select(fields.alias("row"), F.col("record").cast("bigint").alias("line_number"))
+    return rows.select(*(F.col("row")[c].alias(c) for c in rules.TARGET_COLUMNS), "line_number")
 
 
 def parse_targets(raw: DataFrame) -> DataFrame:
