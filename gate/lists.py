@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gate.ingest import SQL_KEPT, SQL_SETTING, _PER_COMPANY, setting
-from gate.registry import query
+from gate.registry import ORACLES, query
 from gate.surrogates import SQL_STATE, companies, job_state, postings, sql_postings
 from tidemark.operators import companies as catalog, digest, ingest, lists, metrics
+from tidemark.session import shared_folder
+from tidemark.sources import sinks
 
 DAY = "1995-04-01"
 ZONE = "America/Los_Angeles"
@@ -167,6 +171,15 @@ def digest_document(spark, d):
     return digest.digest_document(chosen, DAY)
 
 
+@query("digest_stored", ORACLES["digest_document"])
+def digest_stored(spark, d):
+    """The document as the sink stores it, written twice for its day."""
+    folder = f"{shared_folder(spark)}/digest-{uuid.uuid4().hex}"
+    for _ in range(2):
+        sinks.write_digest(digest_document(spark, d), folder, DAY)
+    return spark.read.parquet(folder).select("subject", "html", "text")
+
+
 @query(
     "digest_metrics",
     f"""{_CANDIDATES} SELECT count(*) AS digest_candidates_count, count(*) AS digest_jobs_count, 'last 36 hours (UTC)' AS digest_window FROM cand""",

@@ -17,7 +17,7 @@ from gate.surrogates import (
 )
 from gate import sqltext
 from tidemark import rules, schemas
-from tidemark.plans.cycle import CycleTables, run_cycle
+from tidemark.plans.cycle import NO_CAPTURE, CycleTables, run_cycle
 from tidemark.session import shared_folder
 from tidemark.sources import captures, tables
 from tidemark.streaming import snapshots as snapshot_stream, streaks
@@ -54,8 +54,8 @@ def captured_snapshots(spark, d):
 
 
 # ---- a whole cycle -------------------------------------------------------------------------
-def cycle(spark, d):
-    """Captures of three providers, fetched into an empty state."""
+def bodies_of(spark, d):
+    """Captures of three providers."""
     rows = postings(spark, d)
     shapes = [
         ("greenhouse", F.struct(k().alias("id"), "title", F.col("url").alias("absolute_url"), iso().alias("updated_at")), '{"jobs":[', "]}"),
@@ -66,11 +66,18 @@ def cycle(spark, d):
     for i, (kind, item, opening, closing) in enumerate(shapes):
         part = captures_of(rows.filter(F.col("company_id") % 3 == i), F.to_json(item), opening, closing, kind)
         bodies = part if bodies is None else bodies.unionByName(part)
-    source = F.element_at(F.array(*[F.lit(s[0]) for s in shapes]), (F.col("id") % 3 + 1).cast("int"))
+    return bodies
+
+
+def cycle(spark, d, captured=None, failures=None):
+    """Captures of three providers, fetched into an empty state; companies come with so many failures."""
+    source = F.element_at(F.array(*map(F.lit, ("greenhouse", "lever", "ashby"))), (F.col("id") % 3 + 1).cast("int"))
     names = CycleTables(fresh("jobs"), fresh("companies"), fresh("postings"), buckets=8)
-    tables.write_version(companies(spark, d).withColumn("source_type", source), names.companies, "start")
+    owners = companies(spark, d).withColumns({"source_type": source, "consecutive_failures": (F.lit(0) if failures is None else failures).cast("int")})
+    tables.write_version(owners, names.companies, "start")
     tables.write_version(spark.createDataFrame([], schemas.JOBS), names.jobs, "start", "fingerprint_hash", 8)
-    return run_cycle(spark, bodies, "c1", F.lit("2002-01-02").cast("timestamp"), names=names, us_only=False)
+    captured = bodies_of(spark, d) if captured is None else captured
+    return run_cycle(spark, captured, "c1", F.lit("2002-01-02").cast("timestamp"), names=names, us_only=False), names
 
 
 @query(
@@ -80,7 +87,52 @@ def cycle(spark, d):
     FROM postings_v, (SELECT true AS is_active)""",
 )
 def cycle_jobs(spark, d):
-    return cycle(spark, d).jobs.select("company_id", "title", "url", "external_job_id", "is_active", "fingerprint_hash")
+    return cycle(spark, d)[0].jobs.select("company_id", "title", "url", "external_job_id", "is_active", "fingerprint_hash")
+
+
+# every fifth company answers 404, of every seventh there is no capture
+_FAILING = f"""WITH {sql_postings()}, seen_v AS (SELECT company_id, count(*) AS n FROM postings_v GROUP BY 1),
+  c_v AS (SELECT n_nationkey::BIGINT + 1 AS id, coalesce(n, 0) AS n, n IS NULL OR (n_nationkey + 1) % 7 = 3 AS missing, (n_nationkey + 1) % 5 = 2 AS gone, (n_nationkey + 1) % 2 AS before
+    FROM nation LEFT JOIN seen_v ON company_id = n_nationkey + 1)"""
+
+
+def stored_failing(spark, d):
+    """The captures with failures, written as the source stores them and read back."""
+    given = bodies_of(spark, d).where(F.col("company_id") % 7 != 3)
+    folder = f"{shared_folder(spark)}/{fresh('captures')}"
+    captures.write_captures(given.withColumn("status_code", F.when(F.col("company_id") % 5 == 2, 404).otherwise(200)), folder)
+    return captures.read_captures(spark, folder)
+
+
+@query(
+    "stored_captures",
+    f"""{_FAILING} SELECT id AS company_id, CASE WHEN gone THEN 'failed' ELSE 'ok' END AS outcome,
+      CASE WHEN gone THEN {quoted("Client error '404' for url 'https://example.com/api'")} END AS error FROM c_v WHERE NOT missing""",
+)
+def stored_captures(spark, d):
+    return captures.snapshots_from_captures(stored_failing(spark, d)).select("company_id", "outcome", "error")
+
+
+@query(
+    "cycle_companies",
+    f"""{_FAILING} SELECT id, NOT (gone AND NOT missing AND before + 1 >= 2) AS enabled, CAST(CASE WHEN missing THEN before WHEN gone THEN before + 1 ELSE 0 END AS INT) AS consecutive_failures,
+      CASE WHEN gone AND NOT missing THEN '404' END AS last_validation_status, CASE WHEN missing THEN '{NO_CAPTURE}' WHEN gone THEN 'not found' END AS last_error FROM c_v""",
+)
+def cycle_companies(spark, d):
+    """The stored companies after a cycle, read from their table."""
+    _, names = cycle(spark, d, stored_failing(spark, d), F.col("id") % 2)
+    error = F.when(F.col("last_validation_status") == "404", F.when(F.col("last_error").isNotNull(), F.lit("not found"))).otherwise(F.col("last_error"))
+    return tables.read_table(spark, names.companies).select("id", "enabled", "consecutive_failures", "last_validation_status", error.alias("last_error"))
+
+
+@query(
+    "cycle_counters",
+    f"""{_FAILING} SELECT id AS company_id, n AS jobs_seen_total, n AS jobs_inserted_total, 0::BIGINT AS jobs_skipped_international, 0::BIGINT AS inactive_jobs_marked
+    FROM c_v WHERE NOT missing AND NOT gone""",
+)
+def cycle_counters(spark, d):
+    counters = cycle(spark, d, stored_failing(spark, d))[0].counters
+    return counters.select("company_id", "jobs_seen_total", "jobs_inserted_total", "jobs_skipped_international", "inactive_jobs_marked")
 
 
 # ---- streams -------------------------------------------------------------------------------

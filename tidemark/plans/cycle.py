@@ -169,6 +169,7 @@ def run_cycle(
     for name in (names.companies, names.jobs):
         tables.require_table(spark, name)
     companies = tables.read_table(spark, names.companies)
+    earlier = {name: tables.applied_mark(spark, name) for name in (names.jobs, names.companies)}
     # kept under the mark: a repeated cycle scrapes the same companies, whatever its outcomes changed
     selection = f"{names.postings}_selection"
     if tables.applied_mark(spark, selection) != mark:
@@ -207,6 +208,10 @@ def run_cycle(
         outcome = spark.table(tables.version_table(names.companies, mark))
     for name in (names.postings, selection, f"{names.postings}_snapshots"):
         tables.drop_versions(spark, name, [mark])
+    # the version before stays for readers that still use it
+    for name, before in earlier.items():
+        if before != mark:
+            tables.drop_versions(spark, name, [mark, before or mark])
     failures = metrics.scrape_failures(outcome)
     jobs, current = tables.read_table(spark, names.jobs), tables.read_table(spark, names.companies)
     document = candidates = None
