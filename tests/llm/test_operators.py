@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -450,3 +451,73 @@ def test_parity_sketches_never_differ_more_than_sets():
         bits = np.bitwise_count(jaccard.parity_sketch(x) ^ jaccard.parity_sketch(y)).sum()
         assert bits <= len(np.setxor1d(x, y))
         assert (jaccard.parity_sketch(x) == jaccard.parity_sketch(x[::-1])).all()
+
+
+def test_hard_pages_are_read_in_linear_time(spark):
+    """Deep trees, open tags, stray ends and many kinds: no page fails, and twice the page takes some twice the time."""
+    made = {
+        "deep": lambda n: "<body>" + "<div class=x>" * n + "<p>inner words" + "</div>" * n,
+        "open": lambda n: "own words " + "<a " * n,
+        "quotes": lambda n: "own words " + "<a \" <a ' " * n,
+        "kinds": lambda n: "".join(f"<div class=c{i}>part {i}</div>" for i in range(n)),
+        "stray": lambda n: "<div>" * n + "own words" + "</section>" * n,
+    }
+    rows = [(k, f"http://{name}.example", page(5000)) for k, (name, page) in enumerate(made.items())]
+    rows += [(10 + k, "http://deep.example", f"<body>{'<div class=x>' * 3000}<p>Text {k} {'own words ' * 20}") for k in range(4)]
+    out = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[0] == "inner words" and out[1].startswith("own words <a <a") and out[2].startswith('own words <a "')
+    assert out[3].count("part") == 5000 and out[4] == "own words"
+    assert all(out[10 + k] == f"Text {k} {('own words ' * 20).strip()}" for k in range(4))
+    for name, page in made.items():
+        assert timed(lambda page=page: wrapper.extract(page(40_000), None)) < 6 * timed(lambda page=page: wrapper.extract(page(10_000), None)) + 2, name
+
+
+def timed(work):
+    start = time.process_time()
+    work()
+    return time.process_time() - start
+
+
+def test_tree_matching_is_brute_force():
+    """Heaviest pairing in order, next to all choices of rising places."""
+    rng = random.Random(16)
+    for _ in range(200):
+        places = rng.sample(range(9), rng.randint(0, 9))
+        weighed = [(p, rng.randint(1, 4)) for p in places]
+        best = 0
+        for chosen in range(1 << len(weighed)):
+            taken = [w for k, w in enumerate(weighed) if chosen >> k & 1]
+            if all(a[0] < b[0] for a, b in zip(taken, taken[1:])):
+                best = max(best, sum(w for _, w in taken))
+        total, which = wrapper._rising(weighed)
+        assert total == best == sum(weighed[n][1] for n in which) and [weighed[n][0] for n in which] == sorted(weighed[n][0] for n in which)
+
+
+INNER = "_id _hit _gone _left _said _stays _n_gone _n _spans _items _cut _own_items _own_n_hit _u _rank _bin _seed _sure _rest _last _moment _source _line _key said at key".split()
+
+
+@pytest.mark.parametrize("extra", [INNER, [f"own {k}" for k in range(9)][::-1], ["n_lines", "N_Removed", "items", "n_hit", "size", "taken", "a.b", "c`d"]])
+def test_columns_named_like_inner_ones(spark, extra):
+    """Columns of the input stay as they are, or are replaced where the docstring says so, and change no result."""
+    rng = random.Random(17)
+    item = prose(rng, 20)
+    rows = [(i, f"own line {i} {prose(rng, 20)}\nAll rights reserved now.\n{prose(rng, 500)} {item if i % 3 else ''}", f"s{i % 4}") for i in range(20)]
+    plain = docs(spark, rows + EDGES)
+    wide = plain.select("*", *(F.lit(f"own {c}").alias(c) for c in extra))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for work in (line_dedup.dedup_lines, mixing.mix, lambda d: decontaminate.contamination(d, bench), lambda d: decontaminate.decontaminated(d, bench)):
+        named = lambda r, columns: tuple(str(r[c]) for c in columns)
+        expected, found = work(plain), work(wide)
+        assert sorted(named(r, expected.columns) for r in found.collect()) == sorted(named(r, expected.columns) for r in expected.collect())
+        for c in set(extra) & set(found.columns) - set(expected.columns):
+            assert {r[c] for r in found.collect()} == {f"own {c}"}
+
+
+def test_line_dedup_of_many_lines(spark):
+    """A document of many thousand lines, a third of them boilerplate, and rows that repeat an id with other texts."""
+    lines = [f"line number {i} of many" for i in range(30_000)]
+    shared = [t for i, t in enumerate(lines) if i % 3 == 0]
+    rows = [(k, "\n".join(shared), f"s{k}") for k in range(3)] + [(7, "\n".join(lines), "s7"), (7, "some own line here\n" + shared[5], "s7"), (7, None, "s7")]
+    out = line_dedup.dedup_lines(docs(spark, rows)).collect()
+    texts = {r.text: r.n_removed for r in out if r.doc_id == 7}
+    assert texts == {"\n".join(t for i, t in enumerate(lines) if i % 3): 10_000, "some own line here": 1, None: 0}

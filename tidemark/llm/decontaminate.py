@@ -13,13 +13,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import IntegralType, StructType
 
+from tidemark.llm.frames import set_aside
 from tidemark.llm.words import NOT_ALNUM, chain, find_words, slices, text_bytes
 
 WORDS_PER_BLOCK = 200_000
 SEED = 3
-ADDED = ("n_words", "n_hit", "n_items", "spans", "items", "contaminated")
+ADDED = ("n_words", "spans", "items", "n_hit", "n_items", "contaminated")
 
 
 class Automaton:
@@ -180,8 +181,8 @@ def _scan(docs: DataFrame, items: list[tuple[str, list[bytes]]], window: int, co
             arrays = [*(batch.column(c) for c in columns), counts, pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "_n", "_spans", "_items"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.mapInArrow(run, f"{kinds}, _n bigint, _spans array<struct<first:bigint,end:bigint>>, _items array<string>")
+    added = StructType.fromDDL("_n bigint, _spans array<struct<first:bigint,end:bigint>>, _items array<string>")
+    return docs.mapInArrow(run, StructType([docs.schema[c] for c in columns] + added.fields))
 
 
 def contamination(
@@ -199,7 +200,8 @@ def contamination(
     words; null or wordless items are skipped; repeated items and rows count once and stay. Columns
     of `docs` named like the added ones are replaced. Map-only: one pass per block of the benchmark.
     """
-    out = docs.drop(*ADDED)
+    out, own = set_aside(docs.drop(*ADDED), ("text",))
+    own = [to for to, c in zip(own, out.columns, strict=True) if with_text or c != "text"]
     cut = blocks(benchmark, words_per_block)
     items, k = next(cut), 0
     while items is not None:
@@ -214,9 +216,9 @@ def contamination(
     if k > 1:
         out = out.withColumn("spans", _merged(F.array_sort("spans")))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
-    return out.withColumns({"items": F.array_sort("items"), "n_hit": hit, "n_items": F.size("items").cast("long")}).withColumn(
-        "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * coverage)
-    )
+    out = out.withColumns({"items": F.array_sort("items"), "n_hit": hit, "n_items": F.size("items").cast("long")})
+    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * coverage))
+    return out.select(*own, *ADDED)
 
 
 def _merged(spans):
@@ -240,13 +242,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, cove
     are those of `docs`; an integer n_chars follows the text where it was cut. What a cut brings
     together is not searched again. Nulls, blanks and repeats as in `contamination`.
     """
-    # columns of docs that are named like added ones step aside meanwhile
-    aside = {c: f"_own_{c}" for c in ADDED if c in docs.columns}
-    judged = contamination(docs.withColumnsRenamed(aside), benchmark, window, coverage).where(~F.col("contaminated"))
-    judged = judged.withColumn("_cut", F.filter("spans", lambda s: s["end"] - s["first"] > span_words)).drop(*ADDED)
-    judged = judged.withColumnsRenamed({new: old for old, new in aside.items()})
-    columns = docs.columns
-    sized = "n_chars" in columns and isinstance(docs.schema["n_chars"].dataType, IntegralType)
+    rows, own = set_aside(docs, ("text", "n_chars"))
+    judged = contamination(rows, benchmark, window, coverage).where(~F.col("contaminated"))
+    judged = judged.withColumn("_cut", F.filter("spans", lambda s: s["end"] - s["first"] > span_words))
+    columns = rows.columns
+    sized = "n_chars" in columns and isinstance(rows.schema["n_chars"].dataType, IntegralType)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -268,4 +268,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, cove
             arrays = [pa.array(changed[c], batch.column(c).type) if c in changed else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return judged.select(*docs.columns, "_cut").mapInArrow(cut, docs.schema)
+    return judged.select(*columns, "_cut").mapInArrow(cut, rows.schema).select(*own)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -43,6 +44,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     return rows.groupBy("doc_id").agg(F.min(F.struct(F.length("text").alias("size"), "text")).alias("first"), F.first("y").alias("y")).select("first.text", "y")
 
 
+def set_aside(df: DataFrame, needed: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """`df` with all columns but `needed` under names that no operator uses, and the columns that give it back as it was."""
+    keep = {n.lower() for n in needed}
+    names = {c: c if c.lower() in keep else f"own {k}" for k, c in enumerate(df.columns)}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return df.select(*(quoted(c).alias(n) for c, n in names.items())), [quoted(n).alias(c) for c, n in names.items()]
+
+
 def fresh(columns: list[str], name: str) -> str:
     """`name`, made longer until no column is called so in any case."""
     taken = {c.lower() for c in columns}

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.frames import staged
+from tidemark.llm.frames import set_aside, staged
 
 LG_BUCKETS = 9
 # The estimate of a 512-bucket sketch is off by 5 % as a rule; half and double are 10 times that.
@@ -29,15 +29,17 @@ def _word_count(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, min_words: int, with_short: bool = False) -> DataFrame:
-    """(doc_id, site, key) of each line of at least `min_words` words; key: 128 bits of the trimmed line's digest.
+    """(doc_id, site, said, at, key) of each line of at least `min_words` words.
 
-    `with_short`: also lines of one word or more, and whether a line is one of them (short).
+    said: hash of the whole text, at: number of the line in it, key: 128 bits of the trimmed line's
+    digest. `with_short`: also lines of one word or more, and whether a line is one of them (short).
     """
-    line = F.explode(F.split("text", "\n")).alias("_line")
-    trimmed = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("site"), line).withColumn("_line", line_key(F.col("_line")))
+    # the hash is taken before lines are made, or it would be taken for each of them
+    texts = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("site"), F.xxhash64("text").alias("said"), "text")
+    trimmed = texts.select("doc_id", "site", "said", F.posexplode(F.split("text", "\n")).alias("at", "_line")).withColumn("_line", line_key(F.col("_line")))
     short = [(_word_count(F.col("_line")) < min_words).alias("short")] if with_short else []
     least = min(1, min_words) if with_short else min_words
-    return trimmed.where(_word_count(F.col("_line")) >= least).select("doc_id", "site", _digest(F.col("_line")).alias("key"), *short)
+    return trimmed.where(_word_count(F.col("_line")) >= least).select("doc_id", "site", "said", "at", _digest(F.col("_line")).alias("key"), *short)
 
 
 def _digest(line: Column) -> Column:
@@ -77,7 +79,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3, min_words: int = 3, short_s
     first document stays too. Null and empty texts stay as they are with n_lines 0 and 1. Rows that
     repeat an id are all the first document. Columns named like the added ones are replaced.
 
-    Lines move as digests only; texts are joined once, by id, with the lines they lose.
+    Lines move as digests only; texts are joined once, by id and hash, with a mark for each of their
+    lines, so the work for a text grows with its length whatever it loses.
     """
     added = ["n_lines", "n_removed"]
     # digests are taken once; the passes over lines read them, not the texts
@@ -85,15 +88,24 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3, min_words: int = 3, short_s
     boilerplate = staged(line_spread(lines, min_sites, short_sites or min_sites), "boilerplate")
     hit = (
         lines.join(boilerplate, "key").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-        .groupBy("doc_id").agg(F.collect_set("key").alias("_gone"))
+        .groupBy(F.col("doc_id").alias("_hit"), F.col("said").alias("_said")).agg(F.array_sort(F.collect_set("at")).alias("_gone"))
     )
-    joined = docs.drop(*added).withColumn("_id", F.col("doc_id")).join(hit.withColumnRenamed("doc_id", "_hit"), F.col("_id").eqNullSafe(F.col("_hit")), "left")
+    hit = hit.select("_hit", "_said", F.size("_gone").cast("long").alias("_n_gone"), _kept_marks(F.col("_gone")).alias("_stays"))
+    rows, own = set_aside(docs.drop(*added), ("doc_id", "source", "text"))
+    joined = rows.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")) & (F.xxhash64("text") == F.col("_said")), "left")
     all_lines = F.split("text", "\n")
-    left = F.filter(all_lines, lambda l: ~F.array_contains("_gone", _digest(line_key(l))))
-    out = joined.withColumn("n_lines", F.coalesce(F.size(all_lines), F.lit(0)).cast("long")).withColumn("_left", F.when(F.col("_gone").isNull(), all_lines).otherwise(left))
-    return out.withColumns(
+    left = F.filter(all_lines, lambda line, i: F.coalesce(F.get("_stays", i), F.lit(True)))
+    done = joined.withColumns(
         {
-            "n_removed": F.coalesce(F.col("n_lines") - F.size("_left"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n")),
+            "n_lines": F.coalesce(F.size(all_lines), F.lit(0)).cast("long"),
+            "n_removed": F.coalesce("_n_gone", F.lit(0).cast("long")),
+            "text": F.when(F.col("_stays").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")),
         }
-    ).drop("_id", "_hit", "_gone", "_left")
+    )
+    return done.select(*own, *added)
+
+
+def _kept_marks(gone: Column) -> Column:
+    """For each line up to the last of `gone` (sorted numbers) whether it stays."""
+    upto = lambda at, i: at - F.when(i == 0, -1).otherwise(F.get(gone, i - 1)) - 1
+    return F.flatten(F.transform(gone, lambda at, i: F.concat(F.array_repeat(F.lit(True), upto(at, i)), F.array(F.lit(False)))))

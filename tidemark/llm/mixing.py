@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.frames import staged
+from tidemark.llm.frames import set_aside, staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BINS = 4096
@@ -116,10 +116,11 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, sh
     """
     plan = source_plan(docs, seed, weights, share, most)
     added = ["size", "source_size", "target", "copies", "taken"]
-    rows = docs.drop(*added).withColumn("size", word_count(F.col("text")))
+    rows, own = set_aside(docs.drop(*added), ("doc_id", "source", "text"))
+    rows = rows.withColumn("size", word_count(F.col("text")))
     rows = _ranked(with_plan(rows, plan), seed, most)
     # struct order puts null ids first, as the window does
     before = (F.col("_bin") < F.col("_last")) | (F.col("_last").isNull() & F.col("_bin").isNotNull()) | (F.struct("_rank", "doc_id") <= F.col("_cut"))
     more = F.when(F.col("_rank").isNotNull() & before, 1).otherwise(0)
     rows = rows.withColumn("copies", F.col("_sure") + more).withColumn("taken", F.col("copies") * F.col("size"))
-    return rows.select(*docs.drop(*added).columns, *added)
+    return rows.select(*own, *added)

@@ -45,8 +45,8 @@ FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN least_of USING (doc_id)"""
 LINE_DEDUP = rf"""WITH raw AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
   l AS (SELECT doc_id, coalesce(source, '') AS site, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM raw),
   t AS (SELECT *, regexp_replace(line, '^{_BLANK}|{_BLANK}$', '', 'g') AS trimmed, len(regexp_extract_all(line, '{_WORD}')) AS n_words FROM l),
-  b AS (SELECT trimmed, min(doc_id) AS first_doc FROM t WHERE n_words >= 3 GROUP BY 1 HAVING count(DISTINCT site) >= 3),
-  j AS (SELECT t.*, coalesce(first_doc <> doc_id AND n_words >= 3, false) AS gone FROM t LEFT JOIN b USING (trimmed)),
+  b AS (SELECT trimmed, min(doc_id) AS first_doc FROM t WHERE n_words >= 1 GROUP BY 1 HAVING count(DISTINCT site) >= CASE WHEN max(n_words) >= 3 THEN 3 ELSE 6 END),
+  j AS (SELECT t.*, coalesce(first_doc <> doc_id AND n_words >= 1, false) AS gone FROM t LEFT JOIN b USING (trimmed)),
   d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM j GROUP BY 1)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS text_sha256
 FROM documents LEFT JOIN d USING (doc_id)"""
