@@ -123,14 +123,14 @@ def discovery_targets(spark, d):
     )
 
 
-def applied(spark, d):
-    targets = discovery_targets(spark, d)
+def applied(spark, d, targets=None, **options):
+    targets = discovery_targets(spark, d) if targets is None else targets
     probes = targets.select(
         F.col("id").alias("company_id"), now().alias("probed_at"), F.when(F.col("id") % 2 == 0, 200).otherwise(500).alias("status_code"),
         F.lit('{"x": "jobs.gem.com icims /jobs/ workday"}').alias("body"), F.lit(None).cast("string").alias("error"),
         F.lit(None).cast("int").alias("rendered_status"), F.lit(None).cast("string").alias("rendered_error"),
     )
-    return catalog.apply_discovery(targets, results(spark, d), probes)
+    return catalog.apply_discovery(targets, results(spark, d), probes, **options)
 
 
 @query(
@@ -144,6 +144,34 @@ def discovery_applied(spark, d):
     return applied(spark, d)[0].select("id", "source_type", "enabled", "last_error")
 
 
+def some_configured(spark, d):
+    """Discovery targets of which every third has a source already."""
+    has = F.col("id") % 3 == 0
+    return discovery_targets(spark, d).withColumns({"source_type": F.when(has, "lever").otherwise(F.col("source_type")), "enabled": has | F.col("enabled")})
+
+
+@query(
+    "discovery_spares_configured",
+    f"""{_FOUND} SELECT company_id AS id, CASE WHEN company_id % 3 = 0 THEN 'lever' WHEN bucket = 'configured_supported' THEN provider ELSE 'unconfigured' END AS source_type,
+      company_id % 3 = 0 OR bucket = 'configured_supported' AND company_id % 2 = 0 AS enabled,
+      CASE WHEN company_id % 3 = 0 OR bucket = 'errors' THEN 'old' WHEN bucket = 'configured_supported' THEN CASE WHEN company_id % 2 = 1 THEN 'HTTP 500' END ELSE reason END AS last_error
+    FROM result_v""",
+)
+def discovery_spares_configured(spark, d):
+    """Companies that have a source keep it, whatever was found on their pages."""
+    return applied(spark, d, some_configured(spark, d))[0].select("id", "source_type", "enabled", "last_error")
+
+
+@query(
+    "discovery_replaces_configured",
+    f"""{_FOUND} SELECT company_id AS id, CASE WHEN bucket = 'errors' AND company_id % 3 = 0 THEN 'lever' WHEN bucket = 'configured_supported' THEN provider ELSE 'unconfigured' END AS source_type,
+      CASE WHEN bucket = 'errors' THEN company_id % 3 = 0 ELSE bucket = 'configured_supported' AND company_id % 2 = 0 END AS enabled FROM result_v""",
+)
+def discovery_replaces_configured(spark, d):
+    """The same targets where finds replace what is configured."""
+    return applied(spark, d, some_configured(spark, d), replace_configured=True)[0].select("id", "source_type", "enabled")
+
+
 @query(
     "discovery_counters",
     f"""{_FOUND} SELECT count(*) AS processed, {', '.join(f"count(*) FILTER (WHERE bucket = '{b}') AS {b}" for b in ('configured_supported', 'detected_unsupported', 'still_unknown', 'errors'))},

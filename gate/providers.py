@@ -230,6 +230,25 @@ def description_cap(spark, d):
     )
 
 
+@query(
+    "description_cut",
+    """SELECT CAST(doc_id AS VARCHAR) AS external_job_id, length(text) AS n_whole, length(substring(text, 1, 1000)) AS n, sha256(substring(text, 1, 1000)) AS digest
+    FROM documents""",
+)
+def description_cut(spark, d):
+    """All documents as job contents, read with a cap of 1000 characters and with none."""
+    rows = table(spark, d, "documents").select(
+        ((F.col("doc_id") % 25) + 1).alias("company_id"), F.lit("2002-01-01").cast("timestamp").alias("cycle_ts"),
+        F.col("doc_id").alias("ordinal"), "text",
+    )
+    item = F.to_json(F.struct(F.col("ordinal").alias("id"), F.col("text").alias("descriptionPlain")))
+    bodies = captures_of(rows, item, "[", "]", "lever")
+    cut, whole = (collect_postings(bodies, companies(spark, d), description_cap=cap) for cap in (1000, None))
+    whole = whole.select("external_job_id", F.length("description_text").cast("bigint").alias("n_whole"))
+    cut = cut.select("external_job_id", F.length("description_text").cast("bigint").alias("n"), F.sha2("description_text", 256).alias("digest"))
+    return cut.join(whole, "external_job_id")
+
+
 @query(
     "all_provider_postings",
     f"""WITH {sql_postings()} SELECT company_id, CASE company_id % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' ELSE 'ashby' END AS source_type,

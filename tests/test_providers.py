@@ -167,3 +167,7 @@ def test_every_source_type_is_combined_and_methods_are_chosen(spark):
     ], schemas.ANCHORS)
     counts = {r.source_type: r["count"] for r in collect_postings(captures, owners, anchors).groupBy("source_type").count().collect()}
     assert counts == {"greenhouse": 1, "lever": 1, "ashby": 1, "smartrecruiters": 1, "icims": 3, "gem": 2, "workday": 1, "generic_playwright": 1}
+    # caps are parameters: three links of a page, of which one or all are kept
+    links = spark.createDataFrame([(8, CYCLE, 0, "https://g.com/", i, f"/jobs/{i}", f"Engineer {i}", None, 0) for i in range(3)], schemas.ANCHORS)
+    kept = {cap: collect_postings(captures, owners, links, link_cap=cap).where("source_type = 'generic_playwright'").count() for cap in (1, 2, None)}
+    assert kept == {1: 1, 2: 2, None: 3}

@@ -337,16 +337,21 @@ def companies_to_discover(companies: DataFrame, limit: int | None = None) -> Dat
 
 
 def apply_discovery(
-    companies: DataFrame, discovered: DataFrame, probes: DataFrame
+    companies: DataFrame, discovered: DataFrame, probes: DataFrame, replace_configured: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(companies after source discovery, counters).
 
+    Results of companies that have a source are neither applied nor counted, unless
+    `replace_configured`.
+
     Supported finds are configured, and enabled when their probe is valid; otherwise the company
     stays unconfigured with the reason noted. Companies whose landing page failed keep their row.
     """
     found = discovered.select(F.col("company_id").alias("id"), F.struct(*discovered.columns).alias("d"))
     supported = F.col("d.bucket") == "configured_supported"
     target = companies.join(found, "id", "left")
+    if not replace_configured:
+        target = target.withColumn("d", F.when(F.col("source_type") == rules.UNCONFIGURED, F.col("d")))
     proposed = target.filter(supported).select(
         "id",
         "name",

@@ -77,15 +77,16 @@ def _p(name: str) -> Column:
     return F.col(f"p_{name}")
 
 
-def _capped(text: Column) -> Column:
-    return F.substring(text, 1, rules.DESCRIPTION_CAP)
+def _capped(text: Column, most: int | None) -> Column:
+    """The first `most` characters of a description; None: all of it."""
+    return text if most is None else F.substring(text, 1, most)
 
 
 def _type_error(name: str, value: Column) -> Column:
     return F.when(V.not_text(value), F.lit(name))
 
 
-def greenhouse(captures: DataFrame) -> DataFrame:
+def greenhouse(captures: DataFrame, description_cap: int | None = rules.DESCRIPTION_CAP) -> DataFrame:
     items = _items(
         captures,
         lambda doc: V.field(doc, "jobs"),
@@ -102,14 +103,14 @@ def greenhouse(captures: DataFrame) -> DataFrame:
             F.nullif(V.string(_f("location")), F.lit(""))
         ),
         url=V.text_or(_p("url"), F.col("careers_url")),
-        description_text=_capped(V.to_text(_f("content"))),
+        description_text=_capped(V.to_text(_f("content")), description_cap),
         posted_at=V.timestamp(_p("posted"), "s"),
         raw_payload=F.to_json("item"),
         type_errors=F.array(_type_error("location", _f("location.name"))),
     )
 
 
-def lever(captures: DataFrame) -> DataFrame:
+def lever(captures: DataFrame, description_cap: int | None = rules.DESCRIPTION_CAP) -> DataFrame:
     items = _items(
         captures,
         lambda doc: doc,
@@ -131,13 +132,13 @@ def lever(captures: DataFrame) -> DataFrame:
             V.string(_f("categories.location")), F.when(F.size(_p("places")) > 0, F.array_join(_p("places"), ", "))
         ),
         url=V.text_or(_p("url"), F.col("careers_url")),
-        description_text=_capped(V.to_text(V.first_truthy(_f("descriptionPlain"), _f("description")))),
+        description_text=_capped(V.to_text(V.first_truthy(_f("descriptionPlain"), _f("description"))), description_cap),
         posted_at=V.timestamp(V.first_truthy(_f("createdAt"), _f("updatedAt")), "ms"),
         raw_payload=F.to_json("item"),
     )
 
 
-def ashby(captures: DataFrame) -> DataFrame:
+def ashby(captures: DataFrame, description_cap: int | None = rules.DESCRIPTION_CAP) -> DataFrame:
     place = V.first_truthy(_f("location"), _f("locationName"))
     items = _items(
         captures,
@@ -160,7 +161,7 @@ def ashby(captures: DataFrame) -> DataFrame:
         employment_type=V.to_text(_f("employmentType")),
         url=V.text_or(_p("url"), F.col("careers_url")),
         description_text=_capped(
-            V.to_text(V.first_truthy(_f("descriptionPlain"), _f("descriptionHtml"), _f("description")))
+            V.to_text(V.first_truthy(_f("descriptionPlain"), _f("descriptionHtml"), _f("description"))), description_cap
         ),
         posted_at=V.timestamp(V.first_truthy(_f("publishedDate"), _f("updatedAt")), None),
         raw_payload=F.to_json("item"),
@@ -175,7 +176,9 @@ def page_setting(*keys: str) -> Column:
     return strip_right(F.coalesce(setting(F.col("source_config"), *keys), F.col("careers_url")), "/")
 
 
-def workday(captures: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def workday(
+    captures: DataFrame, keep: tuple[str, ...] = (), description_cap: int | None = rules.DESCRIPTION_CAP
+) -> DataFrame:
     captures = with_computed(captures, careers=page_setting("careers_url", "page_url"))
     careers = F.col("careers")
 
@@ -216,7 +219,7 @@ def workday(captures: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         title=V.text_or(_p("title"), "Untitled"),
         location=F.coalesce(_p("place"), F.when(F.size(_p("places")) > 0, F.array_join(_p("places"), ", "))),
         url=url,
-        description_text=_capped(V.to_text(V.first_truthy(_f("jobDescription"), _f("description")))),
+        description_text=_capped(V.to_text(V.first_truthy(_f("jobDescription"), _f("description"))), description_cap),
         posted_at=V.timestamp(V.first_truthy(_f("postedOn"), _f("startDate"))),
         raw_payload=F.to_json("item"),
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -21,6 +21,8 @@ PROVIDERS = {
     "ashby": providers.ashby,
     "gem": boards.gem,
 }
+# those of them whose postings carry a description
+DESCRIBED = ("greenhouse", "lever", "ashby")
 NO_CAPTURE = "No capture of this company was given"
 _COMPANY_KEY = ["company_id", "cycle_ts"]
 
@@ -36,8 +38,8 @@ def _icims(sourced: DataFrame, small: bool) -> DataFrame:
     return boards.choose_method(found, "html", "rendered", rules.ICIMS_ENOUGH, small).drop("method")
 
 
-def _workday(sourced: DataFrame, anchors: DataFrame | None, small: bool) -> DataFrame:
-    api = providers.workday(sourced.filter(F.col("method") == "api"), keep=("method",))
+def _workday(sourced: DataFrame, anchors: DataFrame | None, small: bool, description_cap: int | None) -> DataFrame:
+    api = providers.workday(sourced.filter(F.col("method") == "api"), ("method",), description_cap)
     if anchors is None:
         return api.drop("method")
     rows = boards.workday_anchor_rows(anchors.drop("company_name", "careers_url", "source_config")).join(
@@ -49,8 +51,8 @@ def _workday(sourced: DataFrame, anchors: DataFrame | None, small: bool) -> Data
     return boards.choose_method(api.unionByName(rendered), "api", "rendered", small=small).drop("method")
 
 
-def _generic(anchors: DataFrame, small: bool) -> DataFrame:
-    links = discovery.job_links(anchors, by=("company_id", "cycle_ts"))
+def _generic(anchors: DataFrame, small: bool, link_cap: int | None) -> DataFrame:
+    links = discovery.job_links(anchors, link_cap, by=("company_id", "cycle_ts"))
     source = anchors.select(*_COMPANY_KEY, "company_name", "careers_url", "source_config").dropDuplicates(_COMPANY_KEY)
     rows = links.join(small_side(source, small), _COMPANY_KEY).withColumns(
         {"page_ordinal": F.lit(0), "pos": F.col("rank") - 1}
@@ -63,15 +65,20 @@ def collect_postings(
     companies: DataFrame,
     anchors: DataFrame | None = None,
     extra_providers: dict | None = None,
+    link_cap: int | None = rules.MAX_LINKS,
+    description_cap: int | None = rules.DESCRIPTION_CAP,
 ) -> DataFrame:
     """Postings of all providers for the given companies.
 
     Each branch filters on `source_type`, the partition column of stored captures. A provider is
     a function from sourced captures to postings; add or replace some with `extra_providers`.
+    `link_cap` bounds the links kept per generic company, `description_cap` the characters kept of a
+    description; None keeps all.
     """
     small = is_small(companies)
     sourced = providers.with_source(capture_source.usable(captures), companies, small)
-    one_kind = {**PROVIDERS, **(extra_providers or {})}
+    capped = {kind: partial(PROVIDERS[kind], description_cap=description_cap) for kind in DESCRIBED}
+    one_kind = {**PROVIDERS, **capped, **(extra_providers or {})}
 
     def of(kind: str) -> DataFrame:
         return sourced.filter(F.col("source_type") == kind)
@@ -88,10 +95,10 @@ def collect_postings(
     branches += [
         _smartrecruiters(of("smartrecruiters"), small),
         _icims(of("icims"), small),
-        _workday(of("workday"), anchors_of("workday"), small),
+        _workday(of("workday"), anchors_of("workday"), small, description_cap),
     ]
     if anchors is not None:
-        branches.append(_generic(anchors_of(rules.GENERIC), small))
+        branches.append(_generic(anchors_of(rules.GENERIC), small, link_cap))
     return reduce(lambda a, b: a.unionByName(b), branches)
 
 
@@ -161,10 +168,14 @@ def run_cycle(
     swallow: tuple[str, ...] = capture_source.SWALLOWED,
     digest_day: str | None = None,
     lookback_hours: int | None = None,
+    extra_providers: dict | None = None,
+    link_cap: int | None = rules.MAX_LINKS,
+    description_cap: int | None = rules.DESCRIPTION_CAP,
 ) -> CycleResult:
     """Scrape, ingest, company outcomes, and a digest when `digest_day` or `lookback_hours` is given.
 
     A chosen company without a capture fails; a generic one does so only where `anchors` are given.
+    `extra_providers`, `link_cap` and `description_cap` as in `collect_postings`.
     """
     for name in (names.companies, names.jobs):
         tables.require_table(spark, name)
@@ -178,7 +189,8 @@ def run_cycle(
     wanted = small_side(chosen.select(F.col("id").alias("company_id")), is_small(chosen))
     scraped = captures.join(wanted, "company_id", "left_semi")
     # Parsing is the expensive step and its results are read several times, so they are written once.
-    postings = tables.write_version(collect_postings(scraped, chosen, anchors), names.postings, mark)
+    parsed = collect_postings(scraped, chosen, anchors, extra_providers, link_cap, description_cap)
+    postings = tables.write_version(parsed, names.postings, mark)
     fetched = capture_source.snapshots_from_captures(scraped, swallow)
     if anchors is not None:
         rendered = (
