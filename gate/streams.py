@@ -54,9 +54,9 @@ def captured_snapshots(spark, d):
 
 
 # ---- a whole cycle -------------------------------------------------------------------------
-def bodies_of(spark, d):
-    """Captures of three providers."""
-    rows = postings(spark, d)
+def bodies_of(spark, d, kept=F.lit(True)):
+    """Captures of three providers, of the kept postings."""
+    rows = postings(spark, d).filter(kept)
     shapes = [
         ("greenhouse", F.struct(k().alias("id"), "title", F.col("url").alias("absolute_url"), iso().alias("updated_at")), '{"jobs":[', "]}"),
         ("lever", F.struct(k().alias("id"), F.col("title").alias("text"), F.col("url").alias("hostedUrl"), (seconds() * 1000).alias("createdAt")), "[", "]"),
@@ -72,10 +72,10 @@ def bodies_of(spark, d):
 def cycle(spark, d, captured=None, failures=None):
     """Captures of three providers, fetched into an empty state; companies come with so many failures."""
     source = F.element_at(F.array(*map(F.lit, ("greenhouse", "lever", "ashby"))), (F.col("id") % 3 + 1).cast("int"))
-    names = CycleTables(fresh("jobs"), fresh("companies"), fresh("postings"), buckets=8)
+    names = CycleTables(fresh("jobs"), fresh("companies"), fresh("postings"), buckets=4, parts=8)
     owners = companies(spark, d).withColumns({"source_type": source, "consecutive_failures": (F.lit(0) if failures is None else failures).cast("int")})
     tables.write_version(owners, names.companies, "start")
-    tables.write_version(spark.createDataFrame([], schemas.JOBS), names.jobs, "start", "fingerprint_hash", 8)
+    tables.write_version(spark.createDataFrame([], schemas.JOBS), names.jobs, "start", "fingerprint_hash", 4)
     captured = bodies_of(spark, d) if captured is None else captured
     return run_cycle(spark, captured, "c1", F.lit("2002-01-02").cast("timestamp"), names=names, us_only=False), names
 
@@ -90,6 +90,20 @@ def cycle_jobs(spark, d):
     return cycle(spark, d)[0].jobs.select("company_id", "title", "url", "external_job_id", "is_active", "fingerprint_hash")
 
 
+@query(
+    "cycle_of_few_companies",
+    f"""WITH {sql_postings()} SELECT company_id, CAST(ordinal AS VARCHAR) AS external_job_id,
+      company_id > 3 OR ordinal % 4 < 2 AS is_active, CASE WHEN company_id > 3 THEN TIMESTAMP '2002-01-01' ELSE TIMESTAMP '2002-01-02' END AS last_seen_at FROM postings_v""",
+)
+def cycle_of_few_companies(spark, d):
+    """A second cycle in which three companies post part of their jobs; it writes the parts of these companies only."""
+    _, names = cycle(spark, d)
+    few = bodies_of(spark, d, (F.col("company_id") <= 3) & (F.col("ordinal") % 4 < 2))
+    few = few.withColumn("cycle_ts", F.lit("2002-01-02").cast("timestamp"))
+    jobs = run_cycle(spark, few, "c2", F.lit("2002-01-03").cast("timestamp"), names=names, us_only=False).jobs
+    return jobs.select("company_id", "external_job_id", "is_active", "last_seen_at")
+
+
 # every fifth company answers 404, of every seventh there is no capture
 _FAILING = f"""WITH {sql_postings()}, seen_v AS (SELECT company_id, count(*) AS n FROM postings_v GROUP BY 1),
   c_v AS (SELECT n_nationkey::BIGINT + 1 AS id, coalesce(n, 0) AS n, n IS NULL OR (n_nationkey + 1) % 7 = 3 AS missing, (n_nationkey + 1) % 5 = 2 AS gone, (n_nationkey + 1) % 2 AS before

@@ -187,16 +187,38 @@ def merge_snapshots(
     """
     scanned = scanned_companies(companies, snapshots)
     small = is_small(scanned)
-    counts = scan_counts(postings, scanned, us_only)
-    owners = scanned.select(
+    batch = resolve_duplicates(prepare_batch(postings, scanned, us_only, small))
+    return merge_batch(jobs, batch, scan_counts(postings, scanned, us_only), last_id(jobs), small)
+
+
+def last_id(jobs: DataFrame) -> Column:
+    """The largest id of all jobs, 0 without any."""
+    return jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_id")).scalar()
+
+
+def touched_owners(jobs: DataFrame, batch: DataFrame, counts: DataFrame, small: bool = False) -> DataFrame:
+    """(company_id): owners of the rows that merging `batch` inserts, updates or closes.
+
+    Rows of all other owners come out of the merge as they went in. Reads three narrow columns of
+    the state. `batch` and `counts` as in `merge_batch`.
+    """
+    stored = jobs.select("fingerprint_hash", F.col("company_id").alias("owner"))
+    posted = batch.select("fingerprint_hash", F.col("first.company_id").alias("poster")).join(stored, "fingerprint_hash", "left")
+    closing = jobs.filter(F.col("is_active")).join(small_side(counts.select("company_id"), small), "company_id", "left_semi")
+    return posted.select(F.coalesce("owner", "poster").alias("company_id")).unionByName(closing.select("company_id"))
+
+
+def merge_batch(jobs: DataFrame, batch: DataFrame, counts: DataFrame, last_id: Column, small: bool = False) -> DataFrame:
+    """`merge_snapshots` from the rows of `resolve_duplicates` and `scan_counts`.
+
+    `jobs` may be any part of the state that holds all rows of the `touched_owners`; new ids follow `last_id`.
+    """
+    owners = counts.select(
         F.col("company_id").alias("owner"), F.col("cycle_ts").alias("owner_cycle")
     ).join(
         running_offsets(counts, "company_id", "ordinals", small).withColumnRenamed("company_id", "owner"), "owner", "left"
     )
-    last_id = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_id")).scalar()
-
     state = jobs.select(F.struct(*JOB_COLUMNS).alias("s"), "fingerprint_hash")
-    batch = resolve_duplicates(prepare_batch(postings, scanned, us_only, small))
     both = (
         state.join(batch, "fingerprint_hash", "full_outer")
         .withColumn("owner", F.coalesce("s.company_id", "first.company_id"))
@@ -246,11 +268,15 @@ def merge_snapshots(
 def ingest_counters(
     merged: DataFrame, companies: DataFrame, snapshots: DataFrame, postings: DataFrame, us_only: bool = True
 ) -> DataFrame:
-    """Counters per scanned company, from narrow columns of the merged state and the postings.
+    """Counters per scanned company, from narrow columns of the merged state and the postings."""
+    return merge_counters(merged, scan_counts(postings, scanned_companies(companies, snapshots), us_only))
+
+
+def merge_counters(merged: DataFrame, counts: DataFrame) -> DataFrame:
+    """`ingest_counters` from merged rows, of which the changed ones suffice, and `scan_counts`.
 
     The two "skipped non-" counters count inserted rows that are not digest candidates.
     """
-    seen = scan_counts(postings, scanned_companies(companies, snapshots), us_only)
     software, entry = F.col("inserted_software"), F.col("inserted_entry_level")
     changes = (
         merged.filter((F.col("change") == "inserted") | F.col("closed_in_cycle"))
@@ -265,7 +291,7 @@ def ingest_counters(
             F.count_if("closed_in_cycle").alias("inactive_jobs_marked"),
         )
     )
-    return seen.join(changes, "company_id", "left").na.fill(0, COUNTERS).select("company_id", *COUNTERS)
+    return counts.join(changes, "company_id", "left").na.fill(0, COUNTERS).select("company_id", *COUNTERS)
 
 
 def total_counters(counters: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from tidemark.functions.timestamps import local_day
 from tidemark.operators import boards, companies as catalog, digest, discovery, ingest, metrics, providers
 from tidemark.schemas import COMPANY_COLUMNS, JOB_COLUMNS
 from tidemark.session import is_small, small_side
-from tidemark.sources import captures as capture_source, tables
+from tidemark.sources import captures as capture_source, parts, tables
 
 # Providers with one kind of capture, by source type: sourced captures in, postings out.
 PROVIDERS = {
@@ -104,12 +104,17 @@ def collect_postings(
 
 @dataclass(frozen=True)
 class CycleTables:
-    """Names of the state tables and the number of buckets of the job state."""
+    """Names of the state tables, and the layout of the job state.
+
+    A cycle rewrites the parts of the companies whose jobs it changes; within a part rows lie in
+    buckets of their fingerprints. A part has up to `buckets` files.
+    """
 
     jobs: str = "jobs"
     companies: str = "companies"
     postings: str = "cycle_postings"
     buckets: int = 200
+    parts: int = 32
 
 
 @dataclass(frozen=True)
@@ -126,24 +131,33 @@ def apply_snapshots(
 ) -> DataFrame:
     """Merges a cycle into the stored state and publishes it; returns counters per company.
 
-    The merged rows are written once, with their bookkeeping columns, and the counters read only
-    those columns back. A mark that is already current is not applied again.
+    The batch is prepared once and stored in the buckets of the state. Only the parts of the state
+    that it changes are read and written, with their bookkeeping columns, and the counters read those
+    columns back. A mark that is already current is not applied again. A state of another layout is
+    rewritten whole, the first time.
     """
-    companies = tables.read_table(spark, names.companies)
-    if tables.applied_mark(spark, names.jobs) == mark:
-        merged = spark.table(tables.version_table(names.jobs, mark))
-    else:
-        merged = tables.stage_version(
-            ingest.merge_snapshots(
-                tables.read_table(spark, names.jobs), companies, snapshots, postings, us_only
-            ),
-            names.jobs,
-            mark,
-            "fingerprint_hash",
-            names.buckets,
-        )
-        tables.publish_version(spark, names.jobs, mark, JOB_COLUMNS)
-    return ingest.ingest_counters(merged, companies, snapshots, postings, us_only)
+    batch_name, counts_name = f"{names.postings}_batch", f"{names.postings}_counts"
+    if tables.applied_mark(spark, names.jobs) != mark:
+        scanned = ingest.scanned_companies(tables.read_table(spark, names.companies), snapshots)
+        small = is_small(scanned)
+        counts = tables.write_version(ingest.scan_counts(postings, scanned, us_only), counts_name, mark)
+        prepared = ingest.resolve_duplicates(ingest.prepare_batch(postings, scanned, us_only, small))
+        batch = tables.write_version(prepared, batch_name, mark, "fingerprint_hash", names.buckets)
+        state = tables.read_table(spark, names.jobs)
+        last_id, held = ingest.last_id(state), parts.held_parts(spark, names.jobs, names.parts)
+        if held is None:
+            touched, held = range(names.parts), {}
+        else:
+            owners = ingest.touched_owners(state, batch, counts, small)
+            touched = [r[0] for r in owners.select(parts.part_of(F.col("company_id"), names.parts)).distinct().collect()]
+            state = parts.read_parts(spark, names.jobs, held, touched).select(JOB_COLUMNS)
+        merged = ingest.merge_batch(state, batch, counts, last_id, small)
+        placed = merged.withColumn(parts.PART, parts.part_of(F.col("company_id"), names.parts))
+        parts.stage_parts(placed, names.jobs, mark, "fingerprint_hash", names.buckets)
+        parts.publish_parts(spark, names.jobs, mark, touched, held, names.parts, JOB_COLUMNS)
+        tables.drop_versions(spark, batch_name, [mark])
+        tables.drop_versions(spark, counts_name, [mark])
+    return ingest.merge_counters(parts.read_written(spark, names.jobs, mark), tables.read_table(spark, counts_name))
 
 
 def unscraped(chosen: DataFrame, given: DataFrame, as_of: Column) -> DataFrame:
@@ -181,6 +195,7 @@ def run_cycle(
         tables.require_table(spark, name)
     companies = tables.read_table(spark, names.companies)
     earlier = {name: tables.applied_mark(spark, name) for name in (names.jobs, names.companies)}
+    earlier_parts = parts.held_parts(spark, names.jobs)
     # kept under the mark: a repeated cycle scrapes the same companies, whatever its outcomes changed
     selection = f"{names.postings}_selection"
     if tables.applied_mark(spark, selection) != mark:
@@ -224,6 +239,8 @@ def run_cycle(
     for name, before in earlier.items():
         if before != mark:
             tables.drop_versions(spark, name, [mark, before or mark])
+    if earlier[names.jobs] != mark:
+        parts.drop_parts(spark, names.jobs, [earlier_parts, parts.held_parts(spark, names.jobs)])
     failures = metrics.scrape_failures(outcome)
     jobs, current = tables.read_table(spark, names.jobs), tables.read_table(spark, names.companies)
     document = candidates = None

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 NOT_READY = "Table {name} does not exist: create it with write_version before running jobs"
-_MARK = "tidemark.mark"
+MARK = "tidemark.mark"
 
 
 def require_table(spark: SparkSession, name: str) -> None:
@@ -30,9 +30,13 @@ def read_table(spark: SparkSession, name: str, order_by: Sequence[str] = ()) ->
 
 def applied_mark(spark: SparkSession, name: str) -> str | None:
     """The mark of the current version, null before the first one."""
+    return table_property(spark, name, MARK)
+
+
+def table_property(spark: SparkSession, name: str, key: str) -> str | None:
     if not spark.catalog.tableExists(name):
         return None
-    rows = spark.sql(f"SHOW TBLPROPERTIES {name}").filter(F.col("key") == _MARK).collect()
+    rows = spark.sql(f"SHOW TBLPROPERTIES {name}").filter(F.col("key") == key).collect()
     return rows[0]["value"] if rows else None
 
 
@@ -54,7 +58,7 @@ def stage_version(
 def publish_version(spark: SparkSession, name: str, mark: str, columns: Sequence[str]) -> None:
     """Points the view at the staged version, showing `columns` only."""
     spark.sql(
-        f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ('{_MARK}' = '{mark}') "
+        f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ('{MARK}' = '{mark}') "
         f"AS SELECT {', '.join(columns)} FROM {version_table(name, mark)}"
     )
 
