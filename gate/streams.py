@@ -54,7 +54,7 @@ def captured_snapshots(spark, d):
 
 
 # ---- a whole cycle -------------------------------------------------------------------------
-def bodies_of(spark, d, kept=F.lit(True)):
+def bodies_of(spark, d, kept="true"):
     """Captures of three providers, of the kept postings."""
     rows = postings(spark, d).filter(kept)
     shapes = [
