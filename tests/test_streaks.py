@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,51 @@ def test_a_repeated_batch_changes_nothing(spark):
     once = stream.merge_buckets(stored, changed, 2)
     assert sorted(once.collect()) == sorted(stream.merge_buckets(once, changed, 2).collect()) == sorted(changed.collect())
     assert not tables.applied_mark(spark, "no_such_table")
+
+
+class Held:
+    """A state handle and its one value state."""
+
+    def __init__(self):
+        self.value, self.updates = None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.updates = value, self.updates + 1
+
+
+def test_one_call_serves_all_companies_of_a_slot(spark):
+    """Batch by batch, the changed summaries of many companies, each once, and no others."""
+    rng, threshold, state = np.random.default_rng(3), 3, Held()
+    processor = stream.BucketSummaries(threshold, None)
+    processor.init(state)
+    log, known = [], {}
+    for _ in range(5):
+        n = 200
+        part = pd.DataFrame({"company_id": rng.integers(0, 60, n), "at": rng.integers(0, 50, n), "seq": rng.integers(0, 9, n), "kind": rng.choice([0, 0, 0, 1, 2], n)})
+        log.append(part)
+        rows, changed = pd.concat(log).sort_values(["company_id", "at", "seq", "kind"]), {}
+        for company, mine in rows.groupby("company_id"):
+            summary = [a.to_pylist()[0] for a in streaks.summarise(np.zeros(1, np.int64), mine["at"].to_numpy(), mine["kind"].to_numpy(), threshold).arrays()]
+            if known.get(company) != summary:
+                known[company] = changed[company] = summary
+        out = list(processor.handleInputRows((5, 7), iter([part[:90], part[90:]]), None))
+        got = {r.company_id: [r.any_ok, r.head, list(r.head_at), r.tail, None if r.hit_at is pd.NA else r.hit_at] for f in out for r in f.itertuples()}
+        assert got == changed and sum(map(len, out)) == len(changed) and all((f["bucket"] == 7).all() for f in out)
+    # outcomes that change nothing are not written, and not kept beyond the first of a company
+    assert list(processor.handleInputRows((5, 7), iter([part.assign(kind=0)]), None)) == [] and state.updates == 5
+
+
+def test_state_has_a_key_per_slot_not_per_company(spark, tmp_path):
+    rows = spark.range(3000).select(F.col("id").alias("company_id"), F.timestamp_seconds(F.lit(1_772_323_200) + F.col("id")).alias("ts"), F.lit(None).cast("long").alias("seq"), F.lit("404").alias("kind"))
+    rows.write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(LOG).parquet(str(tmp_path / "in"))
+    query = stream.start_streaks(spark, source, "slotted", checkpoint=str(tmp_path / "ck"), threshold=1, slots=8)
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 8
+    assert spark.table("slotted").where("streak = 1 AND disabled_at IS NOT NULL").count() == 3000

@@ -50,7 +50,7 @@ class Runs(NamedTuple):
 
 def summarise(starts: np.ndarray, at: np.ndarray, kind: np.ndarray, threshold: int) -> Runs:
     """Summaries of the runs that begin at `starts`; rows of a run are in order of time."""
-    ends = np.append(starts[1:], len(at))
+    ends = np.append(starts, len(at))[1:]
     before = np.concatenate([[0], np.cumsum(kind == MISSING)])
     misses, oks = np.flatnonzero(kind == MISSING), np.flatnonzero(kind == OK)
     low, high = np.searchsorted(oks, starts), np.searchsorted(oks, ends)

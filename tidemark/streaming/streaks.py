@@ -1,10 +1,13 @@
 """404 streaks over a stream of scrape outcomes, with an event when a company is disabled.
 
-A stateful operator keeps the outcomes of each (company, time bucket) that is open, in a list state, and
-emits the bucket's summary whenever a batch changes it, so an outcome that comes late only touches its
-own bucket. The sink stores one summary per bucket and folds those of the companies that a batch has
-touched. The log itself is never stored or read again. Where a lateness is given, event time closes
-buckets: their rows leave the state, and their summaries become one per company.
+A stateful operator keeps the outcomes of each time bucket that is open. Its key is a slot, which many
+companies share by hash, and the bucket: a call has a fixed cost of some milliseconds, so there are as
+many calls as slots and buckets, not as companies and buckets, and each works on whole arrays. It emits
+the summary of a company's bucket whenever a batch changes it; an outcome that comes late only touches
+its own slot of its own bucket. The sink stores one summary per company and bucket and folds those of
+the companies that a batch has touched. The log itself is never stored or read again. Where a lateness
+is given, event time closes buckets: their rows leave the state, and their summaries become one per
+company.
 """
 
 from __future__ import annotations
@@ -17,21 +20,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidemark import rules
-from tidemark.operators.streaks import SUMMARY, SUMMARY_COLUMNS, fold, kind_code, streaks_of, summarise
+from tidemark.operators.streaks import SUMMARY, Runs, fold, kind_code, streaks_of, summarise
 from tidemark.session import shared_folder
 from tidemark.sources import tables
 
 STREAKS = "company_id bigint, streak bigint, disabled_at timestamp"
 BUCKETS = f"company_id bigint, bucket bigint, {SUMMARY}"
-_KEPT = "at bigint, seq bigint, kind int"
+# outcomes of a slot's bucket in order of company, time and seq, each column as the bytes of its longs
+_COLUMNS = ("company_id", "at", "seq", "kind")
+_KEPT = ", ".join(f"{c} binary" for c in _COLUMNS)
+SLOTS = 64
+_FIRST = -(1 << 63)
 _WIDTHS = {"hour": 3_600_000_000, "day": 86_400_000_000}
 
 
 class BucketSummaries(StatefulProcessor):
-    """Summary of the outcomes of one (company, bucket), emitted when it changes.
+    """Summaries of the outcomes of the companies of one (slot, bucket), emitted when they change.
 
-    Two states: the outcomes of the bucket that bear on a streak, and the summary emitted last.
-    `width` is that of a bucket in microseconds where event time closes buckets, else None.
+    The state holds the outcomes that bear on a streak, and one that does not for a company without
+    any. `width` is that of a bucket in microseconds where event time closes buckets, else None.
     """
 
     def __init__(self, threshold: int, width: int | None):
@@ -39,50 +46,94 @@ class BucketSummaries(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", _KEPT)
-        self.last = handle.getValueState("summary", SUMMARY)
+        self.rows = handle.getValueState("rows", _KEPT)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        company, bucket = key
-        arrived = [tuple(map(int, r)) for part in rows for r in part[["at", "seq", "kind"]].itertuples(index=False, name=None) if r[2]]
-        if arrived:
-            self.rows.appendList(arrived)
-        ordered = sorted(tuple(r) for r in self.rows.get())
-        at, kind = np.array([r[0] for r in ordered], np.int64), np.array([r[2] for r in ordered], np.int64)
-        summary = tuple(a.to_pylist()[0] for a in summarise(np.zeros(1, np.int64), at, kind, self.threshold).arrays())
+        bucket = int(key[1])
+        parts = list(rows)
+        arrived = [np.concatenate([part[c].to_numpy(np.int64) for part in parts]) for c in _COLUMNS]
+        kept = self.rows.get()
+        held = [np.frombuffer(c, np.int64) for c in kept] if kept else [np.zeros(0, np.int64)] * len(_COLUMNS)
+        bears = arrived[3] != 0
+        silent = np.setdiff1d(arrived[0], np.concatenate([held[0], arrived[0][bears]]))
+        added = [np.concatenate([c[bears], s]) for c, s in zip(arrived, (silent, *(np.full(len(silent), v) for v in (bucket, 0, 0))), strict=True)]
         if self.width is not None:
             self.handle.registerTimer((bucket + self.width) // 1000)
-        before = self.last.get() if self.last.exists() else None
-        if before is None or (*before[:2], list(before[2]), *before[3:]) != summary:
-            self.last.update(summary)
-            yield pd.DataFrame([(company, bucket, *summary)], columns=["company_id", "bucket", *SUMMARY_COLUMNS]).astype({"hit_at": "Int64"})
+        if not len(added[0]):
+            return
+        merged = [np.concatenate(c) for c in zip(held, added, strict=True)]
+        order = np.lexsort(merged[::-1])
+        merged = [c[order] for c in merged]
+        self.rows.update(tuple(c.tobytes() for c in merged))
+        touched = np.unique(added[0])
+        old_ids, old = self._summaries(held, touched)
+        ids, new = self._summaries(merged, touched)
+        # all touched companies are in `ids`, those of them that were known in `old_ids`
+        at = np.searchsorted(ids, old_ids)
+        changed = np.ones(len(ids), bool)
+        changed[at] = differing(old, taken(new, at))
+        if changed.any():
+            yield shown(ids[changed], bucket, taken(new, np.flatnonzero(changed)))
+
+    def _summaries(self, columns: list[np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, Runs]:
+        """The wanted companies among the rows, and the summary of each."""
+        mine = np.isin(columns[0], wanted)
+        company, at, _, kind = (c[mine] for c in columns)
+        starts = np.flatnonzero(np.concatenate([[True], company[1:] != company[:-1]])[: len(company)])
+        return company[starts], summarise(starts, at, kind, self.threshold)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The bucket is closed: the sink has its summary, and no row of it will come."""
+        """The bucket is closed: the sink has its summaries, and no row of it will come."""
         self.rows.clear()
-        self.last.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def bucket_summaries(stream: DataFrame, threshold: int, bucket: str = "day", lateness: str | None = None) -> DataFrame:
+def taken(runs: Runs, at: np.ndarray) -> Runs:
+    """The summaries at the given ascending places."""
+    chosen = np.zeros(len(runs.head), bool)
+    chosen[at] = True
+    values = {name: column[chosen] for name, column in runs._asdict().items() if name != "head_at"}
+    return Runs(head_at=runs.head_at[np.repeat(chosen, runs.head_sizes)], **values)
+
+
+def differing(a: Runs, b: Runs) -> np.ndarray:
+    """For each place whether the summaries there differ."""
+    names = ("any_ok", "head", "head_sizes", "tail", "has_hit")
+    differ = np.any([getattr(a, n) != getattr(b, n) for n in names], axis=0) | (a.has_hit & (a.hit_at != b.hit_at))
+    alike = a.head_sizes == b.head_sizes
+    moved = a.head_at[np.repeat(alike, a.head_sizes)] != b.head_at[np.repeat(alike, b.head_sizes)]
+    differ[np.repeat(np.flatnonzero(alike), a.head_sizes[alike])[moved]] = True
+    return differ
+
+
+def shown(ids: np.ndarray, bucket: int, runs: Runs) -> pd.DataFrame:
+    """Summaries as rows of `BUCKETS`."""
+    heads = pd.Series(np.split(runs.head_at, np.cumsum(runs.head_sizes)[:-1]), dtype=object)
+    hit_at = pd.arrays.IntegerArray(runs.hit_at, ~runs.has_hit)
+    return pd.DataFrame({"company_id": ids, "bucket": bucket, "any_ok": runs.any_ok, "head": runs.head, "head_at": heads, "tail": runs.tail, "hit_at": hit_at})
+
+
+def bucket_summaries(stream: DataFrame, threshold: int, bucket: str = "day", lateness: str | None = None, slots: int = SLOTS) -> DataFrame:
     """(company_id, bucket in microseconds, summary columns) of the buckets that a batch of outcomes changes.
 
-    Outcomes without company or time are left out. With a `lateness`, such as "7 days", rows later
-    than that are dropped and buckets older than that are closed.
+    Outcomes without company or time are left out; one without seq comes first of its instant. With a
+    `lateness`, such as "7 days", rows later than that are dropped and buckets older than that are closed.
+    A bucket's rows are dealt to `slots` keys; a checkpoint keeps the number it began with.
     """
     rows = stream.where(F.col("company_id").isNotNull() & F.col("ts").isNotNull())
     if lateness is not None:
         rows = rows.withWatermark("ts", lateness)
+    company = F.col("company_id").cast("bigint")
     rows = rows.select(
-        F.col("company_id").cast("bigint").alias("company_id"), F.unix_micros(F.date_trunc(bucket, "ts")).alias("bucket"), "ts",
-        F.unix_micros("ts").alias("at"), F.col("seq").cast("bigint").alias("seq"), kind_code(F.col("kind")).cast("int").alias("kind"),
+        F.pmod(F.xxhash64(company), F.lit(slots)).cast("int").alias("slot"), F.unix_micros(F.date_trunc(bucket, "ts")).alias("bucket"), "ts", company.alias("company_id"),
+        F.unix_micros("ts").alias("at"), F.coalesce(F.col("seq").cast("bigint"), F.lit(_FIRST)).alias("seq"), kind_code(F.col("kind")).cast("bigint").alias("kind"),
     )
     processor = BucketSummaries(threshold, _WIDTHS[bucket] if lateness is not None else None)
     mode = "EventTime" if lateness is not None else "None"
-    return rows.groupBy("company_id", "bucket").transformWithStateInPandas(processor, BUCKETS, "Update", mode)
+    return rows.groupBy("slot", "bucket").transformWithStateInPandas(processor, BUCKETS, "Update", mode)
 
 
 def merge_buckets(stored: DataFrame, changed: DataFrame, threshold: int, closed: int | None = None) -> DataFrame:
@@ -110,11 +161,12 @@ def start_streaks(
     checkpoint: str | None = None,
     bucket: str = "day",
     lateness: str | None = None,
+    slots: int = SLOTS,
 ) -> StreamingQuery:
     """Keeps `table` up to date; disable events go to one folder per batch under `events_path`.
 
     Summaries are kept in the table `<table>_buckets`. Without `lateness` every outcome counts however
-    late it comes, and buckets stay open. Uses the RocksDB state store.
+    late it comes, and buckets stay open. Uses the RocksDB state store. `slots` as in `bucket_summaries`.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     checkpoint = checkpoint or f"{shared_folder(spark)}/streams/{table}"
@@ -151,7 +203,7 @@ def start_streaks(
         tables.drop_versions(session, f"{table}_changed", [mark])
 
     return (
-        bucket_summaries(stream, threshold, bucket, lateness).writeStream.foreachBatch(each)
+        bucket_summaries(stream, threshold, bucket, lateness, slots).writeStream.foreachBatch(each)
         .outputMode("update").option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
