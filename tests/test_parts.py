@@ -117,3 +117,27 @@ def test_empty_cycle_and_other_layouts(spark):
     apply_snapshots(spark, more, "c3", *snapshot(spark, 3, {1: []}), False)
     assert list(parts.held_parts(spark, "lay_jobs", 8)) == ["c3"] and parts.held_parts(spark, "lay_jobs", 4) is None
     assert {int(r.external_job_id): r.is_active for r in spark.table("lay_jobs").collect()} == {1: False, 2: True}
+
+
+def test_a_merge_of_many_rows_is_dealt_to_more_tasks_than_buckets(spark, monkeypatch):
+    """With 200 rows in 2 buckets and 25 rows to a task, each file holds a task's share of one bucket, in both cycles."""
+    plain = spark.createDataFrame([], schemas.JOBS)
+    monkeypatch.setattr(ingest, "TASK_ROWS", 25)
+    names = state_tables(spark, "many", 20, 1)
+    companies = spark.table(names.companies)
+    for cycle, posted in ((1, {c: range(c * 10, c * 10 + 10) for c in range(1, 21)}), (2, {3: [30, 39, 500], 4: []})):
+        snapshots, postings = snapshot(spark, cycle, posted)
+        plain = spark.createDataFrame(ingest.merge_snapshots(plain, companies, snapshots, postings, False).select(JOB_COLUMNS).collect(), schemas.JOBS)
+        apply_snapshots(spark, names, f"c{cycle}", snapshots, postings, False).collect()
+        by_key = lambda df: {r.fingerprint_hash: (r.company_id, r.is_active, r.first_seen_at, r.last_seen_at) for r in df.collect()}
+        assert by_key(spark.table("many_jobs")) == by_key(plain)
+        stored = spark.table("many_jobs").select(F.input_file_name().alias("file"), F.pmod(F.hash("fingerprint_hash"), F.lit(2)).alias("bucket"))
+        files = stored.groupBy("file").agg(F.count("*").alias("n"), F.countDistinct("bucket").alias("buckets")).collect()
+        assert len(files) > 4 and max(r.n for r in files) <= 50 and {r.buckets for r in files} == {1}
+
+
+def test_tasks_of_a_merge():
+    """Buckets that a task can take stay as they lie; else tasks are a multiple of the buckets and follow the rows."""
+    assert ingest.merge_tasks(4 * ingest.TASK_ROWS, 4, 24) is None
+    assert [ingest.merge_tasks(n * ingest.TASK_ROWS, 4, 24) for n in (5, 40, 400)] == [24, 40, 400]
+    assert ingest.merge_tasks(5 * ingest.TASK_ROWS, 4, 10) == 12

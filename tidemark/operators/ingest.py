@@ -175,6 +175,25 @@ def scan_counts(postings: DataFrame, scanned: DataFrame, us_only: bool = True) -
 
 
 # ---- merge --------------------------------------------------------------------------------
+# Rows that a task of a merge sorts, some 250 MB of postings with short texts.
+TASK_ROWS = 200_000
+
+
+def merge_tasks(rows: int, buckets: int, least: int = 1) -> int | None:
+    """How many tasks, at `least` so many, merge rows that lie in `buckets`; None where a task can take a bucket as it lies.
+
+    A multiple of the buckets, so that what a task writes lies in one bucket still. `least` is the
+    session's number of shuffle partitions, to which Spark raises smaller numbers.
+    """
+    times = -(-rows // (buckets * TASK_ROWS))
+    return buckets * max(times, -(-least // buckets)) if times > 1 else None
+
+
+def dealt(rows: DataFrame, tasks: int | None) -> DataFrame:
+    """`rows` dealt to so many tasks by fingerprint; None: as they lie."""
+    return rows if tasks is None else rows.repartition(tasks, "fingerprint_hash")
+
+
 def merge_snapshots(
     jobs: DataFrame, companies: DataFrame, snapshots: DataFrame, postings: DataFrame, us_only: bool = True
 ) -> DataFrame:
@@ -196,22 +215,25 @@ def last_id(jobs: DataFrame) -> Column:
     return jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_id")).scalar()
 
 
-def touched_owners(jobs: DataFrame, batch: DataFrame, counts: DataFrame, small: bool = False) -> DataFrame:
+def touched_owners(jobs: DataFrame, batch: DataFrame, counts: DataFrame, small: bool = False, tasks: int | None = None) -> DataFrame:
     """(company_id): owners of the rows that merging `batch` inserts, updates or closes.
 
     Rows of all other owners come out of the merge as they went in. Reads three narrow columns of
-    the state. `batch` and `counts` as in `merge_batch`.
+    the state. `batch`, `counts` and `tasks` as in `merge_batch`.
     """
-    stored = jobs.select("fingerprint_hash", F.col("company_id").alias("owner"))
-    posted = batch.select("fingerprint_hash", F.col("first.company_id").alias("poster")).join(stored, "fingerprint_hash", "left")
+    stored = dealt(jobs.select("fingerprint_hash", F.col("company_id").alias("owner")), tasks)
+    posted = dealt(batch.select("fingerprint_hash", F.col("first.company_id").alias("poster")), tasks).join(stored, "fingerprint_hash", "left")
     closing = jobs.filter(F.col("is_active")).join(small_side(counts.select("company_id"), small), "company_id", "left_semi")
     return posted.select(F.coalesce("owner", "poster").alias("company_id")).unionByName(closing.select("company_id"))
 
 
-def merge_batch(jobs: DataFrame, batch: DataFrame, counts: DataFrame, last_id: Column, small: bool = False) -> DataFrame:
+def merge_batch(
+    jobs: DataFrame, batch: DataFrame, counts: DataFrame, last_id: Column, small: bool = False, tasks: int | None = None
+) -> DataFrame:
     """`merge_snapshots` from the rows of `resolve_duplicates` and `scan_counts`.
 
     `jobs` may be any part of the state that holds all rows of the `touched_owners`; new ids follow `last_id`.
+    `tasks` is from `merge_tasks`, where both sides lie in buckets.
     """
     owners = counts.select(
         F.col("company_id").alias("owner"), F.col("cycle_ts").alias("owner_cycle")
@@ -220,7 +242,7 @@ def merge_batch(jobs: DataFrame, batch: DataFrame, counts: DataFrame, last_id: C
     )
     state = jobs.select(F.struct(*JOB_COLUMNS).alias("s"), "fingerprint_hash")
     both = (
-        state.join(batch, "fingerprint_hash", "full_outer")
+        dealt(state, tasks).join(dealt(batch, tasks), "fingerprint_hash", "full_outer")
         .withColumn("owner", F.coalesce("s.company_id", "first.company_id"))
         .join(small_side(owners, small), "owner", "left")
     )

@@ -107,7 +107,8 @@ class CycleTables:
     """Names of the state tables, and the layout of the job state.
 
     A cycle rewrites the parts of the companies whose jobs it changes; within a part rows lie in
-    buckets of their fingerprints. A part has up to `buckets` files.
+    buckets of their fingerprints. A part has up to `buckets` files, or a multiple of that once a
+    bucket of the merge has more than `ingest.TASK_ROWS` rows: it is then dealt to several tasks.
     """
 
     jobs: str = "jobs"
@@ -145,13 +146,15 @@ def apply_snapshots(
         batch = tables.write_version(prepared, batch_name, mark, "fingerprint_hash", names.buckets)
         state = tables.read_table(spark, names.jobs)
         last_id, held = ingest.last_id(state), parts.held_parts(spark, names.jobs, names.parts)
+        n_posted, least = batch.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
         if held is None:
             touched, held = range(names.parts), {}
         else:
-            owners = ingest.touched_owners(state, batch, counts, small)
+            owners = ingest.touched_owners(state, batch, counts, small, ingest.merge_tasks(n_posted + state.count(), names.buckets, least))
             touched = [r[0] for r in owners.select(parts.part_of(F.col("company_id"), names.parts)).distinct().collect()]
             state = parts.read_parts(spark, names.jobs, held, touched).select(JOB_COLUMNS)
-        merged = ingest.merge_batch(state, batch, counts, last_id, small)
+        tasks = ingest.merge_tasks(n_posted + state.count(), names.buckets, least)
+        merged = ingest.merge_batch(state, batch, counts, last_id, small, tasks)
         placed = merged.withColumn(parts.PART, parts.part_of(F.col("company_id"), names.parts))
         parts.stage_parts(placed, names.jobs, mark, "fingerprint_hash", names.buckets)
         parts.publish_parts(spark, names.jobs, mark, touched, held, names.parts, JOB_COLUMNS)
