@@ -521,3 +521,24 @@ def test_line_dedup_of_many_lines(spark):
     out = line_dedup.dedup_lines(docs(spark, rows)).collect()
     texts = {r.text: r.n_removed for r in out if r.doc_id == 7}
     assert texts == {"\n".join(t for i, t in enumerate(lines) if i % 3): 10_000, "some own line here": 1, None: 0}
+
+
+def test_stages_bound_batches_by_bytes(spark, tmp_path):
+    """A batch of pairs of long texts does not reach a worker whole; a session's own bound stays."""
+    import pyarrow as pa
+
+    from tidemark.llm import frames
+
+    own = spark.conf.get(frames.BATCH, None)
+    spark.conf.unset(frames.BATCH)
+    try:
+        docs = spark.createDataFrame([(k, f"{k} some words of a text", "en", "a", 0) for k in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+        assert stages.one_of_each(spark, docs, str(tmp_path)).count() == 3
+        sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+        texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("a"), 10_000).alias("text"))
+        assert max(r.n for r in texts.mapInArrow(sizes, "n long").collect()) < 9 << 20
+        spark.conf.set(frames.BATCH, "1m")
+        frames.bounded_batches(spark)
+        assert spark.conf.get(frames.BATCH) == "1m"
+    finally:
+        spark.conf.unset(frames.BATCH) if own is None else spark.conf.set(frames.BATCH, own)

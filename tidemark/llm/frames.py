@@ -10,6 +10,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.session import shared_folder
 
 
+# Bytes of a batch of rows on its way to Python; Spark's own bound is 10 000 rows, whatever their length.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python in batches of `BATCH_BYTES`, unless the session has a bound of its own.
+
+    Long texts, of which a pair has two, else make batches that an executor holds several times, once in
+    its own memory and once in each worker's. Operators give the same rows however batches are cut.
+    """
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

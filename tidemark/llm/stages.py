@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import decontaminate, jaccard, line_dedup, mixing, toxicity
-from tidemark.llm.frames import staged, table
+from tidemark.llm.frames import bounded_batches, staged, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
+    bounded_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where(F.col("predicted") == 0).select(docs.columns)
 
@@ -26,6 +27,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id, once."""
+    bounded_batches(spark)
     known = staged(jaccard.similar(docs).where(F.col("doc_id").isNotNull()), "near-copies")
     ids = known.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n"))
     ids = staged(ids.where((F.col("first") != F.col("doc_id")) | (F.col("n") > 1)), "not-alone")
@@ -40,6 +42,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated, with every benchmark span cut. n_chars follows the text."""
+    bounded_batches(spark)
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
